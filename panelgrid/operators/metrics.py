@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.functions.text import pretty_label
 from panelgrid.operators.ranked import with_running_totals
+from panelgrid.session import materialize
 
 # Model name -> prediction column.
 MODEL_COLUMNS = {
@@ -78,6 +79,7 @@ def ranking_metrics(
     counts = present.groupBy(*groups, score).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")
     )
+    counts = materialize(counts, "score-counts")
     ranked = with_running_totals(counts, score, ["_pos", "_neg"], groups)
     sizes = counts.groupBy(*groups).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     if groups:

@@ -1,18 +1,21 @@
 """Running totals over globally ordered values, without a single-task sort.
 
-Rows (already one per distinct value) are cut into value buckets at approximate
-quantiles. Where the cuts fall affects only balance: a running total is the total
+Rows are first reduced to one per distinct value and stored, so the data behind
+them is read once. They are then cut into value buckets at approximate quantiles. Where the cuts fall affects only balance: a running total is the total
 of all earlier buckets, a table as long as the bucket count, plus the total within
 the bucket. The result is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelgrid.session import materialize
+
 BUCKET = "_bucket"
 
 
@@ -43,7 +46,8 @@ def with_running_totals(
 ) -> DataFrame:
     """Adds ``{c}_before``: the sum of ``c`` over rows of the group ordered earlier.
 
-    ``fanout`` squared is the number of buckets.
+    ``df`` is read several times and has one row per group and ordered value;
+    callers store it first. ``fanout`` squared is the number of buckets.
     """
     bucketed = _with_bucket(df, order, fanout)
     keys = [*groups, BUCKET]
@@ -69,19 +73,18 @@ def with_running_totals(
 def exact_percentile(df: DataFrame, column: str, fraction: float) -> DataFrame:
     """One row ``value``: the percentile with linear interpolation between neighbours."""
     fraction = min(max(fraction, 0.0), 1.0)
-    counted = (
-        df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    )
+    values = df.where(F.col(column).isNotNull()).groupBy(column)
+    counted = materialize(values.agg(F.count(F.lit(1)).alias("_n")), "value-counts")
     ranked = with_running_totals(counted, column, ["_n"])
-    size = counted.select(F.sum("_n")).scalar()
-    rank = (size - 1) * F.lit(fraction)
-    low = F.floor(rank)
+    rank = (counted.agg(F.sum("_n")).first()[0] or 0) - 1
+    rank *= fraction
+    low, high = math.floor(rank), math.ceil(rank)
 
-    def at(position: Column) -> Column:
-        holds = (F.col("_n_before") <= position) & (position < F.col("_n_before") + F.col("_n"))
+    def at(position: int) -> Column:
+        holds = (F.col("_n_before") <= position) & (F.col("_n_before") + F.col("_n") > position)
         return F.max(F.when(holds, F.col(column).cast("double")))
 
-    picked = ranked.agg(at(low).alias("_low"), at(F.ceil(rank)).alias("_high"))
+    picked = ranked.agg(at(low).alias("_low"), at(high).alias("_high"))
     return picked.select(
         (F.col("_low") + (F.col("_high") - F.col("_low")) * (rank - low)).alias("value")
     )
