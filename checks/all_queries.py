@@ -1,4 +1,4 @@
 """Imports every query module, which fills the registry."""
 
-from checks import queries_sources  # noqa: F401
+from checks import queries_joins, queries_rows, queries_sources  # noqa: F401
 from checks.registry import QUERIES, SQL  # noqa: F401

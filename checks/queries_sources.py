@@ -23,7 +23,7 @@ def _case(column: str, table: dict, pick=lambda v: v, default: str = "null") ->
     return f"case {column} {cells} else {default} end"
 
 
-def _event_files(spark, sf_dir):
+def event_files(spark, sf_dir):
     path = scratch_path(spark, "events")
     st.storm_rows(spark, sf_dir).withColumn("EPISODE_ID", F.lit(1)).write.option(
         "header", True
@@ -37,7 +37,7 @@ def _event_files(spark, sf_dir):
         {r('magnitude', 'magnitude')} from storm""", "storm"))
 def _(spark, sf_dir):
     kinds = F.array(*[F.lit(t) for t in st.EVENT_TYPES])
-    scanned = events.scan_storm_events(spark, _event_files(spark, sf_dir))
+    scanned = events.scan_storm_events(spark, event_files(spark, sf_dir))
     position = F.array_position(kinds, F.col("EVENT_TYPE")) - 1
     return rounded(scanned.select(
         F.col("EVENT_ID").alias("event_id"), F.coalesce(position, F.lit(8)).alias("kind"),
@@ -162,32 +162,32 @@ def _(spark, sf_dir):
     return context.population_from_census_json(responses)
 
 
-_INFRASTRUCTURE_SQL = f"""select region_id,
+INFRASTRUCTURE_SQL = f"""select region_id,
     cast({_case('region_id', INFRASTRUCTURE, lambda v: v[0], '27')} as integer) as avg_infrastructure_age,
     {_case('region_id', INFRASTRUCTURE, lambda v: v[1], '6.5')}::double as maintenance_score,
     {_case('region_id', INFRASTRUCTURE, lambda v: v[2], '6.5')}::double as condition_rating
     from regions"""
-_POPULATION_SQL = f"""select region_id,
+POPULATION_SQL = f"""select region_id,
     cast({_case('region_id', POPULATION, lambda v: v[0])} as bigint) as total_population,
     {_case('region_id', POPULATION, lambda v: v[1])}::double as population_density,
     {_case('region_id', POPULATION, lambda v: v[2])}::double as urban_percentage from regions"""
-_ECONOMY_SQL = f"""select region_id,
+ECONOMY_SQL = f"""select region_id,
     {_case('region_id', ECONOMY, lambda v: v[0])}::double as gdp_per_capita,
     {_case('region_id', ECONOMY, lambda v: v[1])}::double as infrastructure_investment,
     {_case('region_id', ECONOMY, lambda v: v[2])}::double as poverty_rate from regions"""
 
 
-@query("s08_infrastructure_context", sql(_INFRASTRUCTURE_SQL, "regions"))
+@query("s08_infrastructure_context", sql(INFRASTRUCTURE_SQL, "regions"))
 def _(spark, sf_dir):
     return context.infrastructure_context(st.regions(spark, sf_dir))
 
 
-@query("s09_population_context", sql(_POPULATION_SQL, "regions"))
+@query("s09_population_context", sql(POPULATION_SQL, "regions"))
 def _(spark, sf_dir):
     return context.population_context(st.regions(spark, sf_dir))
 
 
-@query("s09_economic_context", sql(_ECONOMY_SQL, "regions"))
+@query("s09_economic_context", sql(ECONOMY_SQL, "regions"))
 def _(spark, sf_dir):
     return context.economic_context(st.regions(spark, sf_dir))
 
@@ -324,15 +324,15 @@ def real_panel(spark, sf_dir):
     regions = region_table(spark, st.WANTED_REGIONS, "region_id")
     tables_by_name = context.load_context(regions, use_apis=False)
     return plans.load_real_panel(
-        spark, config, [_event_files(spark, sf_dir)], [daily], station_file, tables_by_name
+        spark, config, [event_files(spark, sf_dir)], [daily], station_file, tables_by_name
     )
 
 
 @query("s17_load_context", sql(
     f"""select p.*, e.gdp_per_capita, e.infrastructure_investment, e.poverty_rate,
         i.avg_infrastructure_age, i.maintenance_score, i.condition_rating
-    from ({_POPULATION_SQL}) p join ({_ECONOMY_SQL}) e on p.region_id = e.region_id
-    join ({_INFRASTRUCTURE_SQL}) i on p.region_id = i.region_id""", "regions"))
+    from ({POPULATION_SQL}) p join ({ECONOMY_SQL}) e on p.region_id = e.region_id
+    join ({INFRASTRUCTURE_SQL}) i on p.region_id = i.region_id""", "regions"))
 def _(spark, sf_dir):
     regions = st.regions(spark, sf_dir)
     return joins.attach_context(regions, context.load_context(regions, use_apis=False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelgrid.fixed_values import STATE_CODES
+from panelgrid.fixed_values import EVENT_COUNT_COLUMNS, STATE_CODES, WEATHER_COLUMNS
 from panelgrid.operators.grid import region_date_grid
 from panelgrid.operators.series import Series
 
@@ -245,6 +245,35 @@ CTE["coords"] = (
     ("places",),
 )
 
+# -- the panel made from both raw feeds --------------------------------------------------
+
+
+def _filled(column: str) -> str:
+    upto = "partition by g.region_id order by g.timestamp rows between unbounded preceding and current row"
+    onward = "partition by g.region_id order by g.timestamp rows between current row and unbounded following"
+    return (f"coalesce(last_value(w.{column} ignore nulls) over ({upto}), "
+            f"first_value(w.{column} ignore nulls) over ({onward})) as {column}")
+
+
+CTE["real_grid"] = (
+    f"""select region_id, unnest(generate_series(timestamp '{START}', timestamp '{END}',
+        interval 1 day)) as timestamp from (select unnest({_list(WANTED_REGIONS)}) as region_id)""",
+    (),
+)
+CTE["real_panel"] = (
+    f"""select g.region_id, g.timestamp,
+        {", ".join(_filled(c) for c in WEATHER_COLUMNS)},
+        coalesce(e.failures, 0) as failures,
+        {", ".join(f"coalesce(e.{c}, 0) as {c}" for c in EVENT_COUNT_COLUMNS)},
+        coalesce(e.avg_magnitude, 0) as avg_magnitude, e.avg_latitude, e.avg_longitude,
+        c.latitude, c.longitude
+    from real_grid g
+    left join wx_daily w on g.region_id = w.region_id and g.timestamp = w.timestamp
+    left join daily_events e on g.region_id = e.region_id and g.timestamp = e.timestamp
+    left join coords c on g.region_id = c.region_id""",
+    ("real_grid", "wx_daily", "daily_events", "coords"),
+)
+
 # -- a small panel ----------------------------------------------------------------------
 
 

@@ -95,6 +95,11 @@ def drop_incomplete(df: DataFrame, series: Series, target: str) -> DataFrame:
     return require(df, [target, series.region, series.time])
 
 
+def in_time_order(df: DataFrame, series: Series) -> DataFrame:
+    """Sorted for a reader; operators never need it, they sort within chunks themselves."""
+    return df.orderBy(*series.key)
+
+
 def zero_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null to zero in the listed columns that exist."""
     return df.fillna(0, subset=[c for c in columns if c in df.columns])
