@@ -128,7 +128,7 @@ _HOURS = """select event_type, date_trunc('hour', ts) as hour, cast(sum(cast(rou
     from events where event_id % 3 <> 0 group by 1, 2"""
 
 
-def _hours(spark, sf_dir):
+def hourly_sums(spark, sf_dir):
     return st.table(spark, sf_dir, "events").where("event_id % 3 <> 0").groupBy(
         "event_type", F.expr("cast(date_trunc('hour', ts) as timestamp_ntz)").alias("hour")
     ).agg(F.expr("sum(cast(round(value * 100) as bigint))").alias("cents"))
@@ -140,7 +140,7 @@ def _hours(spark, sf_dir):
     on g.event_type = h.event_type and g.hour = h.hour""")
 def _(spark, sf_dir):
     six_hours = Series(region="event_type", time="hour", frequency="6h")
-    return align_reindex(_hours(spark, sf_dir), six_hours)
+    return align_reindex(hourly_sums(spark, sf_dir), six_hours)
 
 
 @query("j08_rows_for_window_ends", sql(
