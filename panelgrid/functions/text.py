@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from panelgrid.fixed_values import STATE_CODES, STATE_FIPS
 
-_AMOUNT = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)([KMBkmb]?)$"
-_EVENT_TIME = r"^(\d{1,2})-([A-Za-z]{3})-(\d{2}) (\d{1,2}):(\d{2}):(\d{2})$"
+_AMOUNT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[KMBkmb]?$"
+_EVENT_TIME = r"^\d{1,2}-[A-Za-z]{3}-\d{2} \d{2}:\d{2}:\d{2}$"
 _SLASH_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
 _MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 
@@ -16,15 +19,15 @@ _MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 def parse_damage(text: Column) -> Column:
     """``12.5K`` -> 12500.0; K, M and B scale, anything unreadable is 0."""
     cleaned = F.trim(text)
-    number = F.regexp_extract(cleaned, _AMOUNT, 1)
-    suffix = F.upper(F.regexp_extract(cleaned, _AMOUNT, 2))
+    suffix = F.upper(F.right(cleaned, F.lit(1)))
     factor = (
         F.when(suffix == "K", F.lit(1e3))
         .when(suffix == "M", F.lit(1e6))
         .when(suffix == "B", F.lit(1e9))
         .otherwise(F.lit(1.0))
     )
-    return F.coalesce(number.try_cast("double") * factor, F.lit(0.0))
+    number = F.rtrim(cleaned, F.lit("KMBkmb")).try_cast("double")
+    return F.when(cleaned.rlike(_AMOUNT), number * factor).otherwise(F.lit(0.0))
 
 
 def parse_event_time(text: Column) -> Column:
@@ -34,24 +37,31 @@ def parse_event_time(text: Column) -> Column:
     zone, so the session time zone never moves it.
     """
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group).try_cast("int")
+    padded = F.lpad(text, 18, "0")  # 01-OCT-98 12:30:00, whatever the day's width
+
+    def dashed_part(start: int, length: int) -> Column:
+        return F.substring(padded, start, length).try_cast("int")
 
-    name = F.upper(F.regexp_extract(text, _EVENT_TIME, 2))
-    place = F.instr(F.lit(_MONTHS), name)
+    place = F.instr(F.lit(_MONTHS), F.upper(F.substring(padded, 4, 3)))
     month = F.when((place > 0) & (place % 3 == 1), ((place + 2) / 3).cast("int"))
-    short_year = part(_EVENT_TIME, 3)
+    short_year = dashed_part(8, 2)
     year = F.when(short_year >= 69, short_year + 1900).otherwise(short_year + 2000)
     dashed = F.try_make_timestamp_ntz(
-        year, month, part(_EVENT_TIME, 1), part(_EVENT_TIME, 4), part(_EVENT_TIME, 5),
-        part(_EVENT_TIME, 6),
+        year, month, dashed_part(1, 2), dashed_part(11, 2), dashed_part(14, 2), dashed_part(17, 2)
     )
+
+    def slashed_part(group: int, default: int | None = None) -> Column:
+        part = F.regexp_extract(text, _SLASH_TIME, group).try_cast("int")
+        return part if default is None else F.coalesce(part, F.lit(default))
+
     slashed = F.try_make_timestamp_ntz(
-        part(_SLASH_TIME, 3), part(_SLASH_TIME, 1), part(_SLASH_TIME, 2),
-        F.coalesce(part(_SLASH_TIME, 4), F.lit(0)), F.coalesce(part(_SLASH_TIME, 5), F.lit(0)),
-        F.coalesce(part(_SLASH_TIME, 6), F.lit(0)),
+        slashed_part(3), slashed_part(1), slashed_part(2),
+        slashed_part(4, 0), slashed_part(5, 0), slashed_part(6, 0),
+    )
+    # The shape decides first: only rows of another shape pay for the other parsers.
+    return F.when(text.rlike(_EVENT_TIME), dashed).otherwise(
+        F.coalesce(text.try_cast("timestamp_ntz"), slashed)
     )
-    return F.coalesce(dashed, text.try_cast("timestamp_ntz"), slashed)
 
 
 def day_floor(ts: Column) -> Column:
@@ -81,9 +91,9 @@ def state_fips(code: Column) -> Column:
 
 
 def contains_any(text: Column, pattern: str) -> Column:
-    """Whether the upper-cased text holds the pattern; null text does not."""
+    """Whether the upper-cased text holds one of the ``|``-separated words; null does not."""
     upper = F.upper(text)
-    found = upper.rlike(pattern) if "|" in pattern else upper.contains(pattern)
+    found = reduce(or_, [upper.contains(word) for word in pattern.split("|")])
     return F.coalesce(found, F.lit(False))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
-from datetime import date, timedelta
+from datetime import date
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -40,14 +40,14 @@ def in_values(df: DataFrame, column: str, values: Sequence[str] | DataFrame) ->
 
 
 def between_days(df: DataFrame, column: str, start: str | date, end: str | date) -> DataFrame:
-    """Rows from the first day through the whole last day, compared on the raw column."""
-    first = date.fromisoformat(str(start)[:10])
-    after = date.fromisoformat(str(end)[:10]) + timedelta(days=1)
-    ts = F.col(column)
-    return df.where(
-        (ts >= F.lit(first.isoformat()).cast("timestamp_ntz"))
-        & (ts < F.lit(after.isoformat()).cast("timestamp_ntz"))
-    )
+    """Rows from the first day through the whole last day.
+
+    Compared on the column as it is, so that a scan can take the range over.
+    """
+    first, last = str(start)[:10], str(end)[:10]
+    return df.where(F.col(column).between(
+        F.lit(first).cast("timestamp_ntz"), F.lit(f"{last} 23:59:59.999999").cast("timestamp_ntz")
+    ))
 
 
 def select_or_null(df: DataFrame, columns: Sequence[str], kind: str = "double") -> DataFrame:

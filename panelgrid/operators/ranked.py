@@ -19,22 +19,24 @@ from panelgrid.session import materialize
 BUCKET = "_bucket"
 
 
-def _with_bucket(df: DataFrame, order: str, fanout: int) -> DataFrame:
-    """Number of cut points below the value, looked up in two steps of ``fanout`` each."""
-    cuts = [i / fanout**2 for i in range(1, fanout**2)]
-    bounds = df.select(F.percentile_approx(order, cuts, F.lit(20 * fanout**2)).alias("b")).scalar()
-
-    def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda cut: cut < F.col(order)))
-
-    block_ends = F.filter("_cuts", lambda cut, i: (i + 1) % fanout == 0)
-    block = F.slice("_cuts", F.col("_block") * fanout + 1, F.lit(fanout - 1))
-    return (
-        df.withColumn("_cuts", bounds)
-        .withColumn("_block", below(block_ends))
-        .withColumn(BUCKET, F.col("_block") * fanout + below(block))
-        .drop("_cuts", "_block")
-    )
+def _cut_points(df: DataFrame, order: str, buckets: int) -> list[Column]:
+    """Approximate quantiles as literals, ascending and distinct: a bounded list."""
+    fractions = [i / buckets for i in range(1, buckets)]
+    estimate = F.percentile_approx(order, fractions, F.lit(20 * buckets))
+    found = df.agg(estimate.cast("array<string>").alias("text"), estimate.alias("cuts")).first()
+    kind = df.schema[order].dataType
+    by_value = dict(zip(found["cuts"] or [], found["text"] or []))
+    return [F.lit(by_value[cut]).cast(kind) for cut in sorted(by_value)]
+
+
+def _bucket_of(value: Column, cuts: list[Column], first: int = 0) -> Column:
+    """Number of cuts below the value, by a balanced tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(
+        value > cuts[middle], _bucket_of(value, cuts[middle + 1:], first + middle + 1)
+    ).otherwise(_bucket_of(value, cuts[:middle], first))
 
 
 def with_running_totals(
@@ -42,14 +44,15 @@ def with_running_totals(
     order: str,
     totals: Sequence[str],
     groups: Sequence[str] = (),
-    fanout: int = 16,
+    buckets: int = 256,
 ) -> DataFrame:
     """Adds ``{c}_before``: the sum of ``c`` over rows of the group ordered earlier.
 
     ``df`` is read several times and has one row per group and ordered value;
-    callers store it first. ``fanout`` squared is the number of buckets.
+    callers store it first.
     """
-    bucketed = _with_bucket(df, order, fanout)
+    cuts = _cut_points(df, order, buckets)
+    bucketed = df.withColumn(BUCKET, _bucket_of(F.col(order), cuts))
     keys = [*groups, BUCKET]
     per_bucket = bucketed.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
     by_bucket = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))

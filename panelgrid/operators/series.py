@@ -84,20 +84,12 @@ class Series:
         return Window.partitionBy(self.region, CHUNK).orderBy(order or self.time)
 
 
-def carry_across_chunks(
-    per_chunk: DataFrame, series: Series, carried: dict[str, Column]
-) -> DataFrame:
-    """One row per (region, chunk) with values carried over from other chunks.
+def chunk_order(series: Series) -> WindowSpec:
+    """Chunks of a region in time order.
 
-    ``per_chunk`` holds chunks, not data rows: a region of a billion rows is half
-    a million of them.
+    Frames over it see one row per chunk: a region of a billion rows is half a
+    million of them.
     """
-    return per_chunk.select(
-        series.region, CHUNK, *[value.alias(name) for name, value in carried.items()]
-    )
-
-
-def chunk_order(series: Series) -> WindowSpec:
     return Window.partitionBy(series.region).orderBy(CHUNK)
 
 
@@ -106,9 +98,8 @@ def with_row_index(df: DataFrame, series: Series, name: str = POSITION) -> DataF
     chunked = df.withColumn(CHUNK, series.time_chunk())
     counts = chunked.groupBy(series.region, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = chunk_order(series).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = carry_across_chunks(
-        counts, series, {"_offset": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))}
-    )
+    offset = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    offsets = counts.select(series.region, CHUNK, offset.alias("_offset"))
     within = F.row_number().over(series.chunk_window())
     return (
         chunked.join(offsets, [series.region, CHUNK])
@@ -164,21 +155,27 @@ def fill_gaps(
         spine = df.select(series.region, series.time_chunk().alias(CHUNK)).distinct()
         per_chunk = spine.join(per_chunk, [series.region, CHUNK], "left")
 
-    order = chunk_order(series)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    later = order.rowsBetween(1, Window.unboundedFollowing)
-    carried = {f"_prev_{c}": F.last(f"_last_{c}", True).over(earlier) for c in columns}
+    earlier = chunk_order(series).rowsBetween(Window.unboundedPreceding, -1)
+    later = (
+        Window.partitionBy(series.region).orderBy(F.desc(CHUNK))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = [F.last(f"_last_{c}", True).over(earlier).alias(f"_prev_{c}") for c in columns]
     if backward:
-        carried |= {f"_next_{c}": F.first(f"_first_{c}", True).over(later) for c in columns}
-    carry = carry_across_chunks(per_chunk, series, carried)
+        carried += [F.last(f"_first_{c}", True).over(later).alias(f"_next_{c}") for c in columns]
+    carry = per_chunk.select(series.region, CHUNK, *carried)
 
     upto = series.chunk_window().rowsBetween(Window.unboundedPreceding, 0)
-    onward = series.chunk_window().rowsBetween(0, Window.unboundedFollowing)
+    # Read backwards, so that this frame too grows by one row at a time.
+    onward = (
+        Window.partitionBy(series.region, CHUNK).orderBy(F.desc(series.time))
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     filled = {}
     for c in columns:
         options = [F.last(c, True).over(upto), F.col(f"_prev_{c}")]
         if backward:
-            options += [F.first(c, True).over(onward), F.col(f"_next_{c}")]
+            options += [F.last(c, True).over(onward), F.col(f"_next_{c}")]
         filled[c] = F.coalesce(*options)
     chunked = df.withColumn(CHUNK, series.time_chunk()).join(carry, [series.region, CHUNK], "left")
     return chunked.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])

@@ -34,13 +34,11 @@ def series_of(config: Mapping[str, Any]) -> Series:
 
 def typed_events(raw: DataFrame, states: Sequence[str] | DataFrame, start: str, end: str) -> DataFrame:
     """Raw event rows of the wanted regions and days, parsed; one narrow projection."""
-    timed = clean.require(
-        raw.withColumn("_time", parse_event_time(F.col("BEGIN_DATE_TIME"))), ["_time", "STATE"]
-    )
-    placed = timed.withColumn("region_id", state_code(F.col("STATE")))
-    kept = clean.between_days(
-        clean.in_values(placed, "region_id", states), "_time", start, end
-    )
+    placed = raw.withColumn("region_id", state_code(F.col("STATE")))
+    wanted = clean.in_values(clean.require(placed, ["STATE"]), "region_id", states)
+    # The range test also drops rows whose time cannot be read.
+    timed = wanted.withColumn("_time", parse_event_time(F.col("BEGIN_DATE_TIME")))
+    kept = clean.between_days(timed, "_time", start, end)
     return kept.select(
         "region_id",
         day_floor(F.col("_time")).alias("timestamp"),
