@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelgrid.fixed_values import EVENT_COUNT_COLUMNS, STATE_CODES, WEATHER_COLUMNS
 from panelgrid.operators.grid import region_date_grid
 from panelgrid.operators.series import Series
+from panelgrid.session import materialize
 
 # Nations 0..19 stand for these states; the others keep their own name.
 REGION_CODES = ["CA", "TX", "FL", "NY", "IL", "GA", "WA", "AZ", "NC", "CO",
@@ -57,7 +58,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- raw events -------------------------------------------------------------------------
 
-def storm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _storm_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders dressed as raw storm event rows, blemishes included."""
     rows = (
         table(spark, sf_dir, "orders")
@@ -96,6 +97,11 @@ def storm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def storm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw event rows as a landed table, which is what parsers read."""
+    return materialize(_storm_expressions(spark, sf_dir).repartition(8), "storm")
+
+
 CTE["storm"] = (
     f"""select o_orderkey as event_id,
         case when o_orderkey % 97 = 0 then null else region_id end as region_id,

@@ -63,9 +63,14 @@ def engineer_features(
     series: Series,
     target: str = "failures",
     features: Mapping[str, Any] | None = None,
+    more: Callable[[WindowSpec], list[Column]] | None = None,
+    more_reach: int = 0,
 ) -> DataFrame:
     """Panel plus, in order: target lags; per base column its lags and rolling
-    statistics; target difference and relative change."""
+    statistics; target difference and relative change.
+
+    ``more`` adds columns over frames of up to ``more_reach`` rows back in the same pass.
+    """
     features = features or {}
     lags = features.get("lags", [1, 3, 6, 12])
     windows = features.get("rolling_windows", [3, 6, 12])
@@ -77,7 +82,7 @@ def engineer_features(
         for c in base:
             columns += lag_features([c], lags, w)
             columns += rolling_features([c], windows, statistics, w)
-        return columns + change_features(target, w)
+        return columns + change_features(target, w) + (more(w) if more else [])
 
-    reach = max([1, *lags, *[n - 1 for n in windows]])
+    reach = max([1, more_reach, *lags, *[n - 1 for n in windows]])
     return drop_incomplete(over_chunks(panel, series, reach, build), series, target)

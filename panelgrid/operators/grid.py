@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,20 +34,46 @@ def day_bounds(start: str | date, end: str | date) -> tuple[str, str]:
     return days[0], days[1]
 
 
+def _ticks(bounds: DataFrame, series: Series, name: str) -> DataFrame:
+    """Rows with ``_first``, ``_last`` and ``_step`` (seconds) to one row per step.
+
+    The rows are few and a step table may sit in a single partition, so they are
+    first cut into blocks of steps and spread over all tasks; each task then
+    generates its own blocks. An explicit number keeps the spread from being
+    coalesced on account of the blocks' small size.
+    """
+    spark = bounds.sparkSession
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    span = F.col("_step") * series.chunk_rows
+    starts = F.explode(F.sequence(F.col("_first"), F.col("_last"), span))
+    blocks = bounds.withColumn("_start", starts).repartition(tasks, series.region, "_start")
+    end = F.least(F.col("_last"), F.col("_start") + span - F.col("_step"))
+    ticks = blocks.withColumn("_sec", F.explode(F.sequence(F.col("_start"), end, F.col("_step"))))
+    return ticks.withColumn(name, from_epoch_seconds(F.col("_sec"))).drop(
+        "_first", "_last", "_step", "_start", "_sec"
+    )
+
+
 def region_date_grid(
     regions: DataFrame, series: Series, start: str | date, end: str | date
 ) -> DataFrame:
     """Each row of ``regions`` on every step from start to end, both included.
 
-    The steps come from ``sequence`` on the region row itself: no join, no shuffle.
-    Further columns of ``regions`` (coordinates, context) ride along.
+    Steps are generated from the region rows: no join. Further columns of
+    ``regions`` (coordinates, context) ride along.
     """
-    first, last = day_bounds(start, end)
-    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(step_seconds(series.frequency)))
-    steps = F.sequence(
-        F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), step
+    first, last = (
+        int(datetime.fromisoformat(day).replace(tzinfo=timezone.utc).timestamp())
+        for day in day_bounds(start, end)
     )
-    return regions.withColumn(series.time, F.explode(steps))
+    step = step_seconds(series.frequency)
+    bounds = regions.withColumns({
+        "_first": F.lit(first).cast("long"), "_last": F.lit(last).cast("long"),
+        "_step": F.lit(step).cast("long"),
+    })
+    return _ticks(bounds, series, series.time)
 
 
 def region_steps(df: DataFrame, series: Series) -> DataFrame:
@@ -87,11 +113,7 @@ def region_steps(df: DataFrame, series: Series) -> DataFrame:
 
 def align_reindex(df: DataFrame, series: Series) -> DataFrame:
     """Rows of each region on its own regular grid; off-grid rows vanish, gaps are null."""
-    steps = region_steps(df, series)
-    ticks = F.explode(F.sequence(F.col("_first"), F.col("_last"), F.col("_step")))
-    grid = steps.select(series.region, ticks.alias("_sec")).select(
-        series.region, from_epoch_seconds(F.col("_sec")).alias(series.time)
-    )
+    grid = _ticks(region_steps(df, series), series, series.time)
     return grid.join(df, series.key, "left").select(*df.columns)
 
 

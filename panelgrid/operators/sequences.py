@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from panelgrid.operators.series import OWN, POSITION, Series, with_halo, with_position, with_row_index
+from panelgrid.operators.features import over_chunks
+from panelgrid.operators.series import POSITION, Series
 
 WINDOW_END = "is_window_end"
 
 
-def _opened(df: DataFrame, series: Series, length: int, stride: int):
-    """Chunks with a look-back of one window, its frame, and the window-end condition.
+def positions_for(series: Series, stride: int) -> Series:
+    """A stride counts from the region's first row, so rows must be numbered; a
+    stride of one does not care where counting starts."""
+    return series if stride == 1 else series.irregular()
 
-    A stride counts from the region's first row, so it needs row numbers; without
-    one a full frame is enough.
-    """
-    positioned = with_position(df, series) if stride == 1 else with_row_index(df, series)
-    chunks = with_halo(positioned, series, length - 1)
-    frame = series.chunk_window(POSITION).rowsBetween(1 - length, 0)
-    full = F.count(F.lit(1)).over(frame) == length
-    one_split = F.min("split").over(frame) == F.max("split").over(frame)
-    on_stride = (F.col(POSITION) - (length - 1)) % stride == 0
-    return chunks, frame, F.col(OWN) & full & one_split & on_stride
+
+def window_end(length: int, stride: int = 1) -> Callable[[WindowSpec], list[Column]]:
+    """Whether a row ends a window of ``length`` rows that lies in one split."""
+    def build(w: WindowSpec) -> list[Column]:
+        frame = w.rowsBetween(1 - length, 0)
+        full = F.count(F.lit(1)).over(frame) == length
+        one_split = F.min("split").over(frame) == F.max("split").over(frame)
+        on_stride = (F.col(POSITION) - (length - 1)) % stride == 0
+        return [(full & one_split & on_stride).alias(WINDOW_END)]
+
+    return build
 
 
 def mark_window_ends(df: DataFrame, series: Series, length: int, stride: int = 1) -> DataFrame:
-    """Adds whether a row ends a window of ``length`` rows that lies in one split."""
-    chunks, _, is_end = _opened(df, series, length, stride)
-    return chunks.withColumn(WINDOW_END, is_end).where(OWN).select(*df.columns, WINDOW_END)
+    """Adds the window-end flag to every row."""
+    return over_chunks(
+        df, positions_for(series, stride), length - 1, window_end(length, stride)
+    )
 
 
 def sliding_windows(
@@ -37,16 +44,19 @@ def sliding_windows(
 ) -> DataFrame:
     """One row per window: key and target of its last row, and its feature rows in order.
 
-    The frame holds the array column only, so memory per row is ``length`` arrays.
+    Only the key, the target and the array column are carried, so memory per row is
+    ``length`` arrays.
     """
     narrow = df.select(
         *series.key, "latitude", "longitude", "split", F.col(features).alias("_row"),
         F.col(target).cast("float").alias("target"),
     )
-    chunks, frame, is_end = _opened(narrow, series, length, stride)
-    windows = chunks.withColumn(WINDOW_END, is_end).withColumn(
-        "features", F.collect_list("_row").over(frame)
-    )
+
+    def build(w: WindowSpec) -> list[Column]:
+        rows = F.collect_list("_row").over(w.rowsBetween(1 - length, 0))
+        return [*window_end(length, stride)(w), rows.alias("features")]
+
+    windows = over_chunks(narrow, positions_for(series, stride), length - 1, build)
     return windows.where(WINDOW_END).select(
         "split", *series.key, "latitude", "longitude", "features", "target"
     )

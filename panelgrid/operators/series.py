@@ -21,8 +21,10 @@ POSITION = "_pos"
 CHUNK = "_chunk"
 OWN = "_own"
 
+DAY = 86400
+
 _UNIT_SECONDS = {
-    "D": 86400, "DAY": 86400, "H": 3600, "HOUR": 3600, "T": 60, "MIN": 60, "MINUTE": 60,
+    "D": DAY, "DAY": DAY, "H": 3600, "HOUR": 3600, "T": 60, "MIN": 60, "MINUTE": 60,
     "S": 1, "SECOND": 1,
 }
 
@@ -41,13 +43,18 @@ def step_seconds(frequency: str) -> int:
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a zone-less timestamp."""
     day = F.unix_date(F.to_date(ts)).cast("long")
-    return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return day * DAY + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def from_epoch_seconds(seconds: Column) -> Column:
-    origin = F.lit("1970-01-01").cast("timestamp_ntz")
-    zero = F.lit(0)
-    return origin + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+    return F.timestamp_add("SECOND", seconds, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+def step_number(ts: Column, seconds: int) -> Column:
+    """Number of the step of that many seconds a time falls into, counted from 1970."""
+    if seconds % DAY == 0:
+        return F.floor(F.unix_date(F.to_date(ts)).cast("long") / (seconds // DAY))
+    return F.floor(epoch_seconds(ts) / seconds)
 
 
 @dataclass(frozen=True)
@@ -78,7 +85,7 @@ class Series:
             span = step_seconds(self.frequency) * self.chunk_rows
         else:
             span = step_seconds(self.bucket)
-        return F.floor(epoch_seconds(F.col(self.time)) / span)
+        return step_number(F.col(self.time), span)
 
     def chunk_window(self, order: str | None = None) -> WindowSpec:
         return Window.partitionBy(self.region, CHUNK).orderBy(order or self.time)
@@ -113,7 +120,7 @@ def with_position(df: DataFrame, series: Series) -> DataFrame:
     if series.frequency is None:
         return with_row_index(df, series)
     step = step_seconds(series.frequency)
-    return df.withColumn(POSITION, F.floor(epoch_seconds(F.col(series.time)) / step))
+    return df.withColumn(POSITION, step_number(F.col(series.time), step))
 
 
 def with_halo(df: DataFrame, series: Series, before: int) -> DataFrame:

@@ -152,17 +152,31 @@ class ModelInputs:
         return tabular.unionByName(windows)
 
 
-def engineered_panel(panel: DataFrame, config: Mapping[str, Any], align: bool = True) -> DataFrame:
-    """Aligned panel with features and split labels."""
-    config = cfg.resolve(config)
+def labelled_panel(
+    panel: DataFrame, config: Mapping[str, Any], align: bool = True, store: bool = False
+) -> DataFrame:
+    """Aligned panel with split labels, still narrow.
+
+    With ``align=False`` the panel is taken to lie on its grid; nulls become zero
+    as they do in alignment.
+    """
     series = series_of(config)
-    target = config["target"]["column"]
-    aligned = align_time_series(panel, series) if align else panel
-    engineered = features.engineer_features(aligned, series, target, config["features"])
-    # The split is read off the narrow panel; it has the same times as the wide one.
+    aligned = align_time_series(panel, series) if align else panel.fillna(0)
+    if store:
+        aligned = materialize(aligned, "aligned")
     sizes = config["split"]
-    boundaries = split.split_boundaries(aligned, series, sizes["val_size"], sizes["test_size"])
-    return split.assign_splits(engineered, boundaries, series)
+    return split.chronological_split(aligned, series, sizes["val_size"], sizes["test_size"])
+
+
+def engineered_panel(
+    panel: DataFrame, config: Mapping[str, Any] | None = None, align: bool = True
+) -> DataFrame:
+    """Aligned panel with split labels and features."""
+    config = cfg.resolve(config)
+    return features.engineer_features(
+        labelled_panel(panel, config, align), series_of(config), config["target"]["column"],
+        config["features"],
+    )
 
 
 def build_model_inputs(
@@ -171,40 +185,41 @@ def build_model_inputs(
 ) -> ModelInputs:
     """Panel to tabular rows, scaled windows and fitted scaler.
 
-    The engineered panel feeds the scaler, the windows and the tabular rows;
-    ``store`` writes it once to the shared folder so that none of them repeats it.
+    Splits, window length and threshold come from the narrow aligned panel. The wide
+    rows are shuffled once: features and the window-end flag share that pass, so the
+    tabular rows are a filter. ``store`` writes the aligned and the engineered panel
+    to the shared folder so that no later job repeats them.
     """
     config = cfg.resolve(config)
     series = series_of(config)
-    target_cfg = config["target"]
-    target = target_cfg["column"]
-    engineered = engineered_panel(panel, config, align)
+    target_cfg, sequence = config["target"], config["sequence"]
+    label = target = target_cfg["column"]
+    labelled = labelled_panel(panel, config, align, store)
+    length = aggregate.resolve_sequence_length(labelled, series.region, sequence["length"])
+    stride = sequence["stride"]
+    engineered = features.engineer_features(
+        labelled, sequences.positions_for(series, stride), target, config["features"],
+        more=sequences.window_end(length, stride), more_reach=length - 1,
+    )
     if store:
         engineered = materialize(engineered, "engineered")
 
     columns = clean.select_feature_columns(engineered, target, config["features"])
-    sequence_columns = config["sequence"]["features"] or columns
+    sequence_columns = list(sequence["features"] or columns)
     scaler = split.fit_scaler(engineered, sequence_columns)
     threshold = None
-    label = target
     if target_cfg["type"] == "classification":
         threshold = split.target_threshold(
-            engineered, target, target_cfg["classification_threshold_percentile"]
+            labelled, target, target_cfg["classification_threshold_percentile"]
         )
         engineered = split.with_target_class(engineered, target, threshold)
         label = "target_class"
-
-    length = aggregate.resolve_sequence_length(
-        engineered, series.region, config["sequence"]["length"]
-    )
-    stride = config["sequence"]["stride"]
     scaled = split.with_scaled_features(engineered, sequence_columns, scaler)
-    windows = sequences.sliding_windows(scaled, series, label, length, stride)
-    ends = sequences.mark_window_ends(engineered, series, length, stride)
-    tabular = ends.where(sequences.WINDOW_END).drop(sequences.WINDOW_END).fillna(0)
+    tabular = engineered.where(sequences.WINDOW_END).drop(sequences.WINDOW_END)
     return ModelInputs(
-        engineered=engineered, tabular=tabular, windows=windows, feature_columns=columns,
-        sequence_feature_columns=list(sequence_columns), scaler=scaler, target_column=label,
-        target_type=target_cfg["type"], threshold=threshold, sequence_length=length,
-        series=series,
+        engineered=engineered, tabular=tabular.fillna(0),
+        windows=sequences.sliding_windows(scaled, series, label, length, stride),
+        feature_columns=columns, sequence_feature_columns=sequence_columns, scaler=scaler,
+        target_column=label, target_type=target_cfg["type"], threshold=threshold,
+        sequence_length=length, series=series,
     )
