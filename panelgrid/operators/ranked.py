@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelgrid.session import materialize
 
 BUCKET = "_bucket"
+MAX_BUCKETS = 4096
 
 
 def _cut_points(df: DataFrame, order: str, buckets: int) -> list[Column]:
@@ -44,14 +45,16 @@ def with_running_totals(
     order: str,
     totals: Sequence[str],
     groups: Sequence[str] = (),
-    buckets: int = 256,
+    rows_per_bucket: int = 50_000,
 ) -> DataFrame:
     """Adds ``{c}_before``: the sum of ``c`` over rows of the group ordered earlier.
 
     ``df`` is read several times and has one row per group and ordered value;
-    callers store it first.
+    callers store it first, which also makes counting it free. The number of
+    buckets follows the row count, so one task sorts a bounded share of the values.
     """
-    cuts = _cut_points(df, order, buckets)
+    buckets = min(MAX_BUCKETS, math.ceil(df.count() / rows_per_bucket))
+    cuts = _cut_points(df, order, buckets) if buckets > 1 else []
     bucketed = df.withColumn(BUCKET, _bucket_of(F.col(order), cuts))
     keys = [*groups, BUCKET]
     per_bucket = bucketed.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
