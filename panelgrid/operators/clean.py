@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelgrid.fixed_values import EVENT_COUNT_COLUMNS
 from panelgrid.functions.numeric import nan_to_null
 from panelgrid.operators.series import Series
 
 log = logging.getLogger(__name__)
 
+SAME_DAY_OUTCOMES = (*EVENT_COUNT_COLUMNS, "avg_magnitude", "avg_latitude", "avg_longitude")
+
 
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN to null in every floating column, once, at the source."""
@@ -62,17 +65,27 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def _tells_the_day(column: str) -> bool:
+    """Same-day outcomes and rolling statistics that include the day itself."""
+    base = column.split("_roll")[0]
+    return base in SAME_DAY_OUTCOMES
+
+
 def select_feature_columns(
     df: DataFrame, target: str, features: Mapping[str, Any] | None = None
 ) -> list[str]:
-    """Names of the model features, from an ``include`` list or all numeric columns."""
+    """Names of the model features, from an ``include`` list or all numeric columns.
+
+    ``leak_safe`` leaves out columns the target can be computed from: its difference
+    and change, and what else is only known once the day is over.
+    """
     features = features or {}
     barred = {target, "target_class", "split", *(features.get("exclude") or [])}
     auto = features.get("exclude_auto")
     barred |= set(["longitude", "latitude"] if auto is None else auto)
     if features.get("leak_safe"):
         barred |= {f"{target}_diff_1", f"{target}_pct_change"}
-        barred |= set(features.get("same_day_outcomes") or [])
+        barred |= {c for c in df.columns if _tells_the_day(c)}
     listed = features.get("include")
     if listed:
         return [c for c in listed if c in df.columns and c not in barred]

@@ -80,7 +80,8 @@ def engineer_features(
     def build(w: WindowSpec) -> list[Column]:
         columns = lag_features([target], lags, w)
         for c in base:
-            columns += lag_features([c], lags, w)
+            if c != target:  # its lags are there already
+                columns += lag_features([c], lags, w)
             columns += rolling_features([c], windows, statistics, w)
         return columns + change_features(target, w) + (more(w) if more else [])
 

@@ -30,6 +30,7 @@ EVENT_SCHEMA = T.StructType([
 def scan_storm_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """The ten event columns of all files, read by name whatever else a file holds.
 
+    All files share one layout; a header that differs from the first one is an error.
     Files are read as one union. Gzip cannot be split, so one file is one task;
     the first aggregation spreads its rows.
     """
@@ -38,7 +39,7 @@ def scan_storm_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     types = {f.name: f for f in EVENT_SCHEMA.fields}
     on_disk = T.StructType([types.get(c, T.StructField(c, T.StringType())) for c in header])
     raw = spark.read.csv(
-        paths, header=True, schema=on_disk, mode="PERMISSIVE", multiLine=False, quote='"', escape='"'
+        paths, header=True, schema=on_disk, enforceSchema=False, mode="PERMISSIVE", escape='"'
     )
     return raw.select(*EVENT_SCHEMA.fieldNames())
 
