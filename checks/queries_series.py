@@ -331,14 +331,14 @@ def _(spark, sf_dir):
 
 # -- jobs -----------------------------------------------------------------------------------------
 
-_FEATURES = {"lags": [1, 6], "rolling_windows": [3, 12], "rolling_statistics": ["mean", "max", "std"],
+_FEATURES = {"lags": [1, 6], "rolling_windows": [3, 6, 12], "rolling_statistics": ["mean", "max", "std"],
              "base_weather_cols": ["event_count", "tmax_c"]}
 _ENGINEERED = ", ".join(
     ["region_id", "timestamp", "failures", "event_count", "tmax_c", "prcp_mm", "latitude", "longitude"]
     + [_lag("failures", k) for k in (1, 6)]
     + [made for c in ("event_count", "tmax_c") for made in (
         *[_lag(c, k) for k in (1, 6)],
-        *[cell for n in (3, 12) for cell in (
+        *[cell for n in (3, 6, 12) for cell in (
             _rolling("avg", "mean", c, n, 4), _rolling("max", "max", c, n, 4),
             _rolling("stddev_pop", "std", c, n, 4))])]
     + [_DIFF, _PCT.replace(", 6)", ", 4)")]

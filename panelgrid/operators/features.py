@@ -37,6 +37,65 @@ def rolling_features(
     ]
 
 
+def _rolled(column: str, statistic: str, size: int) -> Column:
+    return F.col(f"_{statistic}_{size}_{column}")
+
+
+def _merged(column: str, half: int, statistic: str) -> Column:
+    """A statistic of two adjoining windows from theirs: the later one's in
+    ``_{statistic}_{half}``, the earlier one's, null or of no rows at the start of a
+    region, in ``_earlier_{statistic}``."""
+    late = {s: _rolled(column, s, half) for s in ("count", "mean", "max", "std")}
+    early = {s: F.col(f"_earlier_{s}_{column}") for s in late}
+    n1, n2 = late["count"], F.coalesce(early["count"], F.lit(0))
+    if statistic == "count":
+        return n1 + n2
+    if statistic == "max":
+        return F.greatest(late["max"], early["max"])
+    # Differences of means only, so equal windows merge without a rounding trace.
+    apart, share = early["mean"] - late["mean"], n2 / (n1 + n2)
+    if statistic == "mean":
+        both = late["mean"] + apart * share
+    else:
+        within = (n1 * F.pow(late["std"], F.lit(2)) + n2 * F.pow(early["std"], F.lit(2))) / (n1 + n2)
+        both = F.sqrt(within + apart * apart * share * (1 - share))
+    return F.when(n2 == 0, late[statistic]).when(n1 == 0, early[statistic]).otherwise(both)
+
+
+def with_rolling(
+    chunks: DataFrame, columns: Sequence[str], windows: Sequence[int],
+    statistics: Sequence[str], w: WindowSpec,
+) -> DataFrame:
+    """Rolling statistics as working columns, longer windows merged from shorter ones.
+
+    A frame is summed up anew for every row, so its cost grows with its length. A
+    window twice as long as another is two of those, half a window apart: one lag
+    each. All steps keep the same partitioning and order.
+    """
+    kept = [s for s in ROLLING if s in statistics]
+    if "std" in kept and "mean" not in kept:
+        kept.append("mean")
+    functions = {**ROLLING, "count": F.count}
+    if {"mean", "std"} & set(kept):
+        kept.append("count")
+    sizes = sorted(set(windows))
+    direct = [n for n in sizes if n % 2 or n // 2 not in sizes]
+    chunks = chunks.select("*", *[
+        functions[s](c).over(w.rowsBetween(1 - n, 0)).alias(f"_{s}_{n}_{c}")
+        for c in columns for n in direct for s in kept
+    ])
+    for n in (n for n in sizes if n not in direct):
+        half = n // 2
+        both = chunks.select("*", *[
+            F.lag(_rolled(c, s, half), half).over(w).alias(f"_earlier_{s}_{c}")
+            for c in columns for s in kept
+        ])
+        chunks = both.select(*chunks.columns, *[
+            _merged(c, half, s).alias(f"_{s}_{n}_{c}") for c in columns for s in kept
+        ])
+    return chunks
+
+
 def change_features(target: str, w: WindowSpec) -> list[Column]:
     """Difference to the previous row and the same as a fraction of it."""
     previous = F.lag(target, 1).over(w)
@@ -69,7 +128,8 @@ def engineer_features(
     """Panel plus, in order: target lags; per base column its lags and rolling
     statistics; target difference and relative change.
 
-    ``more`` adds columns over frames of up to ``more_reach`` rows back in the same pass.
+    ``more`` adds columns over frames of up to ``more_reach`` rows back. Everything
+    shares one exchange and one sort on (region, chunk).
     """
     features = features or {}
     lags = features.get("lags", [1, 3, 6, 12])
@@ -77,13 +137,18 @@ def engineer_features(
     statistics = features.get("rolling_statistics", ["mean", "max"])
     base = resolve_base_columns(panel, target, features.get("base_weather_cols"))
 
-    def build(w: WindowSpec) -> list[Column]:
-        columns = lag_features([target], lags, w)
-        for c in base:
-            if c != target:  # its lags are there already
-                columns += lag_features([c], lags, w)
-            columns += rolling_features([c], windows, statistics, w)
-        return columns + change_features(target, w) + (more(w) if more else [])
-
     reach = max([1, more_reach, *lags, *[n - 1 for n in windows]])
-    return drop_incomplete(over_chunks(panel, series, reach, build), series, target)
+    chunks = with_halo(with_position(panel, series), series, reach)
+    w = series.chunk_window(POSITION)
+    rolled = with_rolling(chunks, base, windows, statistics, w)
+    columns = lag_features([target], lags, w)
+    for c in base:
+        if c != target:  # its lags are there already
+            columns += lag_features([c], lags, w)
+        columns += [
+            _rolled(c, s, n).alias(f"{c}_roll{s}_{n}")
+            for n in windows for s in ROLLING if s in statistics
+        ]
+    columns += change_features(target, w) + (more(w) if more else [])
+    made = without_halo(rolled.select(*chunks.columns, *columns))
+    return drop_incomplete(made, series, target)

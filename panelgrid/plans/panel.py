@@ -131,7 +131,10 @@ def load_panel(
 
 @dataclass
 class ModelInputs:
-    """Everything a model fit needs; all frames are lazy."""
+    """Everything a model fit needs; all frames are lazy.
+
+    ``stored`` tells that ``engineered`` was written once and is not recomputed.
+    """
 
     engineered: DataFrame
     tabular: DataFrame
@@ -144,6 +147,7 @@ class ModelInputs:
     threshold: DataFrame | None
     sequence_length: int
     series: Series
+    stored: bool = False
 
     def counts(self) -> DataFrame:
         """Rows per split of both data sets."""
@@ -187,8 +191,9 @@ def build_model_inputs(
 
     Splits, window length and threshold come from the narrow aligned panel. The wide
     rows are shuffled once: features and the window-end flag share that pass, so the
-    tabular rows are a filter. ``store`` writes the aligned and the engineered panel
-    to the shared folder so that no later job repeats them.
+    tabular rows are a filter. ``store`` writes the aligned panel to the shared folder,
+    and the engineered one too where windows use engineered columns; where they use
+    panel columns only, nothing but the tabular rows would ever read it.
     """
     config = cfg.resolve(config)
     series = series_of(config)
@@ -201,25 +206,27 @@ def build_model_inputs(
         labelled, sequences.positions_for(series, stride), target, config["features"],
         more=sequences.window_end(length, stride), more_reach=length - 1,
     )
-    if store:
-        engineered = materialize(engineered, "engineered")
-
     columns = clean.select_feature_columns(engineered, target, config["features"])
     sequence_columns = list(sequence["features"] or columns)
-    scaler = split.fit_scaler(engineered, sequence_columns)
+    narrow = set(sequence_columns) <= set(labelled.columns)
+    if store and not narrow:
+        engineered = materialize(engineered, "engineered")
+    source = labelled if narrow else engineered
+    scaler = split.fit_scaler(source, sequence_columns)
     threshold = None
     if target_cfg["type"] == "classification":
         threshold = split.target_threshold(
             labelled, target, target_cfg["classification_threshold_percentile"]
         )
         engineered = split.with_target_class(engineered, target, threshold)
+        source = split.with_target_class(source, target, threshold)
         label = "target_class"
-    scaled = split.with_scaled_features(engineered, sequence_columns, scaler)
+    scaled = split.with_scaled_features(source, sequence_columns, scaler)
     tabular = engineered.where(sequences.WINDOW_END).drop(sequences.WINDOW_END)
     return ModelInputs(
         engineered=engineered, tabular=tabular.fillna(0),
         windows=sequences.sliding_windows(scaled, series, label, length, stride),
         feature_columns=columns, sequence_feature_columns=sequence_columns, scaler=scaler,
         target_column=label, target_type=target_cfg["type"], threshold=threshold,
-        sequence_length=length, series=series,
+        sequence_length=length, series=series, stored=store and not narrow,
     )

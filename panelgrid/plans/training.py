@@ -32,7 +32,8 @@ def train_and_evaluate(
     inputs = build_model_inputs(panel, config, align=align, store=True)
     target_type = inputs.target_type
 
-    tabular = materialize(inputs.tabular, "tabular")
+    # Rows of a stored panel are a filter on it; others are stored here, for all fits.
+    tabular = inputs.tabular if inputs.stored else materialize(inputs.tabular, "tabular")
     windows = materialize(inputs.windows, "windows")
     train = ensemble.tabular_vectors(
         tabular.where("split = 'train'").withColumnRenamed(inputs.target_column, "target"),

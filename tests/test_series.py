@@ -28,7 +28,7 @@ def _frame(spark, rows):
 def test_features_match_brute_force(spark, gaps, frequency, chunk_rows):
     rows = random_rows(1, SKEWED, missing=0.2, gaps=gaps)
     series = Series(frequency=frequency, chunk_rows=chunk_rows, bucket="10D")
-    config = {"lags": [1, 5], "rolling_windows": [3, 6], "rolling_statistics": ["mean", "max", "std"]}
+    config = {"lags": [1, 5], "rolling_windows": [3, 6, 12, 5], "rolling_statistics": ["mean", "max", "std"]}
     df = _frame(spark, rows).withColumn("y", F.col("n").cast("double"))
     made = collected(features.engineer_features(df, series, "y", config))
     want = as_pandas(rows)
@@ -39,7 +39,7 @@ def test_features_match_brute_force(spark, gaps, frequency, chunk_rows):
             np.testing.assert_allclose(
                 made[f"{column}_lag_{k}"].astype(float), groups[column].shift(k).fillna(0.0)
             )
-        for size in (3, 6):
+        for size in (3, 6, 12, 5):
             rolled = groups[column].rolling(size, min_periods=1)
             for name, values in (("mean", rolled.mean()), ("max", rolled.max()), ("std", rolled.std(ddof=0))):
                 np.testing.assert_allclose(
