@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import standins as st
 from checks.queries_sources import (
-    ECONOMY_SQL, INFRASTRUCTURE_SQL, POPULATION_SQL, event_files, real_panel,
+    ECONOMY_SQL, INFRASTRUCTURE_SQL, POPULATION_SQL, event_files, raw_files, real_panel,
 )
 from checks.registry import query, r, rounded
 from checks.standins import sql
@@ -504,4 +504,5 @@ _CONTEXT_COLUMNS = (
         left join ({INFRASTRUCTURE_SQL}) i on i.region_id = real_panel.region_id)""",
     "real_panel", "regions"))
 def _(spark, sf_dir):
-    return rounded(real_panel(spark, sf_dir).withColumn("failures", F.round("failures", 2)))
+    panel = real_panel(spark, raw_files(spark, sf_dir))
+    return rounded(panel.withColumn("failures", F.round("failures", 2)))

@@ -306,8 +306,8 @@ def _(spark, sf_dir):
     return plans.load_panel(spark, {"real": orders_loader}, {"folder": sf_dir})
 
 
-def real_panel(spark, sf_dir):
-    """Raw event, daily and station files to the panel with its context."""
+def raw_files(spark, sf_dir):
+    """Event, daily and station files made from the tables: loader arguments by name."""
     daily = scratch_path(spark, "daily")
     st.daily_lines(spark, sf_dir).write.text(daily)
     named = st.station_names(spark, sf_dir).where(F.col("region_id").isin(st.WANTED_REGIONS))
@@ -321,10 +321,15 @@ def real_panel(spark, sf_dir):
     config = {"data": {"real": {
         "start_date": st.START, "end_date": st.END, "ghcn": {"stations": stations},
     }}}
+    return {"config": config, "event_paths": [event_files(spark, sf_dir)],
+            "daily_paths": [daily], "station_path": station_file}
+
+
+def real_panel(spark, files):
+    """The panel of those files with its context."""
     regions = region_table(spark, st.WANTED_REGIONS, "region_id")
-    tables_by_name = context.load_context(regions, use_apis=False)
     return plans.load_real_panel(
-        spark, config, [event_files(spark, sf_dir)], [daily], station_file, tables_by_name
+        spark, context=context.load_context(regions, use_apis=False), **files
     )
 
 
