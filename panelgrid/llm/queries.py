@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelgrid.llm import decontaminate, exact_dedup, language_id, secrets, sharding, token_files
+from panelgrid.llm import (
+    decontaminate, exact_dedup, language_id, near_dedup, secrets, sharding, substring_dedup, token_files,
+)
 from panelgrid.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +61,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (hit > 0).alias("contaminated"))
 
 
+@query
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document: 3-word shingles, similarity 0.85."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read back from the written token files."""
@@ -86,3 +94,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[number(kind) for kind in secrets.KINDS],
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the words of windows that start earlier."""
+    cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), 20)
+    return cut.select("doc_id", "n_words", "n_removed",
+                      F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
