@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelgrid.llm import (
-    decontaminate, exact_dedup, language_id, near_dedup, secrets, sharding, substring_dedup, token_files,
+    decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, secrets, sharding, substring_dedup,
+    token_files,
 )
 from panelgrid.session import scratch_path
 
@@ -31,6 +32,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the mixture of all documents, once per epoch."""
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "epoch", "lang", "source")
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
@@ -42,6 +50,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("language.ambiguous").alias("ambiguous"))
 
 
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", F.col("quality.content").alias("content"), F.col("quality.metadata").alias("metadata"),
+        F.col("quality.score").alias("score"), (F.col("quality.score") >= 0.5).alias("kept"))
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays."""
