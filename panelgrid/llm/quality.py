@@ -62,9 +62,9 @@ def content_features(text: str | None) -> np.ndarray:
     lines = text.split("\n")
     n = len(words)
     out[-8:] = [
-        np.log1p(n) / 10, len(counts) / n, max(counts.values()) / n,
+        np.log1p(n) / 10, len(counts) / n, (max(counts.values()) - 1) / n,
         sum(a == b for a, b in zip(words, words[1:])) / n, len(set(lines)) / len(lines),
-        len(set(zip(words, words[1:], words[2:]))) / max(1, n - 2), min(len(text) / n, 40) / 40, 1.0,
+        len(set(zip(words, words[1:], words[2:]))) / (n - 2) if n > 2 else 1.0, min(len(text) / n, 40) / 40, 1.0,
     ]
     return out
 
