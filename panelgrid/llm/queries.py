@@ -11,10 +11,10 @@ from panelgrid.llm import (
     decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, secrets, sharding, substring_dedup,
     token_files,
 )
+from panelgrid.llm.queries_sql import SQL as SQL
 from panelgrid.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
