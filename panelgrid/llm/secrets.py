@@ -104,9 +104,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     """Log-likelihood ratio of random against ordinary for each character pair.
 
     Fitted on whole texts of about ``sample`` documents, chosen by a hash of the key: values
-    inside base spans are labelled random, the text around them ordinary. Each start character's
-    transitions are smoothed towards all token characters being equally likely, so with few or
-    no labelled secrets, or none at all, a random string is an evenly mixed one.
+    inside base spans are labelled random, the text around them ordinary. Transitions of the
+    random model are smoothed towards all token characters being equally likely, so with few
+    labelled secrets, or none, a random string is an evenly mixed one; those of the ordinary
+    model towards the frequencies of its characters.
     """
     chosen = docs.where(F.col(text).isNotNull())
     chosen = chosen.where(sampled(F.col(key), sample, docs.count())).select(
@@ -115,8 +116,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     for row in chosen.groupBy("c.label", "c.pair").agg(F.sum("c.n").alias("n")).collect():
         counts[row["label"], row["pair"] // 128, row["pair"] % 128] = row["n"]
     used = np.array([bool(TOKEN.fullmatch(chr(c) * 16)) for c in range(128)])
-    chance = counts * used + np.array([ORDINARY_SMOOTHING, RANDOM_SMOOTHING]).reshape(2, 1, 1) * used
-    chance = chance / chance.sum(axis=2, keepdims=True)
+    letters = counts[0].sum(axis=0) * used + ORDINARY_SMOOTHING * used
+    smooth = np.stack([np.outer(used, letters / letters.sum()) * ORDINARY_SMOOTHING * used.sum(),
+                       np.outer(used, used) * RANDOM_SMOOTHING])
+    chance = counts * used + smooth
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chance = chance / chance.sum(axis=2, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.log(chance[1] / chance[0])
     return np.nan_to_num(ratio, nan=0.0, posinf=0.0, neginf=0.0).astype(np.float32).reshape(-1)
