@@ -58,6 +58,11 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(found)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Tokens long enough to be a secret that hold a digit and a letter."""
+    return [m.span() for m in TOKEN.finditer(text) if MIXED.match(m.group())]
+
+
 def pairs(token: str) -> np.ndarray:
     """Places of a token's character pairs in a 128 x 128 table."""
     codes = np.frombuffer(token.encode("ascii"), np.uint8).astype(np.int64)
@@ -71,17 +76,22 @@ def _pair_counts(codes: np.ndarray) -> np.ndarray:
 
 
 def labelled_counts(texts: list[str | None]) -> np.ndarray:
-    """Character pairs outside (row 0) and inside (row 1) the values of base spans."""
+    """Character pairs of ordinary text (row 0) and of the values of base spans (row 1).
+
+    Tokens that may be secrets, but are in no base span, have no label and count in neither.
+    """
     counts = np.zeros((2, 128 * 128), np.int64)
     for text in texts:
         if not text:
             continue
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
         codes[codes > 127] = 0
-        inside = np.zeros(len(codes), bool)
+        inside, other = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
         for _, _, _, start, end in base_spans(text):
             inside[start:end] = True
-        counts[0] += _pair_counts(np.where(inside, 0, codes))
+        for start, end in candidates(text):
+            other[start:end] = True
+        counts[0] += _pair_counts(np.where(inside | other, 0, codes))
         if inside.any():
             counts[1] += _pair_counts(np.where(inside, codes, 0))
     return counts
@@ -142,11 +152,10 @@ def find_secrets(text: Column, ratios: np.ndarray, threshold: float = 0.7) -> Co
             return []
         base = base_spans(value)
         found = [(s, k, e) for s, k, e, _, _ in base]
-        for m in TOKEN.finditer(value):
-            if not MIXED.match(m.group()) or any(s < m.end() and m.start() < e for s, _, e, _, _ in base):
-                continue
-            if ratios[pairs(m.group())].mean() > threshold:
-                found.append((m.start(), len(KINDS), m.end()))
+        for start, end in candidates(value):
+            apart = all(end <= s or e <= start for s, _, e, _, _ in base)
+            if apart and ratios[pairs(value[start:end])].mean() > threshold:
+                found.append((start, len(KINDS), end))
         return [{"kind": (*KINDS, METHOD)[k], "start": s, "end": e} for s, k, e in sorted(found)]
 
     @F.arrow_udf(SPANS)
