@@ -319,8 +319,10 @@ def _(spark, sf_dir):
 @query("f14_scale_features", sql(
     f"""select region_id, timestamp,
         {r('(event_count - m1) / s1', 'event_count', 3)}, {r('(tmax_c - m2) / s2', 'tmax_c', 3)}
-    from split_panel, (select avg(event_count) as m1, stddev_pop(event_count) as s1,
-        avg(tmax_c) as m2, stddev_pop(tmax_c) as s2 from split_panel where split = 'train')""",
+    from (select *, (select avg(event_count) from split_panel where split = 'train') as m1,
+        (select stddev_pop(event_count) from split_panel where split = 'train') as s1,
+        (select avg(tmax_c) from split_panel where split = 'train') as m2,
+        (select stddev_pop(tmax_c) from split_panel where split = 'train') as s2 from split_panel)""",
     "split_panel"))
 def _(spark, sf_dir):
     labelled = chronological_split(st.panel(spark, sf_dir), st.SERIES)
@@ -361,7 +363,7 @@ def _(spark, sf_dir):
 
 
 @query("u01_union_of_event_files", sql(
-    "select event_id, region_id from storm where t is not null", "storm"))
+    "select event_id, region_id from storm", "storm"))
 def _(spark, sf_dir):
     rows = st.storm_rows(spark, sf_dir)
     time = text.parse_event_time(F.col("BEGIN_DATE_TIME"))
@@ -369,7 +371,7 @@ def _(spark, sf_dir):
     rows.withColumn("y", F.coalesce(F.year(time), F.lit(0))).write.partitionBy("y").option(
         "header", True
     ).option("compression", "gzip").csv(base)
-    years = range(1995, 2002)
+    years = [0, *range(1995, 2002)]
     scanned = scan_storm_events(spark, [f"{base}/y={y}" for y in years])
     return scanned.select(
         F.col("EVENT_ID").alias("event_id"), text.state_code(F.col("STATE")).alias("region_id")

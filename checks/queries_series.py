@@ -128,7 +128,7 @@ def _(spark, sf_dir):
 
 _HOURS = """select event_type, date_trunc('hour', ts) as hour,
     cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents
-    from events where event_id % 3 <> 0 group by 1, 2"""
+    from events group by 1, 2"""
 
 
 @query("w08_align_time_series", f"""with h as ({_HOURS}), g as (select event_type,
@@ -438,3 +438,14 @@ def _(spark, sf_dir):
     "on p.region_id = s.region_id and p.timestamp = s.timestamp", "split_panel"))
 def _(spark, sf_dir):
     return rounded(engineered_panel(st.panel(spark, sf_dir), {"features": _FEATURES}))
+
+
+@query("e08_engineer_features_with_gaps", sql(
+    f"""select * from (select {_ENGINEERED} from (select *, 1.0 as latitude, 2.0 as longitude from sales))""",
+    "sales"))
+def _(spark, sf_dir):
+    """Rows are counted where days are missing, whatever the chunk size."""
+    sparse = st.sales(spark, sf_dir).withColumns({"latitude": F.lit(1.0), "longitude": F.lit(2.0)})
+    return rounded(features.engineer_features(
+        sparse, replace(st.SERIES, chunk_rows=8), "failures", _FEATURES
+    ))

@@ -47,6 +47,27 @@ def _(spark, sf_dir):
     ))
 
 
+@query("s01_event_files_of_other_layouts", sql(
+    f"""select event_id, kind, {r('lat', 'begin_lat')}, cast(deaths as bigint) as deaths,
+        case when event_id % 2 = 1 then 'two' || chr(10) || 'lines' else 'one' end as damage
+    from storm""", "storm"))
+def _(spark, sf_dir):
+    rows = st.storm_rows(spark, sf_dir).withColumn("DAMAGE_PROPERTY", F.expr(
+        "if(EVENT_ID % 2 = 1, 'two\\nlines', 'one')"))
+    base = scratch_path(spark, "layouts")
+    for part, columns in ((0, rows.columns), (1, [*reversed(rows.columns)])):
+        rows.where(F.col("EVENT_ID") % 2 == part).select(*columns).write.option("header", True).option(
+            "quoteAll", True).option("escape", '"').csv(f"{base}/{part}")
+    scanned = events.scan_storm_events(spark, [f"{base}/0", f"{base}/1"])
+    kinds = F.array(*[F.lit(t) for t in st.EVENT_TYPES])
+    position = F.array_position(kinds, F.col("EVENT_TYPE")) - 1
+    return rounded(scanned.select(
+        F.col("EVENT_ID").alias("event_id"), F.coalesce(position, F.lit(8)).alias("kind"),
+        F.col("BEGIN_LAT").alias("begin_lat"), F.col("DEATHS_DIRECT").alias("deaths"),
+        F.col("DAMAGE_PROPERTY").alias("damage"),
+    ))
+
+
 @query("s02_latest_file_per_year", sql(
     """select year, concat('StormEvents_details-ftp_v1.0_d', year, '_c', max(stamp), '.csv.gz') as file
     from (select strftime(o_orderdate, '%Y') as year, strftime(o_orderdate, '%Y%m%d') as stamp,
@@ -116,8 +137,7 @@ def _(spark, sf_dir):
     )).alias("results")))
     path = _write_responses(spark, wide.select(body.alias("value")), "wide-json")
     return rounded(weather.weather_from_wide_json(
-        spark.read.schema(weather.WIDE_RESULTS).json(path)
-        .select(F.explode("results").alias("r")).select("r.*")
+        weather.read_responses(spark, path, weather.WIDE_RESULTS, per_line=True)
     ))
 
 
@@ -138,8 +158,7 @@ def _(spark, sf_dir):
     )
     path = _write_responses(spark, responses.select("value"), "long-json")
     return rounded(weather.weather_from_long_json(
-        spark.read.schema(weather.LONG_RESULTS).json(path)
-        .select(F.explode("results").alias("r")).select("r.*")
+        weather.read_responses(spark, path, weather.LONG_RESULTS, per_line=True)
     ))
 
 
@@ -264,6 +283,22 @@ def _(spark, sf_dir):
     return rounded(artifacts.read_metrics(spark, _stored_metrics(spark, sf_dir)))
 
 
+@query("s14_read_metrics_of_any_name", sql(
+    """select r_name as split, c_mktsegment as model, 'mape' as metric, cast(count(*) as double) as value
+    from region, nation, customer where r_regionkey = n_regionkey and n_nationkey = c_nationkey
+    group by 1, 2"""))
+def _(spark, sf_dir):
+    named = st.table(spark, sf_dir, "customer").join(
+        st.table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")
+    ).join(st.table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    figures = named.groupBy(F.col("r_name").alias("split"), F.col("c_mktsegment").alias("model")).agg(
+        F.lit("mape").alias("metric"), F.count(F.lit(1)).cast("double").alias("value")
+    )
+    folder = scratch_path(spark, "run")
+    tables.save_metrics_json(figures, f"{folder}/metrics.json")
+    return artifacts.read_metrics(spark, folder)
+
+
 @query("s14_read_threshold", sql(
     "select quantile_cont(failures, 0.8) as classification_threshold from split_panel where split = 'train'",
     "split_panel"))
@@ -286,8 +321,8 @@ def _(spark, sf_dir):
         from (select list(distinct o_orderpriority order by o_orderpriority) as l from orders))"""))
 def _(spark, sf_dir):
     def names(table, column):
-        rows = st.table(spark, sf_dir, table).select(column).distinct().orderBy(column).take(50)
-        return [row[0] for row in rows]
+        return st.table(spark, sf_dir, table).agg(
+            F.array_sort(F.collect_set(column)).alias("names")).first()["names"]
 
     folder = scratch_path(spark, "run")
     tables.save_text(spark, tables.to_json_text({
@@ -377,7 +412,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     base = scratch_path(spark, "runs")
     folder = tables.run_folder(base, "trial")
-    tables.save_table(st.predictions(spark, sf_dir), f"{folder}/predictions.csv")
+    tables.save_table(st.predictions(spark, sf_dir), f"{folder}/predictions.parquet")
     tables.update_latest(spark, base, folder)
     latest = artifacts.read_predictions(spark, f"{base}/latest")
     return latest.select("region_id", "timestamp", "split", "target")

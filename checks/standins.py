@@ -99,7 +99,7 @@ def _storm_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def storm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw event rows as a landed table, which is what parsers read."""
-    return materialize(_storm_expressions(spark, sf_dir).repartition(8), "storm")
+    return materialize(_storm_expressions(spark, sf_dir), "storm")
 
 
 CTE["storm"] = (

@@ -27,9 +27,9 @@ DEFAULTS: dict[str, Any] = {
         "include": None,
         "exclude": [],
         "exclude_auto": ["longitude", "latitude"],
-        "lags": [1, 3, 6, 12],
-        "rolling_windows": [3, 6, 12],
-        "rolling_statistics": ["mean", "max"],
+        "lags": [1, 3, 6, 12, 24],
+        "rolling_windows": [3, 6, 12, 24],
+        "rolling_statistics": ["mean", "max", "std"],
         "base_weather_cols": None,
         "leak_safe": False,
     },

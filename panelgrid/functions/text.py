@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from panelgrid.fixed_values import STATE_CODES, STATE_FIPS
 
-_AMOUNT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[KMBkmb]?$"
+_DIGITS = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+NUMBER = rf"^{_DIGITS}$"
+_AMOUNT = rf"^{_DIGITS}[KMBkmb]?$"
 _EVENT_TIME = r"^\d{1,2}-[A-Za-z]{3}-\d{2} \d{2}:\d{2}:\d{2}$"
 _SLASH_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
 _MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"

@@ -65,10 +65,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _tells_the_day(column: str) -> bool:
+def _tells_the_day(column: str, outcomes: Sequence[str]) -> bool:
     """Same-day outcomes and rolling statistics that include the day itself."""
-    base = column.split("_roll")[0]
-    return base in SAME_DAY_OUTCOMES
+    return column in outcomes or any(column.startswith(f"{o}_roll") for o in outcomes)
 
 
 def select_feature_columns(
@@ -77,7 +76,8 @@ def select_feature_columns(
     """Names of the model features, from an ``include`` list or all numeric columns.
 
     ``leak_safe`` leaves out columns the target can be computed from: its difference
-    and change, and what else is only known once the day is over.
+    and change, its rolling statistics, which include the day itself, and what else is only
+    known once the day is over: the columns of ``same_day`` and theirs.
     """
     features = features or {}
     barred = {target, "target_class", "split", *(features.get("exclude") or [])}
@@ -85,7 +85,8 @@ def select_feature_columns(
     barred |= set(["longitude", "latitude"] if auto is None else auto)
     if features.get("leak_safe"):
         barred |= {f"{target}_diff_1", f"{target}_pct_change"}
-        barred |= {c for c in df.columns if _tells_the_day(c)}
+        outcomes = [target, *features.get("same_day", SAME_DAY_OUTCOMES)]
+        barred |= {c for c in df.columns if _tells_the_day(c, outcomes)}
     listed = features.get("include")
     if listed:
         return [c for c in listed if c in df.columns and c not in barred]
@@ -149,7 +150,7 @@ def filter_split_or_fail(predictions: DataFrame, split: str) -> DataFrame:
     if kept.isEmpty():
         present = []
         if "split" in predictions.columns:
-            rows = predictions.select("split").distinct().orderBy("split").take(10)
-            present = [r["split"] for r in rows]
+            named = F.array_sort(F.collect_set("split"))
+            present = predictions.agg(named.alias("splits")).first()["splits"]
         raise ValueError(f"no prediction for split {split!r}; available: {present or 'none'}")
     return kept

@@ -8,9 +8,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from panelgrid.config import DEFAULTS as CONFIGURED
 from panelgrid.functions.numeric import fraction_change
 from panelgrid.operators.clean import drop_incomplete, resolve_base_columns
-from panelgrid.operators.series import POSITION, Series, with_halo, with_position, without_halo
+from panelgrid.operators.series import (
+    POSITION, Series, on_steps, with_halo, with_position, without_halo,
+)
+
+DEFAULTS = CONFIGURED["features"]
 
 ROLLING: dict[str, Callable[[str], Column]] = {
     "mean": F.avg,
@@ -106,12 +111,14 @@ def change_features(target: str, w: WindowSpec) -> list[Column]:
 
 
 def over_chunks(
-    df: DataFrame, series: Series, reach: int, build: Callable[[WindowSpec], list[Column]]
+    df: DataFrame, series: Series, reach: int, build: Callable[[WindowSpec], list[Column]],
+    dense: bool = False,
 ) -> DataFrame:
     """``df`` plus the columns ``build`` makes from frames of at most ``reach`` rows back.
 
     All of them share one exchange and one sort on (region, chunk).
     """
+    series = series if dense else on_steps(df, series)
     chunks = with_halo(with_position(df, series), series, reach)
     window = series.chunk_window(POSITION)
     return without_halo(chunks.select("*", *build(window)))
@@ -124,17 +131,21 @@ def engineer_features(
     features: Mapping[str, Any] | None = None,
     more: Callable[[WindowSpec], list[Column]] | None = None,
     more_reach: int = 0,
+    dense: bool = False,
 ) -> DataFrame:
     """Panel plus, in order: target lags; per base column its lags and rolling
     statistics; target difference and relative change.
 
     ``more`` adds columns over frames of up to ``more_reach`` rows back. Everything
-    shares one exchange and one sort on (region, chunk).
+    shares one exchange and one sort on (region, chunk). ``dense`` promises that every
+    region has a row on every step, as an aligned panel has; otherwise that is looked at,
+    and rows of a panel with gaps are counted.
     """
+    series = series if dense else on_steps(panel, series)
     features = features or {}
-    lags = features.get("lags", [1, 3, 6, 12])
-    windows = features.get("rolling_windows", [3, 6, 12])
-    statistics = features.get("rolling_statistics", ["mean", "max"])
+    lags = features.get("lags", DEFAULTS["lags"])
+    windows = features.get("rolling_windows", DEFAULTS["rolling_windows"])
+    statistics = features.get("rolling_statistics", DEFAULTS["rolling_statistics"])
     base = resolve_base_columns(panel, target, features.get("base_weather_cols"))
 
     reach = max([1, more_reach, *lags, *[n - 1 for n in windows]])

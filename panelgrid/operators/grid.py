@@ -112,9 +112,12 @@ def region_steps(df: DataFrame, series: Series) -> DataFrame:
 
 
 def align_reindex(df: DataFrame, series: Series) -> DataFrame:
-    """Rows of each region on its own regular grid; off-grid rows vanish, gaps are null."""
+    """Rows of each region on its own regular grid; off-grid rows vanish, gaps are null.
+
+    Two rows of one region and time are an error, raised when the result is computed.
+    """
     grid = _ticks(region_steps(df, series), series, series.time)
-    return grid.join(df, series.key, "left").select(*df.columns)
+    return grid.join(with_unique_keys(df, series), series.key, "left").select(*df.columns)
 
 
 def align_time_series(df: DataFrame, series: Series) -> DataFrame:
@@ -123,6 +126,16 @@ def align_time_series(df: DataFrame, series: Series) -> DataFrame:
     return fill_gaps(align_reindex(df, series), columns, series).fillna(0)
 
 
+def with_unique_keys(df: DataFrame, series: Series) -> DataFrame:
+    """The rows themselves, partitioned by key as a join on it wants them; fails on a key
+    that is there twice."""
+    others = [F.first(c).alias(c) for c in df.columns if c not in series.key]
+    counted = df.groupBy(*series.key).agg(F.count(F.lit(1)).alias("_rows"), *others)
+    named = F.format_string("duplicate key %s, %s", *[F.col(c).cast("string") for c in series.key])
+    single = F.when(F.col("_rows") == 1, F.lit(True)).otherwise(F.raise_error(named).cast("boolean"))
+    return counted.where(single).select(*df.columns)
+
+
 def duplicate_keys(df: DataFrame, series: Series) -> DataFrame:
     """Keys held by more than one row; a panel must have none before alignment."""
     return df.groupBy(*series.key).count().where("count > 1")

@@ -38,13 +38,16 @@ def attach_context(
 ) -> DataFrame:
     """Left-joins each context table; each adds its columns and no rows.
 
-    A table without the region column is skipped with a warning, the others stay.
+    A table without the region column is skipped with a warning, the others stay. One
+    with several rows for a region is an error: which of them holds is not ours to say.
     """
     for name, table in tables.items():
         if region not in table.columns:
             log.warning("context table %s has no column %s; skipped", name, region)
             continue
-        df = df.join(table.dropDuplicates([region]), region, "left")
+        if not table.groupBy(region).count().where("count > 1").isEmpty():
+            raise ValueError(f"context table {name} has several rows for one {region}")
+        df = df.join(table, region, "left")
     return df
 
 

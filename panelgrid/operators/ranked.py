@@ -1,9 +1,9 @@
 """Running totals over globally ordered values, without a single-task sort.
 
-Rows are first reduced to one per distinct value and stored, so the data behind
-them is read once. They are then cut into value buckets at approximate quantiles. Where the cuts fall affects only balance: a running total is the total
-of all earlier buckets, a table as long as the bucket count, plus the total within
-the bucket. The result is exact.
+Rows are first reduced to one per distinct value. Spark's range partitioning deals them to
+tasks by value, and each task's number is stored with its rows. A running total is the total of
+all earlier tasks, one row per task, plus the total within the task. Where the ranges begin
+affects only balance; the result is exact.
 """
 
 from __future__ import annotations
@@ -17,27 +17,7 @@ from pyspark.sql import functions as F
 from panelgrid.session import materialize
 
 BUCKET = "_bucket"
-MAX_BUCKETS = 4096
-
-
-def _cut_points(df: DataFrame, order: str, buckets: int) -> list[Column]:
-    """Approximate quantiles as literals, ascending and distinct: a bounded list."""
-    fractions = [i / buckets for i in range(1, buckets)]
-    estimate = F.percentile_approx(order, fractions, F.lit(20 * buckets))
-    found = df.agg(estimate.cast("array<string>").alias("text"), estimate.alias("cuts")).first()
-    kind = df.schema[order].dataType
-    by_value = dict(zip(found["cuts"] or [], found["text"] or []))
-    return [F.lit(by_value[cut]).cast(kind) for cut in sorted(by_value)]
-
-
-def _bucket_of(value: Column, cuts: list[Column], first: int = 0) -> Column:
-    """Number of cuts below the value, by a balanced tree of comparisons."""
-    if not cuts:
-        return F.lit(first)
-    middle = len(cuts) // 2
-    return F.when(
-        value > cuts[middle], _bucket_of(value, cuts[middle + 1:], first + middle + 1)
-    ).otherwise(_bucket_of(value, cuts[:middle], first))
+ROWS_PER_TASK = 50_000
 
 
 def with_running_totals(
@@ -45,17 +25,17 @@ def with_running_totals(
     order: str,
     totals: Sequence[str],
     groups: Sequence[str] = (),
-    rows_per_bucket: int = 50_000,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Adds ``{c}_before``: the sum of ``c`` over rows of the group ordered earlier.
 
-    ``df`` is read several times and has one row per group and ordered value;
-    callers store it first, which also makes counting it free. The number of
-    buckets follows the row count, so one task sorts a bounded share of the values.
+    ``df`` has one row per group and ordered value; callers store it first, which also makes
+    counting it free. The number of ranges follows the row count, so one task sorts a bounded
+    share of the values however many there are.
     """
-    buckets = min(MAX_BUCKETS, math.ceil(df.count() / rows_per_bucket))
-    cuts = _cut_points(df, order, buckets) if buckets > 1 else []
-    bucketed = df.withColumn(BUCKET, _bucket_of(F.col(order), cuts))
+    tasks = tasks or max(1, math.ceil(df.count() / ROWS_PER_TASK))
+    ranged = df.repartitionByRange(tasks, order).withColumn(BUCKET, F.spark_partition_id())
+    bucketed = materialize(ranged, "ranges")
     keys = [*groups, BUCKET]
     per_bucket = bucketed.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
     by_bucket = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ WINDOW_END = "is_window_end"
 
 
 def positions_for(series: Series, stride: int) -> Series:
-    """A stride counts from the region's first row, so rows must be numbered; a
-    stride of one does not care where counting starts."""
-    return series if stride == 1 else series.irregular()
+    """A stride counts from the region's first row; a stride of one does not care where
+    counting starts."""
+    return series if stride == 1 else replace(series, from_first=True)
 
 
 def window_end(length: int, stride: int = 1) -> Callable[[WindowSpec], list[Column]]:
@@ -40,7 +41,7 @@ def mark_window_ends(df: DataFrame, series: Series, length: int, stride: int = 1
 
 def sliding_windows(
     df: DataFrame, series: Series, target: str, length: int, stride: int = 1,
-    features: str = "features",
+    features: str = "features", dense: bool = False,
 ) -> DataFrame:
     """One row per window: key and target of its last row, and its feature rows in order.
 
@@ -56,7 +57,7 @@ def sliding_windows(
         rows = F.collect_list("_row").over(w.rowsBetween(1 - length, 0))
         return [*window_end(length, stride)(w), rows.alias("features")]
 
-    windows = over_chunks(narrow, positions_for(series, stride), length - 1, build)
+    windows = over_chunks(narrow, positions_for(series, stride), length - 1, build, dense)
     return windows.where(WINDOW_END).select(
         "split", *series.key, "latitude", "longitude", "features", "target"
     )

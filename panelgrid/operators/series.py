@@ -63,7 +63,9 @@ class Series:
 
     ``frequency`` is the fixed distance between neighbouring rows of a region
     (every grid made by :mod:`panelgrid.operators.grid` has one). ``None`` says
-    that rows are irregular; positions are then counted instead of computed.
+    that rows are irregular; positions are then counted instead of computed. ``counted``
+    asks for that too where a fixed step has gaps, and ``from_first`` for positions that
+    start at 0 in every region.
     """
 
     region: str = "region_id"
@@ -71,6 +73,8 @@ class Series:
     frequency: str | None = "1D"
     chunk_rows: int = 2048
     bucket: str = "30D"
+    counted: bool = False
+    from_first: bool = False
 
     @property
     def key(self) -> list[str]:
@@ -115,12 +119,36 @@ def with_row_index(df: DataFrame, series: Series, name: str = POSITION) -> DataF
     )
 
 
+def on_steps(df: DataFrame, series: Series) -> Series:
+    """The series itself if every region has one row on each step from its first to its
+    last, else one whose positions are counted.
+
+    Lags count rows, so on a series with gaps, repeats or rows between steps a position
+    computed from the time would make results depend on where chunks begin. One aggregate
+    of the two key columns tells.
+    """
+    if series.frequency is None or series.counted:
+        return series
+    seconds = step_seconds(series.frequency)
+    step = step_number(F.col(series.time), seconds)
+    after = epoch_seconds(F.col(series.time)) - step * seconds
+    runs = df.where(F.col(series.time).isNotNull()).groupBy(series.region).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_distinct(step).alias("_steps"),
+        (F.max(step) - F.min(step) + 1).alias("_span"), (F.max(after) - F.min(after)).alias("_off"),
+    )
+    broken = runs.where("_rows <> _steps or _steps <> _span or _off <> 0")
+    return series if broken.isEmpty() else replace(series, counted=True)
+
+
 def with_position(df: DataFrame, series: Series) -> DataFrame:
-    """Consecutive integers along each region; free of shuffles on a regular grid."""
-    if series.frequency is None:
+    """Consecutive integers along each region; free of wide shuffles on a regular grid."""
+    if series.frequency is None or series.counted:
         return with_row_index(df, series)
-    step = step_seconds(series.frequency)
-    return df.withColumn(POSITION, step_number(F.col(series.time), step))
+    step = step_number(F.col(series.time), step_seconds(series.frequency))
+    if not series.from_first:
+        return df.withColumn(POSITION, step)
+    first = df.groupBy(series.region).agg(F.min(step).alias("_first_step"))
+    return df.join(first, series.region).withColumn(POSITION, step - F.col("_first_step")).drop("_first_step")
 
 
 def with_halo(df: DataFrame, series: Series, before: int) -> DataFrame:

@@ -14,7 +14,7 @@ from panelgrid import config as cfg
 from panelgrid.functions.text import day_floor, parse_damage, parse_event_time, state_code
 from panelgrid.operators import aggregate, clean, features, joins, sequences, split
 from panelgrid.operators.grid import align_time_series, day_bounds, region_table
-from panelgrid.operators.series import Series
+from panelgrid.operators.series import Series, on_steps
 from panelgrid.session import materialize
 from panelgrid.sources import weather as wx
 from panelgrid.sources.events import scan_storm_events
@@ -90,7 +90,7 @@ def load_real_panel(
     regions = list(real["ghcn"]["stations"])
     events = daily_events(scan_storm_events(spark, event_paths), regions, start, end)
     metadata = wx.scan_stations(spark, station_path, named)
-    for row in wx.missing_stations(metadata, named).take(20):
+    for row in wx.missing_stations(metadata, named).toLocalIterator():
         log.warning("no metadata for station %s", row["station"])
     weather = daily_weather(wx.scan_daily_files(spark, daily_paths), named, start, end)
     coordinates = named.join(metadata, "station", "left").select(
@@ -179,7 +179,7 @@ def engineered_panel(
     config = cfg.resolve(config)
     return features.engineer_features(
         labelled_panel(panel, config, align), series_of(config), config["target"]["column"],
-        config["features"],
+        config["features"], dense=align,
     )
 
 
@@ -200,11 +200,15 @@ def build_model_inputs(
     target_cfg, sequence = config["target"], config["sequence"]
     label = target = target_cfg["column"]
     labelled = labelled_panel(panel, config, align, store)
+    if not align:
+        series = on_steps(labelled, series)
+    # an aligned panel lies on its grid, and of the other one it is known from here on
+    dense = not series.counted
     length = aggregate.resolve_sequence_length(labelled, series.region, sequence["length"])
     stride = sequence["stride"]
     engineered = features.engineer_features(
         labelled, sequences.positions_for(series, stride), target, config["features"],
-        more=sequences.window_end(length, stride), more_reach=length - 1,
+        more=sequences.window_end(length, stride), more_reach=length - 1, dense=dense,
     )
     columns = clean.select_feature_columns(engineered, target, config["features"])
     sequence_columns = list(sequence["features"] or columns)
@@ -225,7 +229,7 @@ def build_model_inputs(
     tabular = engineered.where(sequences.WINDOW_END).drop(sequences.WINDOW_END)
     return ModelInputs(
         engineered=engineered, tabular=tabular.fillna(0),
-        windows=sequences.sliding_windows(scaled, series, label, length, stride),
+        windows=sequences.sliding_windows(scaled, series, label, length, stride, dense=dense),
         feature_columns=columns, sequence_feature_columns=sequence_columns, scaler=scaler,
         target_column=label, target_type=target_cfg["type"], threshold=threshold,
         sequence_length=length, series=series, stored=store and not narrow,

@@ -87,6 +87,7 @@ def save_run(
 ) -> str:
     """Everything a report or a later scoring job needs, below one folder."""
     spark = predictions.sparkSession
+    save_table(predictions, f"{folder}/predictions.parquet")
     save_table(predictions, f"{folder}/predictions.csv")
     save_metrics_json(metrics, f"{folder}/metrics.json", config, threshold)
     epochs = [row.asDict() for row in history.orderBy("epoch").toLocalIterator()]
@@ -99,11 +100,10 @@ def save_run(
 
 
 def update_latest(spark: SparkSession, base: str, folder: str) -> str:
-    """Replaces ``base/latest`` by a copy of the run folder, on any Hadoop file system."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    source, latest = hadoop.Path(folder), hadoop.Path(f"{base.rstrip('/')}/latest")
-    configuration = spark._jsc.hadoopConfiguration()
-    system = source.getFileSystem(configuration)
-    system.delete(latest, True)
-    hadoop.FileUtil.copy(system, source, system, latest, False, configuration)
-    return latest.toString()
+    """Lets ``base/latest`` stand for the run folder: a small document that names it.
+
+    Nothing is copied; readers of ``base/latest`` follow the name. Returns that path.
+    """
+    name = PurePath(folder.rstrip("/")).name
+    save_text(spark, to_json_text({"run": name}), f"{base.rstrip('/')}/latest.json")
+    return f"{base.rstrip('/')}/latest"

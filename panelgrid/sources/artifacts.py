@@ -22,35 +22,52 @@ PREDICTION_SCHEMA = T.StructType(
     ]
 )
 
-METRIC_NAMES = ("mae", "rmse", "r2", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
-MODEL_NAMES = ("rf", "xgb", "tabular_ensemble", "hybrid_ensemble", "lstm")
-SPLIT_NAMES = ("train", "val", "test")
-
-_MODEL = T.StructType([T.StructField(m, T.DoubleType()) for m in METRIC_NAMES])
-_SPLIT = T.StructType([T.StructField(m, _MODEL) for m in MODEL_NAMES])
+_FIGURES = T.MapType(T.StringType(), T.DoubleType())
 METRICS_SCHEMA = T.StructType([
-    T.StructField("metrics", T.StructType([T.StructField(s, _SPLIT) for s in SPLIT_NAMES])),
+    T.StructField("metrics", T.MapType(T.StringType(), T.MapType(T.StringType(), _FIGURES))),
     T.StructField("classification_threshold", T.DoubleType()),
 ])
 
 
-def _file_in(path: str, name: str) -> str:
-    """``path`` may be the artifact folder or any file in it."""
+def run_of(spark: SparkSession, path: str) -> str:
+    """The folder ``path`` stands for: a run folder, one of its files, or ``latest``."""
     folder = path.rstrip("/")
     if folder.endswith((".csv", ".parquet", ".json")):
         folder = folder.rsplit("/", 1)[0]
-    return f"{folder}/{name}"
+    base, _, name = folder.rpartition("/")
+    if name != "latest":
+        return folder
+    try:
+        named = spark.read.schema("run string").option("multiLine", True).json(f"{base}/latest.json").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return folder
+    return f"{base}/{named['run']}"
+
+
+def _file_in(spark: SparkSession, path: str, name: str) -> str:
+    return f"{run_of(spark, path)}/{name}"
 
 
 def read_predictions(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
     """The predictions table; when absent an error, or an empty frame if ``missing_ok``.
 
-    Classification runs store ``hybrid_class`` in place of ``residual``.
+    Classification runs store ``hybrid_class`` in place of ``residual``. The parquet copy is
+    read where a run has one.
     """
-    file = _file_in(path, "predictions.csv")
+    folder = run_of(spark, path)
+    try:
+        return spark.read.parquet(f"{folder}/predictions.parquet")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    file = f"{folder}/predictions.csv"
     try:
         header = spark.read.csv(file, header=True).columns
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         if missing_ok:
             return spark.createDataFrame([], PREDICTION_SCHEMA)
         raise FileNotFoundError(f"no predictions at {file}") from None
@@ -66,21 +83,15 @@ def _read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Nested metrics as (split, model, metric, value) rows; absent entries give none."""
-    nested = _read_json(spark, _file_in(path, "metrics.json"), METRICS_SCHEMA)
-    cells = [
-        F.struct(
-            F.lit(s).alias("split"), F.lit(m).alias("model"), F.lit(k).alias("metric"),
-            F.col(f"metrics.{s}.{m}.{k}").alias("value"),
-        )
-        for s in SPLIT_NAMES for m in MODEL_NAMES for k in METRIC_NAMES
-    ]
-    return nested.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(
-        F.col("value").isNotNull()
-    )
+    nested = _read_json(spark, _file_in(spark, path, "metrics.json"), METRICS_SCHEMA)
+    splits = nested.select(F.explode("metrics").alias("split", "models"))
+    models = splits.select("split", F.explode("models").alias("model", "figures"))
+    figures = models.select("split", "model", F.explode("figures").alias("metric", "value"))
+    return figures.where(F.col("value").isNotNull())
 
 
 def read_threshold(spark: SparkSession, path: str) -> DataFrame:
-    return _read_json(spark, _file_in(path, "metrics.json"), METRICS_SCHEMA).select(
+    return _read_json(spark, _file_in(spark, path, "metrics.json"), METRICS_SCHEMA).select(
         "classification_threshold"
     )
 
@@ -91,7 +102,7 @@ def read_feature_columns(spark: SparkSession, path: str) -> DataFrame:
         T.StructField(k, T.ArrayType(T.StringType()))
         for k in ("tabular_features", "sequence_features")
     ])
-    lists = _read_json(spark, _file_in(path, "feature_columns.json"), schema)
+    lists = _read_json(spark, _file_in(spark, path, "feature_columns.json"), schema)
     long = lists.unpivot([], ["tabular_features", "sequence_features"], "kind", "features")
     return long.select(
         F.regexp_replace("kind", "_features$", "").alias("kind"),

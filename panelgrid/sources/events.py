@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,21 +28,38 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
+def select_or_null(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of the schema; those absent are typed nulls."""
+    return df.select(*[
+        F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ])
+
+
 def scan_storm_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """The ten event columns of all files, read by name whatever else a file holds.
 
-    All files share one layout; a header that differs from the first one is an error.
-    Files are read as one union. Gzip cannot be split, so one file is one task;
-    the first aggregation spreads its rows.
+    Files may order their columns differently; those with the same header are one scan. A
+    column a file lacks is null. Quoted fields may hold line breaks: a file is one task then,
+    which gzipped files are anyway; the first aggregation spreads its rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    header = spark.read.csv(paths[0], header=True).columns
+    if not paths:
+        raise ValueError("no event files to read")
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        header = tuple(spark.read.csv(path, header=True, escape='"').columns)
+        layouts.setdefault(header, []).append(path)
     types = {f.name: f for f in EVENT_SCHEMA.fields}
-    on_disk = T.StructType([types.get(c, T.StructField(c, T.StringType())) for c in header])
-    raw = spark.read.csv(
-        paths, header=True, schema=on_disk, enforceSchema=False, mode="PERMISSIVE", escape='"'
-    )
-    return raw.select(*EVENT_SCHEMA.fieldNames())
+    scans = []
+    for header, files in layouts.items():
+        on_disk = T.StructType([types.get(c, T.StructField(c, T.StringType())) for c in header])
+        raw = spark.read.csv(
+            files, header=True, schema=on_disk, enforceSchema=False, mode="PERMISSIVE", escape='"',
+            multiLine=True,
+        )
+        scans.append(select_or_null(raw, EVENT_SCHEMA))
+    return reduce(DataFrame.unionByName, scans)
 
 
 def latest_file_per_year(listing: DataFrame, name: str = "name") -> DataFrame:
@@ -61,7 +79,7 @@ def files_for_years(listing: DataFrame, years: Sequence[int], name: str = "name"
     """File names of the wanted years, one per year; missing years are logged."""
     wanted = [str(y) for y in years]
     found = latest_file_per_year(listing, name).where(F.col("year").isin(wanted))
-    by_year = {row["year"]: row["file"] for row in found.take(len(wanted))}
+    by_year = {row["year"]: row["file"] for row in found.toLocalIterator()}
     for year in wanted:
         if year not in by_year:
             log.warning("no storm event file for year %s", year)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from panelgrid.fixed_values import MISSING_OBSERVATION, WEATHER_COLUMNS, WEATHER_MEASURES
 from panelgrid.functions.numeric import mean_of_two, scale_measures
-from panelgrid.functions.text import fixed_field, make_day
+from panelgrid.functions.text import NUMBER, fixed_field, make_day
 
 log = logging.getLogger(__name__)
 
@@ -44,9 +44,7 @@ LONG_RESULTS = T.StructType([
 def valid_observation(value: Column, quality: Column) -> Column:
     """A number, not the missing mark, and no quality flag raised."""
     text = F.trim(value)
-    return (
-        (F.trim(quality) == "") & (text != MISSING_OBSERVATION) & text.try_cast("double").isNotNull()
-    )
+    return (F.trim(quality) == "") & (text != MISSING_OBSERVATION) & text.rlike(NUMBER)
 
 
 def daily_observations(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -127,10 +125,12 @@ def to_measures(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def read_responses(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Result rows of landed JSON responses, one response per file or per line."""
+def read_responses(
+    spark: SparkSession, path: str, schema: T.StructType, per_line: bool = False
+) -> DataFrame:
+    """Result rows of landed JSON responses: a response is a file, or ``per_line`` a line."""
     return (
-        spark.read.schema(schema).option("multiLine", True).json(path)
+        spark.read.schema(schema).option("multiLine", not per_line).json(path)
         .select(F.explode("results").alias("r")).select("r.*")
     )
 

@@ -150,7 +150,7 @@ def test_running_totals_over_many_buckets(spark):
     values = spark.createDataFrame(
         [(g, float(x * x % 997), x % 5) for g in "ab" for x in range(400)], "g string, x double, w int"
     ).groupBy("g", "x").agg(F.sum("w").alias("w")).cache()
-    made = with_running_totals(values, "x", ["w"], ["g"], rows_per_bucket=20).toPandas()
+    made = with_running_totals(values, "x", ["w"], ["g"], tasks=20).toPandas()
     want = made.sort_values(["g", "x"]).groupby("g")["w"].cumsum() - made["w"]
     assert (made["w_before"] == want.sort_index()).all()
 
