@@ -207,22 +207,41 @@ def _(spark, sf_dir):
     return _windows(spark, sf_dir, STRIDE)
 
 
-# -- models: checked by row counts here and by properties in the tests ----------------------------
-
-SMALL = {
-    "sequence": {"length": 4, "features": ["event_count", "tmax_c", "failures_lag_1"]},
-    "features": {"lags": [1, 3], "rolling_windows": [3], "rolling_statistics": ["mean", "std"]},
+# -- models: with one yes-or-no feature, every model has a closed form ----------------------------
+
+# A tree of depth 1 predicts the training mean (or class share) of either value; so does the
+# first boosting round, and a window of one row is that row.
+STUMP = {
+    "sequence": {"length": 1, "features": ["busy"]},
+    "features": {"include": ["busy"], "lags": [1], "rolling_windows": [2],
+                 "rolling_statistics": ["mean"], "base_weather_cols": ["busy"]},
     "training": {
-        "temporal": {"iterations": 4, "patience": 2, "max_depth": 2},
-        "tabular": {"rf": {"n_estimators": 5, "max_depth": 5},
-                    "gbt": {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 3}},
+        "temporal": {"iterations": 1, "patience": 1, "max_depth": 1},
+        "tabular": {"rf": {"n_estimators": 1, "max_depth": 1, "bootstrap": False},
+                    "gbt": {"n_estimators": 1, "max_depth": 1, "subsample": 1.0}},
     },
 }
+st.CTE["stump"] = (
+    """select region_id, timestamp, split, latitude, longitude, failures as target,
+        avg(failures) filter (split = 'train') over (partition by event_count > 0) as pred
+    from split_panel""",
+    ("split_panel",),
+)
+st.CTE["class_stump"] = (
+    """select region_id, timestamp, split, y, avg(y) filter (split = 'train') over (partition by event_count > 0) as p
+    from (select *, cast(failures >= (select quantile_cont(failures, 0.8) from split_panel
+        where split = 'train') as integer) as y from split_panel)""",
+    ("split_panel",),
+)
+
+
+def _busy_panel(spark, sf_dir):
+    return st.panel(spark, sf_dir).withColumn("busy", F.expr("cast(event_count > 0 as double)"))
 
 
 def _inputs(spark, sf_dir, **target):
-    config = cfg.deep_merge(SMALL, {"target": target})
-    return build_model_inputs(st.panel(spark, sf_dir), config, align=False, store=True)
+    config = cfg.deep_merge(STUMP, {"target": target})
+    return build_model_inputs(_busy_panel(spark, sf_dir), config, align=False, store=True)
 
 
 def _tree_scores(spark, sf_dir, name, fit, target_type="regression"):
@@ -233,37 +252,51 @@ def _tree_scores(spark, sf_dir, name, fit, target_type="regression"):
     )
     model = fit(rows.where("split = 'train'"), target_type)
     scored = ensemble.with_prediction(rows, model, name, target_type)
-    return scored.select("region_id", "timestamp", "split", "target", name)
+    return rounded(scored.select("region_id", "timestamp", "split", "target", name))
 
 
-@query("m01_random_forest")
+@query("m01_random_forest", sql(
+    f"select region_id, timestamp, split, target, {r('pred', 'rf_pred')} from stump", "stump"))
 def _(spark, sf_dir):
-    params = SMALL["training"]["tabular"]["rf"]
+    params = STUMP["training"]["tabular"]["rf"]
     return _tree_scores(
         spark, sf_dir, "rf_pred", lambda train, kind: ensemble.fit_forest(train, kind, params)
     )
 
 
-@query("m02_boosted_trees")
+@query("m02_boosted_trees", sql(
+    f"select region_id, timestamp, split, target, {r('pred', 'xgb_pred')} from stump", "stump"))
 def _(spark, sf_dir):
-    params = SMALL["training"]["tabular"]["gbt"]
+    params = STUMP["training"]["tabular"]["gbt"]
     return _tree_scores(
         spark, sf_dir, "xgb_pred", lambda train, kind: ensemble.fit_boosted(train, kind, params)
     )
 
 
-@query("m03_temporal_model")
+@query("m03_temporal_model", sql(
+    f"select split, region_id, timestamp, {r('pred', 'lstm_pred')} from stump", "stump"))
+def _(spark, sf_dir):
+    windows = _inputs(spark, sf_dir).windows
+    model, _ = ensemble.fit_temporal(windows, "regression", STUMP["training"]["temporal"])
+    return rounded(ensemble.score_windows(windows, model, "regression"))
+
+
+@query("m03_temporal_linear_model", sql(
+    f"select split, region_id, timestamp, {r('pred', 'lstm_pred')} from stump", "stump"))
 def _(spark, sf_dir):
+    """A line through two points: both means again."""
     windows = _inputs(spark, sf_dir).windows
-    model = ensemble.fit_temporal_linear(windows, "regression")
-    return ensemble.score_windows(windows, model, "regression")
+    model = ensemble.fit_temporal_linear(windows, "regression", 0.0)
+    return rounded(ensemble.score_windows(windows, model, "regression"))
 
 
-@query("m04_training_history")
+@query("m04_training_history", sql(
+    f"""select 1 as epoch, {r("avg((target - pred) ** 2) filter (split = 'train')", 'train_loss', 3)},
+        {r("avg((target - pred) ** 2) filter (split = 'val')", 'val_loss', 3)} from stump""", "stump"))
 def _(spark, sf_dir):
     windows = _inputs(spark, sf_dir).windows
-    _, history = ensemble.fit_temporal(windows, "regression", SMALL["training"]["temporal"])
-    return ensemble.history_table(spark, history)
+    _, history = ensemble.fit_temporal(windows, "regression", STUMP["training"]["temporal"])
+    return rounded(ensemble.history_table(spark, history), 3)
 
 
 @query("m05_blend_tabular", sql(
@@ -289,10 +322,14 @@ def _(spark, sf_dir):
     ))
 
 
-@query("m07_score_all")
+@query("m07_score_all", sql(
+    f"""select region_id, timestamp, latitude, longitude, split, target, {r('pred', 'rf_pred')},
+        {r('pred', 'xgb_pred')}, {r('pred', 'tabular_ensemble')}, {r('pred', 'hybrid_pred')},
+        {r('pred', 'lstm_pred')}, 0.5::double as weight_tabular, 0.5::double as weight_lstm,
+        {r('target - pred', 'residual')} from stump""", "stump"))
 def _(spark, sf_dir):
     inputs = _inputs(spark, sf_dir)
-    config = cfg.resolve(SMALL)
+    config = cfg.resolve(STUMP)
     train = ensemble.tabular_vectors(
         inputs.tabular.where("split = 'train'").withColumnRenamed("failures", "target"),
         inputs.feature_columns,
@@ -300,21 +337,22 @@ def _(spark, sf_dir):
     tabular = config["training"]["tabular"]
     forest = ensemble.fit_forest(train, "regression", tabular["rf"])
     boosted = ensemble.fit_boosted(train, "regression", tabular["gbt"])
-    temporal = ensemble.fit_temporal_linear(inputs.windows, "regression")
-    return ensemble.score_all(
+    temporal, _ = ensemble.fit_temporal(inputs.windows, "regression", config["training"]["temporal"])
+    return rounded(ensemble.score_all(
         inputs.tabular, inputs.windows, inputs.feature_columns, forest, boosted, temporal,
         config, inputs.target_column, inputs.series,
-    )
+    ))
 
 
-@query("m08_classification_scores")
+@query("m08_classification_scores", sql(
+    f"select region_id, timestamp, split, y as target, {r('p', 'hybrid_pred')} from class_stump",
+    "class_stump"))
 def _(spark, sf_dir):
-    params = SMALL["training"]["tabular"]["rf"]
-    scored = _tree_scores(
+    params = STUMP["training"]["tabular"]["rf"]
+    return _tree_scores(
         spark, sf_dir, "hybrid_pred",
         lambda train, kind: ensemble.fit_forest(train, kind, params), "classification",
     )
-    return evaluate(scored, "classification", 0.5)
 
 
 @query("m08_target_classes", sql(
@@ -357,11 +395,16 @@ def _(spark, sf_dir):
     return build_model_inputs(st.panel(spark, sf_dir), config).counts()
 
 
-@query("e02_train_and_evaluate")
+@query("e02_train_and_evaluate", sql(
+    f"""select split, model, metric, {r('value', 'value', 3)} from
+    (select split, unnest(['rf', 'xgb', 'tabular_ensemble', 'hybrid_ensemble', 'lstm']) as model, mae, rmse, r2
+    from (select split, avg(abs(target - pred)) as mae, sqrt(avg((target - pred) ** 2)) as rmse,
+        1 - sum((target - pred) ** 2) / (count(*) * var_pop(target)) as r2 from stump group by split))
+    unpivot (value for metric in (mae, rmse, r2))""", "stump"))
 def _(spark, sf_dir):
     base = scratch_path(spark, "models")
-    folder = train_and_evaluate(st.panel(spark, sf_dir), SMALL, base, "trial", align=False)
-    return read_metrics(spark, folder)
+    folder = train_and_evaluate(_busy_panel(spark, sf_dir), STUMP, base, "trial", align=False)
+    return rounded(read_metrics(spark, folder), 3)
 
 
 def _stored_run(spark, sf_dir):

@@ -44,12 +44,17 @@ def window_vectors(windows: DataFrame) -> DataFrame:
 def fit_forest(
     train: DataFrame, target_type: str, params: Mapping[str, Any] | None = None, seed: int = 42
 ) -> Model:
-    """Random forest; every feature is tried at every split when regressing."""
-    p = {"n_estimators": 400, "max_depth": 12, "min_samples_leaf": 2, **(params or {})}
+    """Random forest; every feature is tried at every split when regressing.
+
+    Each tree sees a bootstrap sample of the rows, or with ``bootstrap`` off all of them.
+    """
+    p = {"n_estimators": 400, "max_depth": 12, "min_samples_leaf": 2, "bootstrap": True,
+         **(params or {})}
     regression = target_type != "classification"
     estimator = (RandomForestRegressor if regression else RandomForestClassifier)(
         featuresCol=VECTOR, labelCol="target", seed=seed, numTrees=p["n_estimators"],
         maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples_leaf"],
+        bootstrap=p["bootstrap"],
         featureSubsetStrategy="all" if regression else "sqrt",
     )
     return estimator.fit(train)
