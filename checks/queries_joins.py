@@ -10,13 +10,15 @@ from checks.queries_sources import (
 )
 from checks.registry import query, r, rounded
 from checks.standins import sql
-from panelgrid.fixed_values import EVENT_COUNT_COLUMNS, STATE_FIPS, WEATHER_COLUMNS
+from panelgrid.fixed_values import EVENT_COUNT_COLUMNS, EVENT_FILE_NAME, STATE_FIPS, WEATHER_COLUMNS
 from panelgrid.functions import text
 from panelgrid.operators import aggregate, joins, metrics, ranked, reports, split
 from panelgrid.operators.grid import align_reindex, region_date_grid, region_table
 from panelgrid.operators.series import Series
 from panelgrid.plans import panel as plans
+from panelgrid.session import scratch_path
 from panelgrid.sources import weather
+from panelgrid.sources.context import load_context
 from panelgrid.sources.events import scan_storm_events
 
 # -- joins ----------------------------------------------------------------------------------
@@ -513,14 +515,38 @@ _CONTEXT_COLUMNS = (
 )
 
 
-@query("s16_load_real_panel", sql(
+_REAL_PANEL = sql(
     f"""select {_PANEL}, {", ".join(_CONTEXT_COLUMNS)}
     from (select real_panel.*, p.* exclude (region_id), e.* exclude (region_id),
         i.* exclude (region_id) from real_panel
         left join ({POPULATION_SQL}) p on p.region_id = real_panel.region_id
         left join ({ECONOMY_SQL}) e on e.region_id = real_panel.region_id
         left join ({INFRASTRUCTURE_SQL}) i on i.region_id = real_panel.region_id)""",
-    "real_panel", "regions"))
+    "real_panel", "regions")
+
+
+@query("s16_load_real_panel", _REAL_PANEL)
 def _(spark, sf_dir):
     panel = real_panel(spark, raw_files(spark, sf_dir))
     return rounded(panel.withColumn("failures", F.round("failures", 2)))
+
+
+@query("s16_panel_from_a_listing", _REAL_PANEL)
+def _(spark, sf_dir):
+    """The latest event file of each year; rows without a readable time are in the first one."""
+    files = raw_files(spark, sf_dir)
+    folder = scratch_path(spark, "listed")
+    rows = st.storm_rows(spark, sf_dir)
+    year = F.coalesce(F.year(text.parse_event_time(F.col("BEGIN_DATE_TIME"))), F.lit(1995))
+    years = range(int(st.START[:4]), int(st.END[:4]) + 1)
+    names = {y: EVENT_FILE_NAME % (y, 20240101) for y in years}
+    for y in years:
+        rows.where(year == y).write.option("header", True).option("compression", "gzip").csv(f"{folder}/{names[y]}")
+    listed = [*names.values(), *[EVENT_FILE_NAME % (y, 20200101) for y in years], "readme.txt"]
+    listing = spark.createDataFrame([(name,) for name in listed], "name string")
+    regions = region_table(spark, st.WANTED_REGIONS, "region_id")
+    panel = plans.load_listed_panel(
+        spark, files["config"], listing, folder, files["daily_paths"], files["station_path"],
+        context=load_context(regions, use_apis=False),
+    )
+    return rounded(panel.withColumn("failures", F.round("failures", 2)))

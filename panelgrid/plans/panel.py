@@ -17,7 +17,7 @@ from panelgrid.operators.grid import align_time_series, day_bounds, region_table
 from panelgrid.operators.series import Series, on_steps
 from panelgrid.session import materialize
 from panelgrid.sources import weather as wx
-from panelgrid.sources.events import scan_storm_events
+from panelgrid.sources.events import files_for_years, scan_storm_events
 
 log = logging.getLogger(__name__)
 
@@ -82,8 +82,14 @@ def load_real_panel(
     daily_paths: Sequence[str],
     station_path: str,
     context: Mapping[str, DataFrame] | None = None,
+    responses: Sequence[DataFrame] = (),
 ) -> DataFrame:
-    """Landed event and weather files to the dense panel."""
+    """Landed event and weather files to the dense panel.
+
+    ``responses`` are further weather sources, (station, timestamp, measures) rows in order of
+    preference: a station's rows come from the first of them that has any in the wanted days,
+    else from the daily files. No weather at all is an error.
+    """
     real = cfg.resolve(config)["data"]["real"]
     start, end = day_bounds(real["start_date"], real["end_date"])
     named = station_table(spark, real["ghcn"]["stations"])
@@ -92,7 +98,7 @@ def load_real_panel(
     metadata = wx.scan_stations(spark, station_path, named)
     for row in wx.missing_stations(metadata, named).toLocalIterator():
         log.warning("no metadata for station %s", row["station"])
-    weather = daily_weather(wx.scan_daily_files(spark, daily_paths), named, start, end)
+    weather = first_weather(wx.scan_daily_files(spark, daily_paths), responses, named, start, end)
     coordinates = named.join(metadata, "station", "left").select(
         "region_id", "latitude", "longitude", "elevation"
     )
@@ -102,6 +108,37 @@ def load_real_panel(
     )
 
 
+def first_weather(
+    observations: DataFrame, responses: Sequence[DataFrame], stations: DataFrame, start: str, end: str
+) -> DataFrame:
+    """Measures per region and day, each station from the first source that has it."""
+    wanted = [
+        clean.between_days(source, "timestamp", start, end).join(
+            stations.select("station").distinct(), "station", "left_semi")
+        for source in (*responses, observations)
+    ]
+    if all(source.isEmpty() for source in wanted):
+        raise RuntimeError("no weather available for the wanted stations and days")
+    if not responses:
+        return daily_weather(observations, stations, start, end)
+    keys = ["station", "timestamp"]
+    from_files = wx.to_measures(wx.pivot_elements(wanted[-1], keys), keys)
+    return joins.tag_region(wx.first_available([*wanted[:-1], from_files], "station"), stations)
+
+
+def load_listed_panel(
+    spark: SparkSession, config: Mapping[str, Any], listing: DataFrame, event_folder: str,
+    daily_paths: Sequence[str], station_path: str, **more: Any,
+) -> DataFrame:
+    """The dense panel from the latest event file of each configured year.
+
+    ``listing`` names the files there are; a year without one is logged.
+    """
+    years = configured_years(cfg.resolve(config)["data"]["real"])
+    paths = [f"{event_folder.rstrip('/')}/{name}" for name in files_for_years(listing, years)]
+    return load_real_panel(spark, config, paths, daily_paths, station_path, **more)
+
+
 def configured_years(real: Mapping[str, Any]) -> list[int]:
     """Years of event files to read: those listed, else all from start to end."""
     years = real["storm_events"].get("years")
