@@ -20,7 +20,7 @@ from panelgrid.operators import features, metrics, ranked, reports, sequences, s
 from panelgrid.operators.grid import align_time_series, region_date_grid
 from panelgrid.operators.series import Series, fill_gaps
 from panelgrid.plans import panel as plans
-from panelgrid.session import build_session
+from panelgrid.session import build_session, with_own_folder
 
 SERIES = Series(region="region_id")
 FEATURES = {
@@ -128,7 +128,7 @@ def main(argv: list[str]) -> None:
         "spark.sql.shuffle.partitions": str(max(8, int(cpus))),
         "spark.driver.memory": "16g",
     })
-    spark.sparkContext.setLogLevel("OFF")
+    with_own_folder(spark).sparkContext.setLogLevel("OFF")
     st.table(spark, sf_dir, "nation").groupBy("n_regionkey").count().collect()
     timings = {}
     for name, build in QUERIES.items():

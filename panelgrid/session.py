@@ -34,18 +34,20 @@ def build_session(master: str | None = None, app: str = "panelgrid", **extra: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a local session may fall back to a temporary folder.
-    """
+    """The folder every executor can reach, as the cluster names it; there is no other one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="panelgrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return named.rstrip("/")
+
+
+def with_own_folder(spark: SparkSession) -> SparkSession:
+    """For trials on one machine: a session without a shared folder gets a temporary one."""
+    one_machine = spark.conf.get("spark.master", "").startswith("local[") or spark.conf.get(
+        "spark.master", "") == "local"
+    if one_machine and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="panelgrid-"))
+    return spark
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

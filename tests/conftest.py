@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from panelgrid.session import build_session
+from panelgrid.session import build_session, with_own_folder
 
 
 @pytest.fixture(scope="session")
@@ -10,6 +10,6 @@ def spark():
     session = build_session(
         "local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}
     )
-    session.sparkContext.setLogLevel("OFF")
+    with_own_folder(session).sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
