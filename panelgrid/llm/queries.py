@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from panelgrid.session import scratch_path
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
