@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks import standins as st
@@ -11,6 +13,7 @@ from panelgrid.fixed_values import EVENT_COUNT_COLUMNS, WEATHER_COLUMNS
 from panelgrid.functions import numeric, text
 from panelgrid.operators import aggregate, clean, joins, reports
 from panelgrid.operators.ensemble import finish_predictions
+from panelgrid.operators.features import over_chunks
 from panelgrid.operators.ranked import exact_percentile
 from panelgrid.operators.split import (
     chronological_split, fit_scaler, with_scaled_features, with_target_class,
@@ -404,6 +407,8 @@ def _(spark, sf_dir):
 @query("u04_columns_side_by_side", sql(
     """select *, failures * 2 as doubled, event_count + 1 as one_more from sales""", "sales"))
 def _(spark, sf_dir):
-    return st.sales(spark, sf_dir).select(
-        "*", (F.col("failures") * 2).alias("doubled"), (F.col("event_count") + 1).alias("one_more")
+    return over_chunks(
+        st.sales(spark, sf_dir), replace(st.SERIES, frequency=None), 1, lambda w: [
+            (F.col("failures") * 2).alias("doubled"), (F.col("event_count") + 1).alias("one_more")
+        ],
     )

@@ -222,13 +222,14 @@ def engineered_panel(
 
 def build_model_inputs(
     panel: DataFrame, config: Mapping[str, Any] | None = None, align: bool = True,
-    store: bool = False,
+    store: bool = True,
 ) -> ModelInputs:
     """Panel to tabular rows, scaled windows and fitted scaler.
 
     Splits, window length and threshold come from the narrow aligned panel. The wide
     rows are shuffled once: features and the window-end flag share that pass, so the
-    tabular rows are a filter. ``store`` writes the aligned panel to the shared folder,
+    tabular rows are a filter. ``store`` writes the aligned panel to the shared folder, as
+    several passes start from it,
     and the engineered one too where windows use engineered columns; where they use
     panel columns only, nothing but the tabular rows would ever read it.
     """
