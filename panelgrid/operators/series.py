@@ -5,8 +5,9 @@ region into one task. A series is cut into chunks of consecutive rows:
 
 * bounded frames (lags, rolling windows, sliding windows) copy the last rows of
   a chunk into the next one, compute per (region, chunk) and drop the copies;
-* unbounded fills and row numbers make one small row per (region, chunk), carry
-  values across those rows, and join them back on (region, chunk).
+* unbounded fills make one small row per (region, chunk), carry values across those
+  rows, and join them back on (region, chunk);
+* row numbers of irregular series come from range partitions of region and time.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from panelgrid.session import materialize
+
 POSITION = "_pos"
 CHUNK = "_chunk"
 OWN = "_own"
@@ -105,17 +108,29 @@ def chunk_order(series: Series) -> WindowSpec:
 
 
 def with_row_index(df: DataFrame, series: Series, name: str = POSITION) -> DataFrame:
-    """0-based number of each row within its region in time order, exact for any gaps."""
-    chunked = df.withColumn(CHUNK, series.time_chunk())
-    counts = chunked.groupBy(series.region, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = chunk_order(series).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    offsets = counts.select(series.region, CHUNK, offset.alias("_offset"))
-    within = F.row_number().over(series.chunk_window())
+    """0-based number of each row within its region in time order, exact for any gaps.
+
+    Rows are range-partitioned by region and time and stored, so a region of any density is
+    spread over many tasks. A row's number is its place in its partition, less the region's
+    first place there, plus the region's rows in earlier partitions.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (
+        df.repartitionByRange(tasks, series.region, series.time)
+        .sortWithinPartitions(series.region, series.time)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    )
+    rows = materialize(ranged, "numbered")
+    counts = rows.groupBy(series.region, "_part").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first")
+    )
+    parts = Window.partitionBy(series.region).orderBy("_part")
+    before = F.coalesce(F.sum("_rows").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(series.region, "_part", (before - F.col("_first")).alias("_offset"))
     return (
-        chunked.join(offsets, [series.region, CHUNK])
-        .withColumn(name, F.col("_offset") + within - 1)
-        .drop("_offset", CHUNK)
+        rows.join(offsets, [series.region, "_part"])
+        .select(*df.columns, (F.col("_place") + F.col("_offset")).alias(name))
     )
 
 
