@@ -20,7 +20,9 @@ from panelgrid.operators import features, metrics, ranked, reports, sequences, s
 from panelgrid.operators.grid import align_time_series, region_date_grid
 from panelgrid.operators.series import Series, fill_gaps
 from panelgrid.plans import panel as plans
-from panelgrid.session import build_session, with_own_folder
+from panelgrid.plans.training import train_and_evaluate
+from panelgrid.session import build_session, scratch_path, with_own_folder
+from panelgrid.sources.artifacts import read_metrics
 
 SERIES = Series(region="region_id")
 FEATURES = {
@@ -61,7 +63,7 @@ def feature_build(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 def engineered(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     panel = supplier_grid(spark, sf_dir).fillna(0)
-    return [features.engineer_features(panel, SERIES, "failures", FEATURES)]
+    return [features.engineer_features(panel, SERIES, "failures", FEATURES, dense=True)]
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +87,7 @@ def window_build(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     columns = ["event_count", "tavg_c", "prcp_mm"]
     labelled = split.chronological_split(supplier_grid(spark, sf_dir).fillna(0), SERIES)
     scaled = split.with_scaled_features(labelled, columns, split.fit_scaler(labelled, columns))
-    return [sequences.sliding_windows(scaled, SERIES, "failures", 24)]
+    return [sequences.sliding_windows(scaled, SERIES, "failures", 24, dense=True)]
 
 
 def fills(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -95,6 +97,17 @@ def fills(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     )]
 
 
+def quick_run(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """A quick training run on the panel of orders: fit, score, evaluate, store."""
+    config = {
+        "features": {"base_weather_cols": ["event_count", "tmax_c", "prcp_mm"]},
+        "sequence": {"features": ["event_count", "tmax_c", "prcp_mm"]},
+    }
+    base = scratch_path(spark, "bench-models")
+    folder = train_and_evaluate(st.panel(spark, sf_dir), config, base, "bench", quick=True, align=False)
+    return [read_metrics(spark, folder)]
+
+
 QUERIES = {
     "feature_build": feature_build,
     "engineer_features": engineered,
@@ -114,6 +127,7 @@ QUERIES = {
     "classification_metrics": class_metrics,
     "region_risk": lambda s, d: [reports.region_risk(scored(s, d))],
     "daily_mean": lambda s, d: [reports.daily_mean(scored(s, d))],
+    "train_and_evaluate": quick_run,
     "residual_histogram": lambda s, d: [reports.residual_histogram(scored(s, d))],
 }
 
