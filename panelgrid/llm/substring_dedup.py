@@ -16,16 +16,18 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelgrid.llm.frames import materialize
 from panelgrid.llm.words import run_hashes, word_hashes
 
 #: Words in a run whose hash may file a window.
 RUN = 8
-#: Passages in a shard beyond which its windows are told apart by hash before they meet.
+#: Passages of a mark beyond which they are told apart by hash and don't meet in one task.
 HOT = 2_000
-_PASSAGE = "mark long, doc long, start int, hot boolean, window long, words binary"
+#: Parts of a hot key.
+PARTS = 64
 
 
 class SuffixAutomaton:
@@ -108,39 +110,39 @@ def _marks(window: int) -> Callable:
     return mark
 
 
-def _passages(window: int) -> Callable:
-    """Windows filed under a shared mark: passages of one mark, single windows of a hot one.
+def _passages(window: int, of_hot: bool) -> Callable:
+    """Passages filed under shared marks: word hashes of the others, window hashes of hot ones.
 
-    A passage is the run of words that the consecutive windows filed under one place cover, as
-    32-bit word hashes; those windows share the 64-bit hash of the run they are filed under.
+    A passage is the run of words that the consecutive windows filed under one place cover.
+    Words are 32-bit hashes; the windows share the 64-bit hash of the run they are filed under.
     """
-    schema = pa.schema([("mark", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("hot", pa.bool_()),
-                        ("window", pa.int64()), ("words", pa.binary())])
+    schema = pa.schema(
+        [("mark", pa.int64()), ("doc", pa.int64()), ("start", pa.int32())]
+        + ([("passage", pa.int64()), ("windows", pa.list_(pa.int64()))] if of_hot else [("words", pa.binary())]))
 
     def passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = []
+                rows: list[list] = [[] for _ in schema.names]
                 for doc, text, places in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
-                    if not places:
+                    spots = np.array(sorted({p["place"] for p in places or () if p["hot"] == of_hot}), np.int64)
+                    if not len(spots):
                         continue
                     words = word_hashes(text)
                     runs, least = filed(words, window)
-                    short = words.astype(np.uint32)
-                    known = sorted({p["place"]: p["hot"] for p in places}.items())
-                    spots = np.array([p for p, _ in known])
-                    firsts = np.searchsorted(least, spots, "left")
-                    lasts = np.searchsorted(least, spots, "right")
-                    marks = runs[spots].view(np.int64).tolist()
-                    for (_, hot), mark, first, last in zip(known, marks, firsts.tolist(), lasts.tolist()):
-                        if hot:
-                            hashed = run_hashes(words[first : last - 1 + window], window).view(np.int64)
-                            rows += [(mark, doc, first + k, True, w, b"") for k, w in enumerate(hashed.tolist())]
-                        else:
-                            rows.append((mark, doc, first, False, 0, short[first : last - 1 + window].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    firsts = np.searchsorted(least, spots, "left").tolist()
+                    ends = (np.searchsorted(least, spots, "right") - 1 + window).tolist()
+                    rows[0] += runs[spots].view(np.int64).tolist()
+                    rows[1] += [doc] * len(spots)
+                    rows[2] += firsts
+                    if of_hot:
+                        windows = [run_hashes(words[a:b], window).view(np.int64) for a, b in zip(firsts, ends)]
+                        rows[3] += [int(run_hashes(w.view(np.uint64), len(w)).view(np.int64)[0]) for w in windows]
+                        rows[4] += windows
+                    else:
+                        short = words.astype("<u4").tobytes()
+                        rows[3] += [short[4 * a : 4 * b] for a, b in zip(firsts, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types)], schema=schema)
 
     return passages
 
@@ -215,29 +217,47 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc", "n_words", "n_removed", "kept"])
 
 
+def _later(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with an earlier one of the same key, and the earliest of each key.
+
+    Earlier by document and start. Rows of a key are told apart in parts first, so of a hot key
+    only the earliest row of each part meets the others.
+    """
+    part = F.pmod(F.xxhash64("doc"), F.lit(PARTS))
+    place = F.row_number().over(Window.partitionBy(*key, "part").orderBy("doc", "start"))
+    ranked = rows.withColumn("part", part).withColumn("place", place)
+    firsts = ranked.where("place = 1").withColumn(
+        "place", F.row_number().over(Window.partitionBy(*key).orderBy("doc", "start")))
+    return (ranked.where("place > 1").unionByName(firsts.where("place > 1")).drop("part", "place"),
+            firsts.where("place = 1").drop("part", "place"))
+
+
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     """(doc, start, end) of word spans whose windows start earlier, from (doc, text as binary).
 
-    Marks are counted first, with one row per mark and task; only windows under marks that occur
-    again go on. A hot mark's windows are grouped by their own hash, which the map side combines
-    and whose joins Spark may split, so neither its passages nor its copies meet in one task.
+    Marks are counted first, with one row per mark and task; only passages under marks that
+    occur again go on. Passages of a hot mark don't meet in one task: equal passages are told
+    apart by their hash, and what is left of them window by window.
     """
     marks = texts.mapInArrow(_marks(window), "mark long, doc long, place int")
-    again = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "mark", (F.col("n") > HOT).alias("hot"))
+    counted = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialize(counted.select("mark", (F.col("n") > HOT).alias("hot")), "marks")
     places = marks.join(again, "mark").groupBy("doc").agg(F.collect_list(F.struct("place", "hot")).alias("places"))
-    passages = texts.join(places, "doc", "left").select("doc", "text", "places").mapInArrow(
-        _passages(window), _PASSAGE)
+    placed = texts.join(places, "doc", "left").select("doc", "text", "places")
     cold = (
-        passages.where("not hot").select("mark", "doc", "start", "words")
+        placed.mapInArrow(_passages(window, False), "mark long, doc long, start int, words binary")
         .repartition("mark").sortWithinPartitions("mark", "doc", "start")
         .mapInArrow(_matched(window), "doc long, start int, end int")
     )
-    hot = passages.where("hot").select("mark", "window", "doc", "start")
-    first = hot.groupBy("mark", "window").agg(F.min(F.struct("doc", "start")).alias("first"))
-    later = hot.join(first, ["mark", "window"]).where(F.struct("doc", "start") > F.col("first")).select(
-        "doc", "start", (F.col("start") + window).alias("end"))
-    return cold.unionByName(later)
+    hot = placed.where(F.exists("places", lambda p: p["hot"])).mapInArrow(
+        _passages(window, True), "mark long, doc long, start int, passage long, windows array<long>")
+    copies, kinds = _later(hot, ["mark", "passage"])
+    single = kinds.select("mark", "doc", F.posexplode("windows").alias("ahead", "window"), "start").select(
+        "mark", "window", "doc", (F.col("start") + F.col("ahead")).alias("start"))
+    repeats, _ = _later(single, ["mark", "window"])
+    return cold.unionByName(
+        copies.select("doc", "start", (F.col("start") + F.size("windows") - 1 + window).alias("end"))
+    ).unionByName(repeats.select("doc", "start", (F.col("start") + window).alias("end")))
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
