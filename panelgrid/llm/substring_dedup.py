@@ -16,18 +16,19 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.llm.frames import materialize
-from panelgrid.llm.words import run_hashes, word_hashes
+from panelgrid.llm.words import hashes_of, run_hashes
 
 #: Words in a run whose hash may file a window.
 RUN = 8
 #: Passages of a mark beyond which they are told apart by hash and don't meet in one task.
 HOT = 2_000
 #: Parts of a hot key.
-PARTS = 64
+PARTS = 1024
 
 
 class SuffixAutomaton:
@@ -84,28 +85,58 @@ class SuffixAutomaton:
         return out
 
 
-def filed(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the text's short runs, and for each window the place of its first least one."""
-    runs = run_hashes(words, RUN)
-    each = window - RUN + 1
-    if len(runs) < each:
-        return runs, np.empty(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(runs, each).argmin(axis=1)
-    return runs, least + np.arange(len(least))
+class Filing:
+    """Windows of some documents and the places they are filed under.
+
+    ``words`` are the word hashes of all documents, one after the other, ``first`` where each
+    document begins; ``runs`` the hashes of short runs. ``starts`` are the windows that lie in
+    one document and ``places`` where the first least run of each begins; both ascend.
+    """
+
+    def __init__(self, texts: list[bytes | None], window: int) -> None:
+        split = [t.split() if t else [] for t in texts]
+        counts = np.array([len(w) for w in split], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.words = hashes_of([w for words in split for w in words])
+        self.document = np.repeat(np.arange(len(texts)), counts)
+        self.runs = run_hashes(self.words, RUN)
+        each = window - RUN + 1
+        n = max(0, len(self.runs) - each + 1)
+        least = np.lib.stride_tricks.as_strided(self.runs, (n, each), self.runs.strides * 2).argmin(axis=1) if n else (
+            np.empty(0, np.int64))
+        inside = self.document[:n] == self.document[window - 1 : window - 1 + n]
+        self.starts = np.flatnonzero(inside)
+        self.places = (least + np.arange(n))[inside]
+
+
+#: Documents and bytes of text whose words are hashed together; a longer text is alone.
+TOGETHER, BYTES_TOGETHER = 128, 4 << 20
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, bounded by the bytes of their texts, the second column."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy().tolist()
+    first, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > first and (at - first >= TOGETHER or held + size > BYTES_TOGETHER):
+            yield batch.slice(first, at - first)
+            first, held = at, 0
+        held += size
+    if sizes:
+        yield batch.slice(first)
 
 
 def _marks(window: int) -> Callable:
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, docs, places = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                runs, at = filed(word_hashes(text), window)
-                at = np.unique(at)
-                marks.append(runs[at].view(np.int64))
-                docs.append(np.full(len(at), doc, np.int64))
-                places.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c)) for c in (marks, docs, places)], names=["mark", "doc", "place"])
+            for part in parts_of(batch):
+                docs, texts = part.columns
+                filing = Filing(texts.to_pylist(), window)
+                places = np.unique(filing.places)
+                owner = filing.document[places]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(filing.runs[places].view(np.int64)), docs.take(pa.array(owner)),
+                     pa.array((places - filing.first[owner]).astype(np.int32))], names=["mark", "doc", "place"])
 
     return mark
 
@@ -115,6 +146,7 @@ def _passages(window: int, of_hot: bool) -> Callable:
 
     A passage is the run of words that the consecutive windows filed under one place cover.
     Words are 32-bit hashes; the windows share the 64-bit hash of the run they are filed under.
+    Places come as twice the place, plus one for a hot mark.
     """
     schema = pa.schema(
         [("mark", pa.int64()), ("doc", pa.int64()), ("start", pa.int32())]
@@ -122,27 +154,31 @@ def _passages(window: int, of_hot: bool) -> Callable:
 
     def passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows: list[list] = [[] for _ in schema.names]
-                for doc, text, places in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
-                    spots = np.array(sorted({p["place"] for p in places or () if p["hot"] == of_hot}), np.int64)
-                    if not len(spots):
-                        continue
-                    words = word_hashes(text)
-                    runs, least = filed(words, window)
-                    firsts = np.searchsorted(least, spots, "left").tolist()
-                    ends = (np.searchsorted(least, spots, "right") - 1 + window).tolist()
-                    rows[0] += runs[spots].view(np.int64).tolist()
-                    rows[1] += [doc] * len(spots)
-                    rows[2] += firsts
-                    if of_hot:
-                        windows = [run_hashes(words[a:b], window).view(np.int64) for a, b in zip(firsts, ends)]
-                        rows[3] += [int(run_hashes(w.view(np.uint64), len(w)).view(np.int64)[0]) for w in windows]
-                        rows[4] += windows
-                    else:
-                        short = words.astype("<u4").tobytes()
-                        rows[3] += [short[4 * a : 4 * b] for a, b in zip(firsts, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types)], schema=schema)
+            batch = batch.filter(batch.column(2).is_valid())
+            for part in parts_of(batch):
+                docs, texts, shared = part.columns
+                codes, lengths = shared.flatten().to_numpy(), pa.compute.list_value_length(shared).to_numpy()
+                owner = np.repeat(np.arange(len(docs)), lengths)[codes % 2 == of_hot]
+                codes = codes[codes % 2 == of_hot]
+                if not len(codes):
+                    continue
+                filing = Filing(texts.to_pylist(), window)
+                places = filing.first[owner] + codes // 2
+                firsts = filing.starts[np.searchsorted(filing.places, places, "left")]
+                ends = filing.starts[np.searchsorted(filing.places, places, "right") - 1] + window
+                rows = [filing.runs[places].view(np.int64), docs.take(pa.array(owner)),
+                        (firsts - filing.first[owner]).astype(np.int32)]
+                spans = list(zip(firsts.tolist(), ends.tolist()))
+                if of_hot:
+                    windows = run_hashes(filing.words, window)
+                    each = [windows[a : b - window + 1] for a, b in spans]
+                    rows.append(np.array([run_hashes(w, len(w))[0] for w in each], np.uint64).view(np.int64))
+                    rows.append([w.view(np.int64) for w in each])
+                else:
+                    short = filing.words.astype("<u4").tobytes()
+                    rows.append([short[4 * a : 4 * b] for a, b in spans])
+                yield pa.RecordBatch.from_arrays(
+                    [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(rows, schema.types)], schema=schema)
 
     return passages
 
@@ -217,19 +253,18 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc", "n_words", "n_removed", "kept"])
 
 
-def _later(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with an earlier one of the same key, and the earliest of each key.
+def _with_later(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Adds whether a row of the same key is earlier, by document and start.
 
-    Earlier by document and start. Rows of a key are told apart in parts first, so of a hot key
-    only the earliest row of each part meets the others.
+    Rows of a key are ranked in parts first, and only the earliest of each part meet the others,
+    so a hot key is never in one task. One flow, in which nothing is computed twice.
     """
     part = F.pmod(F.xxhash64("doc"), F.lit(PARTS))
-    place = F.row_number().over(Window.partitionBy(*key, "part").orderBy("doc", "start"))
-    ranked = rows.withColumn("part", part).withColumn("place", place)
-    firsts = ranked.where("place = 1").withColumn(
-        "place", F.row_number().over(Window.partitionBy(*key).orderBy("doc", "start")))
-    return (ranked.where("place > 1").unionByName(firsts.where("place > 1")).drop("part", "place"),
-            firsts.where("place = 1").drop("part", "place"))
+    here = F.row_number().over(Window.partitionBy(*key, "part").orderBy("doc", "start"))
+    ranked = rows.withColumn("part", part).withColumn("here", here).withColumn(
+        "group", F.when(F.col("here") > 1, F.col("part")))
+    among = F.row_number().over(Window.partitionBy(*key, "group").orderBy("doc", "start"))
+    return ranked.withColumn(name, (F.col("here") > 1) | (among > 1)).drop("part", "here", "group")
 
 
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
@@ -242,22 +277,25 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     marks = texts.mapInArrow(_marks(window), "mark long, doc long, place int")
     counted = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = materialize(counted.select("mark", (F.col("n") > HOT).alias("hot")), "marks")
-    places = marks.join(again, "mark").groupBy("doc").agg(F.collect_list(F.struct("place", "hot")).alias("places"))
+    places = marks.join(again, "mark").groupBy("doc").agg(
+        F.collect_list(F.col("place") * 2 + F.col("hot").cast("int")).alias("places"))
     placed = texts.join(places, "doc", "left").select("doc", "text", "places")
     cold = (
         placed.mapInArrow(_passages(window, False), "mark long, doc long, start int, words binary")
         .repartition("mark").sortWithinPartitions("mark", "doc", "start")
         .mapInArrow(_matched(window), "doc long, start int, end int")
     )
-    hot = placed.where(F.exists("places", lambda p: p["hot"])).mapInArrow(
+    hot = placed.where(F.exists("places", lambda p: p % 2 == 1)).mapInArrow(
         _passages(window, True), "mark long, doc long, start int, passage long, windows array<long>")
-    copies, kinds = _later(hot, ["mark", "passage"])
-    single = kinds.select("mark", "doc", F.posexplode("windows").alias("ahead", "window"), "start").select(
-        "mark", "window", "doc", (F.col("start") + F.col("ahead")).alias("start"))
-    repeats, _ = _later(single, ["mark", "window"])
-    return cold.unionByName(
-        copies.select("doc", "start", (F.col("start") + F.size("windows") - 1 + window).alias("end"))
-    ).unionByName(repeats.select("doc", "start", (F.col("start") + window).alias("end")))
+    # a passage met before goes whole, of the others each window is looked at
+    passages = _with_later(hot, ["mark", "passage"], "copy")
+    windows = F.when(F.col("copy"), F.array(F.lit(None).cast("long"))).otherwise(F.col("windows"))
+    width = F.when(F.col("copy"), F.size("windows") - 1).otherwise(0) + window
+    single = passages.select(
+        "mark", "doc", "copy", "start", width.alias("width"), F.posexplode(windows).alias("ahead", "window")
+    ).withColumn("start", F.col("start") + F.col("ahead"))
+    repeats = _with_later(single, ["mark", "window"], "again").where("copy or again")
+    return cold.unionByName(repeats.select("doc", "start", (F.col("start") + F.col("width")).alias("end")))
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:

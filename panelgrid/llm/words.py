@@ -28,12 +28,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: bytes | None) -> np.ndarray:
     """A 64-bit hash for each word; empty for null and for text without words."""
-    joined = b" ".join(text.split()) if text else b""
-    if not joined:
+    return hashes_of(text.split() if text else [])
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash for each of the words, none of which is empty or holds white space."""
+    if not words:
         return np.empty(0, np.uint64)
-    data = np.frombuffer(joined, np.uint8)
-    starts = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
-    offsets = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    spaces = np.flatnonzero(data == 32)
+    starts = np.zeros(len(spaces) + 1, np.int64)
+    starts[1:] = spaces + 1
+    lengths = np.empty(len(starts), np.int64)
+    lengths[:-1] = starts[1:] - starts[:-1]
+    lengths[-1] = len(data) - starts[-1]
+    offsets = np.arange(len(data)) - np.repeat(starts, lengths)
     return mix(np.add.reduceat(BYTE_VALUES[data] * POWERS[offsets & 4095], starts))
 
 
