@@ -279,4 +279,4 @@ def drop_near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, ke
     """The documents that stay, one of each component, columns unchanged; null keys stay."""
     found = near_duplicates(docs, length, percent, key, text)
     gone = found.where("not kept").select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    return docs.join(gone, key, "left_anti").select(*docs.columns)
