@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -113,12 +112,11 @@ class WordEncoder:
         fresh = self._alone(list(new.difference(plain)))
         for at in range(0, len(plain), self.TOGETHER):
             fresh |= self._together(plain[at : at + self.TOGETHER])
+        last = np.array([end], "<u4").tobytes()
         if len(known) + len(fresh) <= REMEMBERED:
             known.update(fresh)
-        else:
-            known = ChainMap(fresh, known)
-        last = np.array([end], "<u4").tobytes()
-        return [b"".join([known[p] for p in pieces]) + last for pieces in split]
+            return [b"".join([known[p] for p in pieces]) + last for pieces in split]
+        return [b"".join([known[p] if p in known else fresh[p] for p in pieces]) + last for pieces in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
