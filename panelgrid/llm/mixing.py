@@ -142,7 +142,9 @@ def mix(
     running = Window.partitionBy(*names, "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     cuts = inside.withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(running), F.lit(0))).where(
         "start < rest").groupBy(*names).agg(F.max("place").alias("cut"))
-    decided = shares.join(cuts, names, "left").select(*names, "full", "cut")
+    # stored, so that Spark knows its size: one row per leaf is broadcast while it is small, and
+    # the rows of the documents then stay where they are
+    decided = materialize(shares.join(cuts, names, "left").select(*names, "full", "cut"), "decided")
 
     own = epoch_order(F.col(key), seed, F.col("full") + 1)
     copies = F.col("full") + F.when(own <= F.col("cut"), 1).otherwise(0)
