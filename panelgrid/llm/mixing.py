@@ -144,10 +144,12 @@ def mix(
         "start < rest").groupBy(*names).agg(F.max("place").alias("cut"))
     # stored, so that Spark knows its size: one row per leaf is broadcast while it is small, and
     # the rows of the documents then stay where they are
-    decided = materialize(shares.join(cuts, names, "left").select(*names, "full", "cut"), "decided")
+    full, cut = fresh(docs, "full"), fresh(docs, "cut")
+    decided = materialize(shares.join(cuts, names, "left").select(
+        *names, F.col("full").alias(full), F.col("cut").alias(cut)), "decided")
 
-    own = epoch_order(F.col(key), seed, F.col("full") + 1)
-    copies = F.col("full") + F.when(own <= F.col("cut"), 1).otherwise(0)
+    own = epoch_order(F.col(key), seed, F.col(full) + 1)
+    copies = F.col(full) + F.when(own <= F.col(cut), 1).otherwise(0)
     return (
         docs.withColumns(node).join(decided, names)
         .withColumn(epoch, F.explode(F.filter(F.sequence(F.lit(1), F.lit(most_epochs + 1)), lambda e: e <= copies)))

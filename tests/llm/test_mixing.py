@@ -118,6 +118,7 @@ def test_plan_has_no_python(spark, sf_dir):
 
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], words(r["text"]), path_of(r["source"], r["lang"])) for r in odd.collect()]
-    got = mixing.mix_documents(odd.withColumn("epoch", F.lit("old")).withColumn("level_0", F.lit(1)), 60).collect()
+    got = mixing.mix_documents(odd.withColumns(
+        {"epoch": F.lit("old"), "level_0": F.lit(1), "full": F.lit(7), "cut": F.lit("x"), "tokens": F.lit(3), "key": F.lit("k")}), 60).collect()
     assert sorted(((r["doc_id"], r["epoch"]) for r in got), key=str) == brute_force(rows, WEIGHTS, 60, 2, 11)
     assert mixing.mix_documents(none).collect() == []
