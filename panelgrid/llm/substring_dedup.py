@@ -13,6 +13,8 @@ passage only to the one automaton that may hold its windows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ RUN = 8
 HOT = 2_000
 #: Parts of a hot key.
 PARTS = 1024
+#: Spans that are handed on together.
+SPANS_TOGETHER = 10_000
 
 
 class SuffixAutomaton:
@@ -130,13 +134,13 @@ def _marks(window: int) -> Callable:
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts_of(batch):
-                docs, texts = part.columns
+                rows, texts = part.columns
                 filing = Filing(texts.to_pylist(), window)
                 places = np.unique(filing.places)
                 owner = filing.document[places]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(filing.runs[places].view(np.int64)), docs.take(pa.array(owner)),
-                     pa.array((places - filing.first[owner]).astype(np.int32))], names=["mark", "doc", "place"])
+                    [pa.array(filing.runs[places].view(np.int64)), rows.take(pa.array(owner)),
+                     pa.array((places - filing.first[owner]).astype(np.int32))], names=["mark", "row", "place"])
 
     return mark
 
@@ -146,17 +150,24 @@ def _passages(window: int, of_hot: bool) -> Callable:
 
     A passage is the run of words that the consecutive windows filed under one place cover.
     Words are 32-bit hashes; the windows share the 64-bit hash of the run they are filed under.
-    Places come as twice the place, plus one for a hot mark.
+    Places come as twice the place, plus one for a hot mark. Equal rows that follow one another
+    give their passages once.
     """
     schema = pa.schema(
-        [("mark", pa.int64()), ("doc", pa.int64()), ("start", pa.int32())]
+        [("mark", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32())]
         + ([("passage", pa.int64()), ("windows", pa.list_(pa.int64()))] if of_hot else [("words", pa.binary())]))
 
     def passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             batch = batch.filter(batch.column(2).is_valid())
-            for part in parts_of(batch):
-                docs, texts, shared = part.columns
+            if not batch.num_rows:
+                continue
+            ids = batch.column(3).to_numpy()
+            new = np.concatenate([[ids[0] != last], ids[1:] != ids[:-1]])
+            last = ids[-1]
+            for part in parts_of(batch.filter(pa.array(new))):
+                docs, texts, shared, ids = part.columns
                 codes, lengths = shared.flatten().to_numpy(), pa.compute.list_value_length(shared).to_numpy()
                 owner = np.repeat(np.arange(len(docs)), lengths)[codes % 2 == of_hot]
                 codes = codes[codes % 2 == of_hot]
@@ -164,9 +175,12 @@ def _passages(window: int, of_hot: bool) -> Callable:
                     continue
                 filing = Filing(texts.to_pylist(), window)
                 places = filing.first[owner] + codes // 2
+                # places of another text whose id is the same by chance are no places here
+                own = (codes // 2 < np.diff(filing.first)[owner]) & np.isin(places, filing.places)
+                owner, places = owner[own], places[own]
                 firsts = filing.starts[np.searchsorted(filing.places, places, "left")]
                 ends = filing.starts[np.searchsorted(filing.places, places, "right") - 1] + window
-                rows = [filing.runs[places].view(np.int64), docs.take(pa.array(owner)),
+                rows = [filing.runs[places].view(np.int64), docs.take(pa.array(owner)), ids.take(pa.array(owner)),
                         (firsts - filing.first[owner]).astype(np.int32)]
                 spans = list(zip(firsts.tolist(), ends.tolist()))
                 if of_hot:
@@ -184,7 +198,10 @@ def _passages(window: int, of_hot: bool) -> Callable:
 
 
 class Shard:
-    """The passages of one mark, taken in order of document and place."""
+    """The passages of one mark, taken in order of document and place.
+
+    Rows of one document tie: their windows are told apart by their starts alone.
+    """
 
     def __init__(self, window: int) -> None:
         self.window = window
@@ -192,16 +209,15 @@ class Shard:
         self.waiting: bytes | None = None
         self.automaton: SuffixAutomaton | None = None
 
-    def repeats(self, words: bytes) -> list[tuple[int, int]]:
-        """Spans of a passage covered by windows of earlier ones; the passage counts from then on."""
+    def known(self, words: bytes) -> list[tuple[int, int]]:
+        """Spans of a passage covered by windows of the passages that count so far."""
         n = len(words) // 4
         if words in self.seen:
             return [(0, n)]
-        self.seen.add(words)
         if self.waiting is not None:
             self.automaton = self.automaton or SuffixAutomaton()
             self.automaton.add(np.frombuffer(self.waiting, "<u4").tolist())
-        self.waiting = words
+            self.waiting = None
         if self.automaton is None:
             return []
         lengths = self.automaton.matching_statistics(np.frombuffer(words, "<u4").tolist())
@@ -214,34 +230,66 @@ class Shard:
                 spans.append((start, end))
         return spans
 
+    def count(self, words: bytes) -> None:
+        """From now on the passage counts as an earlier one; what is known of it is asked before."""
+        if words not in self.seen:
+            self.seen.add(words)
+            self.waiting = words
+
+    def repeats(self, passages: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
+        """(row, start, end) of repeated spans in all passages (row, start, words) of a document."""
+        passages = list(dict.fromkeys(passages))  # equal rows may give theirs more than once
+        if all(row == passages[0][0] for row, _, _ in passages):
+            for row, start, words in passages:
+                yield from ((row, start + a, start + b) for a, b in self.known(words))
+                self.count(words)
+            return
+        earliest: dict[bytes, int] = {}
+        windows = [(row, start + k, words[4 * k : 4 * (k + self.window)])
+                   for row, start, words in passages for k in range(len(words) // 4 - self.window + 1)]
+        for _, at, words in windows:
+            earliest[words] = min(at, earliest.get(words, at))
+        yield from ((row, at, at + self.window) for row, at, words in windows if earliest[words] < at)
+        for row, start, words in passages:
+            yield from ((row, start + a, start + b) for a, b in self.known(words))
+        for _, _, words in passages:
+            self.known(words)
+            self.count(words)
+
 
 def _matched(window: int) -> Callable:
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, current = Shard(window), None
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for mark, doc, start, words in zip(*[c.to_pylist() for c in batch.columns]):
-                if mark != current:
-                    shard, current = Shard(window), mark
-                for a, b in shard.repeats(words):
-                    for column, value in zip(out, (doc, start + a, start + b)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())],
-                names=["doc", "start", "end"])
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        shard, current, out = Shard(window), None, []
+        for (mark, doc), group in groupby(rows, itemgetter(0, 1)):
+            if mark != current:
+                shard, current = Shard(window), mark
+            out += [(doc, *span) for span in shard.repeats([row[2:] for row in group])]
+            if len(out) >= SPANS_TOGETHER:
+                yield _span_batch(out)
+                out = []
+        yield _span_batch(out)
 
     return match
 
 
+def _span_batch(spans: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*spans)) or [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "row", "start", "end"])
+
+
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, removed, kept = [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for doc, text, spans in zip(*[batch.column(k).to_pylist() for k in range(3)]):
             words = text.split() if text else []
             if spans:
                 gone = np.zeros(len(words), bool)
                 for span in spans:
-                    gone[span["start"] : span["end"]] = True
+                    if span["doc"] == doc:
+                        gone[span["start"] : span["end"]] = True
                 left = [w for w, g in zip(words, gone.tolist()) if not g]
             else:
                 left = words
@@ -256,46 +304,52 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_later(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     """Adds whether a row of the same key is earlier, by document and start.
 
-    Rows of a key are ranked in parts first, and only the earliest of each part meet the others,
-    so a hot key is never in one task. One flow, in which nothing is computed twice.
+    Rows of a key are ranked in parts first, and only one of the earliest of each part meets those
+    of the others, so a hot key is never in one task, however many rows tie; then each part
+    learns how its own did. One flow, in which nothing is computed twice.
     """
-    part = F.pmod(F.xxhash64("doc"), F.lit(PARTS))
-    here = F.row_number().over(Window.partitionBy(*key, "part").orderBy("doc", "start"))
-    ranked = rows.withColumn("part", part).withColumn("here", here).withColumn(
-        "group", F.when(F.col("here") > 1, F.col("part")))
-    among = F.row_number().over(Window.partitionBy(*key, "group").orderBy("doc", "start"))
-    return ranked.withColumn(name, (F.col("here") > 1) | (among > 1)).drop("part", "here", "group")
+    part = F.pmod(F.xxhash64("row"), F.lit(PARTS))
+    within = Window.partitionBy(*key, "part")
+    ordered = within.orderBy("doc", "start")
+    ranked = rows.withColumn("part", part).withColumn("here", F.rank().over(ordered)).withColumn(
+        "group", F.when(F.row_number().over(ordered) > 1, F.col("part")))
+    among = F.rank().over(Window.partitionBy(*key, "group").orderBy("doc", "start"))
+    beaten = F.max(F.col("group").isNull() & (F.col("among") > 1)).over(within)
+    return ranked.withColumn("among", among).withColumn("beaten", beaten).withColumn(
+        name, (F.col("here") > 1) | F.col("beaten")).drop("part", "here", "group", "among", "beaten")
 
 
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
-    """(doc, start, end) of word spans whose windows start earlier, from (doc, text as binary).
+    """(doc, row, start, end) of word spans whose windows start earlier, from (doc, text, row).
+
+    ``doc`` orders documents and ``row`` is the id of a document's text, the same for equal rows.
 
     Marks are counted first, with one row per mark and task; only passages under marks that
     occur again go on. Passages of a hot mark don't meet in one task: equal passages are told
     apart by their hash, and what is left of them window by window.
     """
-    marks = texts.mapInArrow(_marks(window), "mark long, doc long, place int")
+    marks = texts.select("row", "text").mapInArrow(_marks(window), "mark long, row long, place int")
     counted = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = materialize(counted.select("mark", (F.col("n") > HOT).alias("hot")), "marks")
-    places = marks.join(again, "mark").groupBy("doc").agg(
-        F.collect_list(F.col("place") * 2 + F.col("hot").cast("int")).alias("places"))
-    placed = texts.join(places, "doc", "left").select("doc", "text", "places")
+    places = marks.join(again, "mark").groupBy("row").agg(
+        F.collect_set(F.col("place") * 2 + F.col("hot").cast("int")).alias("places"))
+    placed = texts.join(places, "row", "left").select("doc", "text", "places", "row")
     cold = (
-        placed.mapInArrow(_passages(window, False), "mark long, doc long, start int, words binary")
+        placed.mapInArrow(_passages(window, False), "mark long, doc long, row long, start int, words binary")
         .repartition("mark").sortWithinPartitions("mark", "doc", "start")
-        .mapInArrow(_matched(window), "doc long, start int, end int")
+        .mapInArrow(_matched(window), "doc long, row long, start int, end int")
     )
     hot = placed.where(F.exists("places", lambda p: p % 2 == 1)).mapInArrow(
-        _passages(window, True), "mark long, doc long, start int, passage long, windows array<long>")
+        _passages(window, True), "mark long, doc long, row long, start int, passage long, windows array<long>")
     # a passage met before goes whole, of the others each window is looked at
     passages = _with_later(hot, ["mark", "passage"], "copy")
     windows = F.when(F.col("copy"), F.array(F.lit(None).cast("long"))).otherwise(F.col("windows"))
     width = F.when(F.col("copy"), F.size("windows") - 1).otherwise(0) + window
     single = passages.select(
-        "mark", "doc", "copy", "start", width.alias("width"), F.posexplode(windows).alias("ahead", "window")
+        "mark", "doc", "row", "copy", "start", width.alias("width"), F.posexplode(windows).alias("ahead", "window")
     ).withColumn("start", F.col("start") + F.col("ahead"))
     repeats = _with_later(single, ["mark", "window"], "again").where("copy or again")
-    return cold.unionByName(repeats.select("doc", "start", (F.col("start") + F.col("width")).alias("end")))
+    return cold.unionByName(repeats.select("doc", "row", "start", (F.col("start") + F.col("width")).alias("end")))
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,16 +359,20 @@ def substring_dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text
     ``window`` words covers it whose words also start earlier, in a document of smaller key or
     earlier in the same one; windows are judged on the input. Kept words are joined by one
     space. Null and empty texts have no words; shorter texts lose none. A null key counts as
-    the least. Rows that share a key are one document: equal places are not earlier than one
-    another, and all such rows lose the spans found in any. Other columns are ignored.
+    the least. Rows that share a key, or have none, tie: a start is earlier in one of them than a
+    greater one in another, equal starts are not earlier than one another, and each row loses
+    only its own spans, so repeated rows have equal results. Rows are told apart by key and a
+    64-bit hash of key and text. Other columns are ignored.
     """
     if window < RUN:
         raise ValueError(f"windows have at least {RUN} words")
     least = -(1 << 63)
     texts = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("doc"), F.col(text).cast("binary").alias("text"))
-    spans = repeated_spans(texts, window).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = texts.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(
+        F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("doc"), F.col(text).cast("binary").alias("text")
+    ).withColumn("row", F.xxhash64("doc", "text"))
+    spans = repeated_spans(texts, window).groupBy("row").agg(
+        F.collect_set(F.struct("doc", "start", "end")).alias("spans"))
+    cut = texts.join(spans, "row", "left").select("doc", "text", "spans").mapInArrow(
         _cut, "doc long, n_words long, n_removed long, kept binary")
     return cut.select(
         F.when(F.col("doc") != least, F.col("doc")).alias(key), "n_words", "n_removed",

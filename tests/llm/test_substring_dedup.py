@@ -77,3 +77,14 @@ def test_odd_rows(odd, none):
     rows = rows_of(sd.substring_dedup(odd))
     assert rows == brute_force([(r["doc_id"], r["text"]) for r in odd.collect()])
     assert sd.substring_dedup(none).collect() == []
+
+
+@pytest.mark.parametrize("hot", [2_000, 1])
+def test_repeated_rows_keep_their_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(sd, "HOT", hot)
+    one, two = (" ".join(f"{name}{k}" for k in range(45)) for name in ("a", "b"))
+    rows = [(1, one), (1, one), (None, two), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(sd.substring_dedup(docs)) == sorted([(d, 45, 0, t) for d, t in rows], key=str)
+    later = spark.createDataFrame([*rows, (2, one), (2, one)], "doc_id long, text string")
+    assert rows_of(sd.substring_dedup(later)) == sorted([(d, 45, 0, t) for d, t in rows] + [(2, 45, 45, "")] * 2, key=str)
