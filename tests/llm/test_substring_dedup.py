@@ -79,6 +79,24 @@ def test_odd_rows(odd, none):
     assert sd.substring_dedup(none).collect() == []
 
 
+def strict_brute_force(documents, window=20):
+    """By (key, start) alone: ties are not earlier, and each row loses its own spans."""
+    places = {}
+    split = [((doc is not None, doc or 0), re.findall(r"[^\x20\x09-\x0D]+", text or "")) for doc, text in documents]
+    for key, words in split:
+        for s in range(len(words) - window + 1):
+            places.setdefault(tuple(words[s : s + window]), []).append((key, s))
+    first = {run: min(p) for run, p in places.items()}
+    out = []
+    for (doc, _), (key, words) in zip(documents, split):
+        gone = set()
+        for s in range(len(words) - window + 1):
+            if first[tuple(words[s : s + window])] < (key, s):
+                gone |= set(range(s, s + window))
+        out.append((doc, len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
+    return sorted(out, key=str)
+
+
 @pytest.mark.parametrize("hot", [2_000, 1])
 def test_repeated_rows_keep_their_words(spark, monkeypatch, hot):
     monkeypatch.setattr(sd, "HOT", hot)
@@ -88,3 +106,12 @@ def test_repeated_rows_keep_their_words(spark, monkeypatch, hot):
     assert rows_of(sd.substring_dedup(docs)) == sorted([(d, 45, 0, t) for d, t in rows], key=str)
     later = spark.createDataFrame([*rows, (2, one), (2, one)], "doc_id long, text string")
     assert rows_of(sd.substring_dedup(later)) == sorted([(d, 45, 0, t) for d, t in rows] + [(2, 45, 45, "")] * 2, key=str)
+
+
+@pytest.mark.parametrize("hot", [2_000, 5, 1])
+def test_rows_that_share_a_key_are_cut_apart(spark, passages, monkeypatch, hot):
+    monkeypatch.setattr(sd, "HOT", hot)
+    rows = [(None if doc % 3 == 0 else doc // 4, text) for doc, text in passages]
+    rows += rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(sd.substring_dedup(docs)) == strict_brute_force(rows)
