@@ -30,6 +30,11 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
 METHOD = "markov"
+#: Pairs of letters in the table of pairs.
+LETTERS = np.array([chr(c).isalpha() for c in range(128)])
+LETTER_PAIRS = np.outer(LETTERS, LETTERS).reshape(-1)
+#: Added to the threshold for tokens without a digit, so that joined words don't count.
+WITHOUT_DIGIT = 1.3
 #: Added to each count of a character pair before it becomes a likelihood.
 ORDINARY_SMOOTHING, RANDOM_SMOOTHING = 0.5, 8.0
 
@@ -59,7 +64,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens long enough to be a secret that hold a digit and a letter."""
+    """Tokens that are no ordinary text in training: long, with a digit and a letter."""
     return [m.span() for m in TOKEN.finditer(text) if MIXED.match(m.group())]
 
 
@@ -69,6 +74,18 @@ def pairs(token: str) -> np.ndarray:
     return codes[:-1] * 128 + codes[1:]
 
 
+def is_random(token: str, ratios: np.ndarray, threshold: float) -> bool:
+    """Whether a token's mean log-likelihood ratio is above the threshold.
+
+    Without a digit only pairs of letters count, as the signs between joined words are rare in
+    ordinary text, and the threshold is stricter; signs alone are never random.
+    """
+    places = pairs(token)
+    if not any(c.isdigit() for c in token):
+        places, threshold = places[LETTER_PAIRS[places]], threshold + WITHOUT_DIGIT
+    return len(places) > 0 and bool(ratios[places].mean() > threshold)
+
+
 def _pair_counts(codes: np.ndarray) -> np.ndarray:
     if len(codes) < 2:
         return np.zeros(128 * 128, np.int64)
@@ -78,7 +95,8 @@ def _pair_counts(codes: np.ndarray) -> np.ndarray:
 def labelled_counts(texts: list[str | None]) -> np.ndarray:
     """Character pairs of ordinary text (row 0) and of the values of base spans (row 1).
 
-    Tokens that may be secrets, but are in no base span, have no label and count in neither.
+    Long tokens with a digit and a letter that are in no base span have no label and count in
+    neither; those of letters only or digits only count as ordinary.
     """
     counts = np.zeros((2, 128 * 128), np.int64)
     for text in texts:
@@ -142,9 +160,9 @@ def find_secrets(text: Column, ratios: np.ndarray, threshold: float = 0.7) -> Co
 
     Offsets count code points, ``end`` is exclusive. Base kinds come from the fixed patterns,
     left to right without overlap per kind, matches that are too short dropped. ``markov``
-    spans are tokens of 16 or more characters that hold a digit and a letter, touch no base
-    span and have a mean log-likelihood ratio above ``threshold``. Null and empty texts have
-    no spans. The ratios are 16,384 numbers, whatever the corpus.
+    spans are tokens of 16 or more characters that touch no base span and have a mean
+    log-likelihood ratio above ``threshold``; without a digit, over the pairs of letters and
+    above ``threshold + WITHOUT_DIGIT``. Null and empty texts have no spans. The ratios are 16,384 numbers, whatever the corpus.
     """
 
     def spans(value: str | None) -> list[dict]:
@@ -152,9 +170,9 @@ def find_secrets(text: Column, ratios: np.ndarray, threshold: float = 0.7) -> Co
             return []
         base = base_spans(value)
         found = [(s, k, e) for s, k, e, _, _ in base]
-        for start, end in candidates(value):
+        for start, end in (m.span() for m in TOKEN.finditer(value)):
             apart = all(end <= s or e <= start for s, _, e, _, _ in base)
-            if apart and ratios[pairs(value[start:end])].mean() > threshold:
+            if apart and is_random(value[start:end], ratios, threshold):
                 found.append((start, len(KINDS), end))
         return [{"kind": (*KINDS, METHOD)[k], "start": s, "end": e} for s, k, e in sorted(found)]
 

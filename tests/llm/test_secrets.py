@@ -64,3 +64,19 @@ def test_odd_rows(odd, none):
     text = next(t for d, t in rows if d == 9)
     assert [(s["kind"], text[s["start"] : s["end"]]) for s in span] == [("assign", "token=ABCDEFGH12")]
     assert sc.scan_documents(none).collect() == []
+
+
+def test_random_strings_without_a_digit_are_found(spark, sf_dir):
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    keys = ["".join(rng.choice(string.ascii_letters) for _ in range(24)) for _ in range(50)]
+    words = ["parser_value_number_table", "read/value/number/table", "-" * 40, "=" * 40]
+    tests = spark.createDataFrame([(-1 - k, f"call {t} now") for k, t in enumerate(keys + words)], docs.schema)
+    ratios = sc.train(docs)
+    got = dict(tests.select("doc_id", sc.find_secrets(F.col("text"), ratios)).collect())
+    found = [[(s["kind"], s["start"], s["end"]) for s in got[-1 - k]] for k in range(len(keys + words))]
+    assert sum(f == [("markov", 5, 29)] for f in found[:50]) >= 48
+    assert found[50:] == [[]] * 4
+    numbers = sc.find_secrets(F.col("text"), np.ones(128 * 128, np.float32))
+    digits = spark.createDataFrame([("id 4465758382889437",)], "text string").select(numbers.alias("s")).first()["s"]
+    assert [(s["start"], s["end"]) for s in digits] == [(3, 19)]
