@@ -164,17 +164,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int
     """A model from whole texts of about ``labelled`` labelled and ``unlabelled`` other documents.
 
     Both are chosen by a hash of the key, so what reaches the driver, some 160 numbers per
-    document, is bounded by these parameters. A document with several labels counts as good
+    document, is bounded by these parameters. Others have no label, in the sample or out of it. A document with several labels counts as good
     if at least half of them say so; labels that are null or of no document count nothing.
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         (F.avg("quality") >= 0.5).cast("double").alias("label"))
+    all_known = marks.select(F.col(key).cast(docs.schema[key].dataType).alias(key))
     marks = marks.where(sampled(F.col(key), labelled, labels.count(), seed))
     pool = docs.where(F.col("text").isNotNull() & F.col(key).isNotNull())
     features = _features(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("f")
     known = pool.select(key, "text", "lang", "source", "n_chars").join(F.broadcast(marks), key)
-    other = pool.where(sampled(F.col(key), unlabelled, docs.count(), seed + 1)).select(
-        key, "text", "lang", "source", "n_chars").join(F.broadcast(marks.select(key)), key, "left_anti").withColumn(
+    chosen = sampled(F.col(key), unlabelled, docs.count(), seed + 1)
+    other = pool.where(chosen).select(
+        key, "text", "lang", "source", "n_chars").join(all_known.where(chosen), key, "left_anti").withColumn(
         "label", F.lit(float("nan")))
     held = F.pmod(F.xxhash64(F.lit(seed + 2), F.col(key)), F.lit(4)) == 0
     rows = known.select(key, "label", held.alias("held"), features).unionByName(

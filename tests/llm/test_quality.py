@@ -67,3 +67,12 @@ def test_model_with_both_classes_takes_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1000 + k, k % 2) for k in range(150)], "doc_id long, quality int")
     scored = {(r["doc_id"], r["text"]): r["quality"]["score"] for r in q.score_quality(docs, labels).collect()}
     assert all((scored[1000 + k, rows[k][1]] > 0.5) == bool(k % 2) for k in range(200))
+
+
+def test_labelled_documents_outside_the_sample_are_not_unlabelled(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "some words here", "en", "src1", 15) for k in range(100)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id int, quality int")
+    monkeypatch.setattr(q, "co_train", lambda content, metadata, label, held: np.isnan(label))
+    free = q.train(docs, labels, labelled=20)
+    assert 0 < (~free).sum() < 60 and free.sum() == 40
