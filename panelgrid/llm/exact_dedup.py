@@ -1,4 +1,4 @@
-"""Exact dedup by a 128-bit content hash whose groups are compared byte by byte.
+"""Exact dedup by a 128-bit content hash, with sha256 to tell its collisions apart.
 
 Built from DataFrame operations only.
 """
@@ -19,8 +19,8 @@ def without_white_space(text: Column) -> Column:
 def content_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per group of equal normalised texts: hashes, size, the row that stays.
 
-    Grouping by hash *and* text makes Spark compare the bytes of rows whose hashes meet, so a
-    collision of the 128-bit hash stays two groups. Copies are combined before the shuffle, so
+    Copies of equal bytes are combined first, but groups are those of equal md5 and sha256, so
+    sha256 decides where md5 collides; a collision of both is not told apart. Copies are combined before the shuffle, so
     a group of any size sends one row per task and original length.
     """
     rows = docs.select(
