@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelgrid.llm import (
-    decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, secrets, sharding, substring_dedup,
-    token_files,
+    conversation_repair, decontaminate, exact_dedup, filter_audit, language_id, mixing, near_dedup, quality, secrets,
+    sharding, simhash, substring_dedup, token_files,
 )
 from panelgrid.llm.queries_sql import SQL as SQL
 from panelgrid.session import scratch_path
@@ -123,3 +123,42 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), 20)
     return cut.select("doc_id", "n_words", "n_removed",
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows as a faulty export would leave them, by crc32 of conversation and turn."""
+    named = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    fate = F.col("fate")
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"),
+                                (F.crc32(named.cast("binary")) % 20).alias("fate")).where("fate <> 0").select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(fate == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    summary, repaired = conversation_repair.repair_conversations(damaged(conversations))
+    digests = conversation_repair.transcript_digests(repaired)
+    found = summary.join(digests.withColumnRenamed("conv_id", "digest_of"), F.col("conv_id").eqNullSafe(F.col("digest_of")), "left")
+    every = conversations.select(F.col("conv_id").alias("every_id")).distinct()
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(found, F.col("every_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("every_id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, per source."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simhash component of every document: 3-word shingles, 3 bits."""
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"), 3, 3)

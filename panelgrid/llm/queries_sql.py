@@ -126,7 +126,97 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, s
 FROM doc_words LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 """
 
+#: CRC-32 of an ASCII string, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda x : ascii(x)::UBIGINT)),
+    lambda c, b : list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+        lambda v, k : CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)), 4294967295::UBIGINT)"""
+
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE base AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate
+    FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM base WHERE fate <> 0),
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+numbered AS (
+    SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+           right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last FROM damaged),
+faults AS (
+    SELECT *, last = '' AS blank, last <> '' AND seen AS duplicate,
+           last <> '' AND NOT seen AND last NOT IN ('.', '!', '?') AS truncated,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM numbered),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank,
+           sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated, coalesce(sum(illegal::INT), 0) AS illegal,
+           max(i) AS n FROM faults GROUP BY conv_id),
+inserts(q, p, letters, lines) AS (VALUES
+    (0, 0, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']),
+    (1, 3, 'II', ['user:', 'assistant:']), (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])),
+edits(p, letter, initial, role, price, next_q) AS (VALUES
+    (0, 'K', 's', NULL, 0, 1), (0, 'K', 'u', NULL, 0, 2), (1, 'K', 'u', NULL, 0, 2), (2, 'K', 'a', NULL, 0, 3), (3, 'K', 'u', NULL, 0, 2),
+    (0, 'R', NULL, 'user', 3, 2), (1, 'R', NULL, 'user', 3, 2), (2, 'R', NULL, 'assistant', 3, 3), (3, 'R', NULL, 'user', 3, 2),
+    (0, 'D', NULL, NULL, 4, 0), (1, 'D', NULL, NULL, 4, 1), (2, 'D', NULL, NULL, 4, 2), (3, 'D', NULL, NULL, 4, 3)),
+dp AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM faults
+    UNION ALL
+    SELECT f.conv_id, f.i, e.next_q,
+           d.cost + 3 * len(s.letters) + e.price + CASE WHEN f.truncated AND e.letter <> 'D' THEN 3 ELSE 0 END AS new_cost,
+           d.audit || s.letters || e.letter AS new_audit,
+           d.lines || s.lines || CASE WHEN e.letter = 'D' THEN []::VARCHAR[] ELSE [coalesce(e.role, f.role) || ':' || f.text] END
+    FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1
+         JOIN inserts s USING (q) JOIN edits e ON e.p = s.p AND (e.initial IS NULL OR e.initial = f.initial)
+              AND (e.letter = 'D' OR NOT (f.blank OR f.duplicate))
+    QUALIFY row_number() OVER (PARTITION BY f.conv_id, e.next_q ORDER BY new_cost, new_audit) = 1),
+ends AS (
+    SELECT d.conv_id, cost + 3 * len(letters) AS cost, audit || letters AS audit, d.lines || s.lines AS lines
+    FROM dp d JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.i JOIN inserts s USING (q) WHERE p IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY d.conv_id ORDER BY cost + 3 * len(letters), audit || letters) = 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+     LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+FILTER_AUDIT = f"""
+WITH words AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+bits AS (
+    SELECT doc_id, part, (len(w) < 200)::INT AS A, (100 * len(list_distinct(w)) < 50 * len(w))::INT AS B,
+           (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT AS C, regexp_matches(t, '[#$%&*|]')::INT AS D,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS E FROM words),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+cells AS (
+    SELECT part, A + 2 * B + 4 * C + 8 * D + 16 * E AS bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad
+    FROM bits LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters(x, m) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.m + b.m + c.m + d.m + e.m = 31 AND a.m | b.m | c.m | d.m | e.m = 31),
+steps AS (
+    SELECT filter_order, step, m AS own, (SELECT coalesce(sum(z.m), 0) FROM letters z WHERE contains(left(filter_order, step - 1), z.x)) AS earlier
+    FROM orders, (SELECT unnest(range(1, 6))::INT AS step), letters WHERE x = substring(filter_order, step, 1)),
+outcome AS (
+    SELECT part, filter_order, step, own, sum(CASE WHEN bits & (own | earlier::INT) = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN bits & own <> 0 AND bits & earlier::INT = 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN bits & own <> 0 AND bits & earlier::INT <> 0 THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN bits = own THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN bits & own <> 0 AND bits & earlier::INT = 0 THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN bits & own <> 0 AND bits & earlier::INT = 0 THEN bad ELSE 0 END) AS toxic_lost
+    FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM outcome
+"""
+
 SQL = {
+    "op11_conversation_repair": CONVERSATION_REPAIR,
+    "op12_filter_audit": FILTER_AUDIT,
     "op7_near_dedup": NEAR_DEDUP,
     "op10_substring_dedup": SUBSTRING_DEDUP,
     "op2_mixing": MIXING,
