@@ -144,7 +144,7 @@ ordered AS (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
 numbered AS (
     SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
-           right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last FROM damaged),
+           right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last FROM ordered),
 faults AS (
     SELECT *, last = '' AS blank, last <> '' AND seen AS duplicate,
            last <> '' AND NOT seen AND last NOT IN ('.', '!', '?') AS truncated,
