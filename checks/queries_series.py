@@ -140,9 +140,13 @@ def _(spark, sf_dir):
     return align_time_series(hourly_sums(spark, sf_dir), HOURLY)
 
 
-@query("w08_align_inferred_step", f"""with h as ({_HOURS}),
-    even as (select event_type, hour, cents from h where event_type = 'click' and hour(hour) % 8 = 0
-        union all select event_type, hour, cents from h where event_type <> 'click'),
+# Clicks are summed up by eight hours, so that their step is another one than that of the rest.
+_UNEVEN = """select event_type, case when event_type = 'click' then time_bucket(interval 8 hour, ts) else
+    date_trunc('hour', ts) end as hour, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents
+    from events group by 1, 2"""
+
+
+@query("w08_align_inferred_step", f"""with even as ({_UNEVEN}),
     steps as (select event_type, min(hour) as a, max(hour) as b, case when count(*) >= 3
         and min(gap) = max(gap) then min(gap) else 1 end as step from (select *,
         date_diff('hour', lag(hour) over (partition by event_type order by hour), hour) as gap
@@ -153,8 +157,11 @@ def _(spark, sf_dir):
         order by g.hour rows between unbounded preceding and current row), 0) as cents
     from g left join even h on g.event_type = h.event_type and g.hour = h.hour""")
 def _(spark, sf_dir):
-    hours = hourly_sums(spark, sf_dir).where("event_type <> 'click' or hour(hour) % 8 = 0")
-    return align_time_series(hours, HOURLY.irregular())
+    hour = F.expr("""case when event_type = 'click' then timestampadd(HOUR, -(hour(ts) % 8), date_trunc('hour', ts))
+        else date_trunc('hour', ts) end""").cast("timestamp_ntz")
+    sums = st.table(spark, sf_dir, "events").groupBy("event_type", hour.alias("hour")).agg(
+        F.expr("sum(cast(round(value * 100) as bigint))").alias("cents"))
+    return align_time_series(sums, HOURLY.irregular())
 
 
 @query("w09_chronological_split", sql(

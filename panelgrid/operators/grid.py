@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime, timezone
+from datetime import date, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelgrid.operators.series import (
-    Series, epoch_seconds, fill_gaps, from_epoch_seconds, step_seconds,
+from panelgrid.operators.series import Series, fill_gaps
+from panelgrid.operators.steps import (
+    MICROS, MONTH_MARKS, is_marked, micros_of_day, number_of, time_of,
 )
 
-FALLBACK_STEP = 3600  # seconds, for series whose step cannot be told
+FALLBACK_STEP = 3600 * MICROS  # for series whose step cannot be told
+#: Calendars that a series without a given step may turn out to follow.
+INFERRED = (*MONTH_MARKS, "business day")
 
 
 def region_table(spark: SparkSession, regions: DataFrame | Sequence[str], name: str) -> DataFrame:
@@ -34,8 +38,9 @@ def day_bounds(start: str | date, end: str | date) -> tuple[str, str]:
     return days[0], days[1]
 
 
-def _ticks(bounds: DataFrame, series: Series, name: str) -> DataFrame:
-    """Rows with ``_first``, ``_last`` and ``_step`` (seconds) to one row per step.
+def _ticks(bounds: DataFrame, series: Series, name: str, kinds: Sequence[str]) -> DataFrame:
+    """Rows with ``_kind``, ``_first``, ``_last`` and ``_step`` (numbers of that kind of step) to
+    one row per step, its time of day ``_after``.
 
     The rows are few and a step table may sit in a single partition, so they are
     first cut into blocks of steps and spread over all tasks; each task then
@@ -48,14 +53,28 @@ def _ticks(bounds: DataFrame, series: Series, name: str) -> DataFrame:
     )
     span = F.col("_step") * series.chunk_rows
     starts = F.explode(F.sequence(F.col("_first"), F.col("_last"), span))
-    blocks = bounds.withColumn("_start", starts).repartition(tasks, series.region, "_start")
+    some = bounds.where("_first <= _last")
+    blocks = some.withColumn("_start", starts).repartition(tasks, series.region, "_start")
     end = F.least(F.col("_last"), F.col("_start") + span - F.col("_step"))
-    ticks = blocks.withColumn("_sec", F.explode(F.sequence(F.col("_start"), end, F.col("_step"))))
-    return ticks.withColumn(name, from_epoch_seconds(F.col("_sec"))).drop(
-        "_first", "_last", "_step", "_start", "_sec"
+    ticks = blocks.withColumn("_number", F.explode(F.sequence(F.col("_start"), end, F.col("_step"))))
+    time = reduce(lambda other, kind: F.when(
+        F.col("_kind") == kind, time_of(kind, F.col("_number"), F.col("_after"))).otherwise(other),
+        kinds, F.lit(None).cast("timestamp_ntz"))
+    return ticks.withColumn(name, time).drop(
+        "_kind", "_first", "_last", "_step", "_after", "_start", "_number"
     )
 
 
+def _with_steps(bounds: DataFrame, series: Series, first: Column, last: Column) -> DataFrame:
+    """``bounds`` with the grid of the series' own step from a first to a last time."""
+    step = series.step
+    return bounds.withColumns({
+        "_kind": F.lit(step.kind), "_first": step.first_number(first).cast("long"),
+        "_last": step.last_number(first, last).cast("long"), "_step": F.lit(step.size).cast("long"),
+        "_after": micros_of_day(first),
+    })
+
+
 def region_date_grid(
     regions: DataFrame, series: Series, start: str | date, end: str | date
 ) -> DataFrame:
@@ -64,51 +83,63 @@ def region_date_grid(
     Steps are generated from the region rows: no join. Further columns of
     ``regions`` (coordinates, context) ride along.
     """
-    first, last = (
-        int(datetime.fromisoformat(day).replace(tzinfo=timezone.utc).timestamp())
-        for day in day_bounds(start, end)
-    )
-    step = step_seconds(series.frequency)
-    bounds = regions.withColumns({
-        "_first": F.lit(first).cast("long"), "_last": F.lit(last).cast("long"),
-        "_step": F.lit(step).cast("long"),
-    })
-    return _ticks(bounds, series, series.time)
+    first, last = (F.lit(day).cast("timestamp_ntz") for day in day_bounds(start, end))
+    return _ticks(_with_steps(regions, series, first, last), series, series.time, [series.step.kind])
 
 
 def region_steps(df: DataFrame, series: Series) -> DataFrame:
-    """(region, first, last, step) in seconds, one row per region.
-
-    Without a configured frequency the step is the constant gap between a
-    region's rows. It is constant exactly when all its distinct times lie on the
-    lattice of the mean gap, so two aggregates tell and no window is needed.
+    """The grid of each region: (region, kind, first, last, step, after), one row per region.
+
+    A grid begins at the region's first time, on a calendar at the next mark with the same time
+    of day, and keeps its parts of a second. Without a configured frequency the step is the
+    constant gap between a region's rows, counted in months where all rows mark months in the
+    same way, in business days where they skip weekends, else in microseconds. A gap is constant
+    exactly when all its distinct times lie on the lattice of the mean gap, so two aggregates tell and no
+    window is needed.
     """
-    seconds = epoch_seconds(F.col(series.time))
-    rows = df.select(series.region, seconds.alias("_sec"))
-    bounds = rows.groupBy(series.region).agg(
-        F.min("_sec").alias("_first"), F.max("_sec").alias("_last"), F.count("_sec").alias("_rows")
-    )
+    time = F.col(series.time)
+    bounds = df.groupBy(series.region).agg(
+        F.min(time).alias("_from"), F.max(time).alias("_to"), F.count(time).alias("_rows")
+    ).where("_rows > 0")
+    lattice = [series.region, "_kind", "_first", "_last", "_step", "_after"]
     if series.frequency:
-        return bounds.select(
-            series.region, "_first", "_last", F.lit(step_seconds(series.frequency)).alias("_step")
-        )
-    distinct = rows.distinct()
-    gap = F.try_divide(F.col("_last") - F.col("_first"), F.col("_rows") - 1)
-    fits = (
-        distinct.join(bounds.withColumn("_gap", gap), series.region)
-        .groupBy(series.region)
-        .agg(
-            F.count("_sec").alias("_times"),
-            F.count_if((F.col("_sec") - F.col("_first")) % F.col("_gap") != 0).alias("_off"),
-        )
-    )
-    regular = (F.col("_rows") >= 3) & (F.col("_times") == F.col("_rows")) & (F.col("_off") == 0)
-    step = F.when(regular, F.col("_gap").cast("long")).otherwise(F.lit(FALLBACK_STEP))
-    return (
-        bounds.withColumn("_gap", gap)
-        .join(fits, series.region)
-        .select(series.region, "_first", "_last", step.alias("_step"))
-    )
+        return _with_steps(bounds, series, F.col("_from"), F.col("_to")).select(*lattice)
+
+    def gap(kind: str) -> Column:
+        whole = number_of(kind, F.col("_to")) - number_of(kind, F.col("_from"))
+        return F.when((whole > 0) & (whole % (F.col("_rows") - 1) == 0),
+                      F.floor(whole / F.greatest(F.col("_rows") - 1, F.lit(1))))
+
+    kinds = ("time", *INFERRED)
+    gaps = bounds.where("_rows >= 3").withColumns({f"_gap_{k}": gap(kind) for k, kind in enumerate(kinds)})
+
+    def off(kind: str, k: int) -> Column:
+        number = number_of(kind, time) - number_of(kind, F.col("_from"))
+        on = is_marked(kind, time) & (number % F.col(f"_gap_{k}") == 0)
+        if kind != "time":
+            on &= micros_of_day(time) == micros_of_day(F.col("_from"))
+        return F.count_if(~F.coalesce(on, F.lit(False))).alias(f"_off_{k}")
+
+    fits = df.select(series.region, time).where(time.isNotNull()).distinct().join(gaps, series.region).groupBy(
+        series.region).agg(F.count(F.lit(1)).alias("_times"), *[off(kind, k) for k, kind in enumerate(kinds)])
+    fitted = bounds.join(gaps.drop("_from", "_to", "_rows").join(fits, series.region), series.region, "left")
+    kind, step = F.lit("time"), F.lit(FALLBACK_STEP).cast("long")
+    # Later ones win: a calendar of months, then a constant gap, then business days.
+    for k, name in (*[(k, n) for k, n in enumerate(kinds) if n == "business day"], (0, "time"),
+                    *[(k, n) for k, n in enumerate(kinds) if n in MONTH_MARKS][::-1]):
+        regular = (F.col("_times") == F.col("_rows")) & (F.col(f"_off_{k}") == 0)
+        if name == "business day":
+            regular &= F.col(f"_gap_{k}") == 1
+        step = F.when(regular, F.col(f"_gap_{k}").cast("long")).otherwise(step)
+        kind = F.when(regular, F.lit(name)).otherwise(kind)
+    chosen = fitted.withColumns({"_kind": kind, "_step": step})
+
+    def number(edge: str) -> Column:
+        return reduce(lambda other, name: F.when(F.col("_kind") == name, number_of(name, F.col(edge))).otherwise(other),
+                      kinds, F.lit(None).cast("long"))
+
+    return chosen.withColumns(
+        {"_first": number("_from"), "_last": number("_to"), "_after": micros_of_day(F.col("_from"))}).select(*lattice)
 
 
 def align_reindex(df: DataFrame, series: Series) -> DataFrame:
@@ -116,7 +147,8 @@ def align_reindex(df: DataFrame, series: Series) -> DataFrame:
 
     Two rows of one region and time are an error, raised when the result is computed.
     """
-    grid = _ticks(region_steps(df, series), series, series.time)
+    kinds = [series.step.kind] if series.frequency else ["time", *INFERRED]
+    grid = _ticks(region_steps(df, series), series, series.time, kinds)
     return grid.join(with_unique_keys(df, series), series.key, "left").select(*df.columns)
 
 

@@ -12,60 +12,24 @@ region into one task. A series is cut into chunks of consecutive rows:
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from panelgrid.operators.steps import Step, parse_step
 from panelgrid.session import materialize
 
 POSITION = "_pos"
 CHUNK = "_chunk"
 OWN = "_own"
 
-DAY = 86400
-
-_UNIT_SECONDS = {
-    "D": DAY, "DAY": DAY, "H": 3600, "HOUR": 3600, "T": 60, "MIN": 60, "MINUTE": 60,
-    "S": 1, "SECOND": 1,
-}
-
-
-def step_seconds(frequency: str) -> int:
-    """Seconds in a fixed frequency such as ``1D``, ``D``, ``6h``, ``15min`` or ``30 s``."""
-    match = re.fullmatch(r"\s*(\d*)\s*([A-Za-z]+?)s?\s*", frequency) or re.fullmatch(
-        r"\s*(\d*)\s*([sS])\s*", frequency
-    )
-    unit = match and _UNIT_SECONDS.get(match.group(2).upper())
-    if not unit:
-        raise ValueError(f"not a fixed frequency: {frequency!r}")
-    return int(match.group(1) or 1) * unit
-
-
-def epoch_seconds(ts: Column) -> Column:
-    """Whole seconds since 1970 of a zone-less timestamp."""
-    day = F.unix_date(F.to_date(ts)).cast("long")
-    return day * DAY + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-
-
-def from_epoch_seconds(seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds, F.lit("1970-01-01").cast("timestamp_ntz"))
-
-
-def step_number(ts: Column, seconds: int) -> Column:
-    """Number of the step of that many seconds a time falls into, counted from 1970."""
-    if seconds % DAY == 0:
-        return F.floor(F.unix_date(F.to_date(ts)).cast("long") / (seconds // DAY))
-    return F.floor(epoch_seconds(ts) / seconds)
-
-
 @dataclass(frozen=True)
 class Series:
     """Key columns of a panel and its time step.
 
-    ``frequency`` is the fixed distance between neighbouring rows of a region
-    (every grid made by :mod:`panelgrid.operators.grid` has one). ``None`` says
+    ``frequency`` is the step between neighbouring rows of a region, a fixed span or a calendar
+    step (every grid made by :mod:`panelgrid.operators.grid` has one). ``None`` says
     that rows are irregular; positions are then counted instead of computed. ``counted``
     asks for that too where a fixed step has gaps, and ``from_first`` for positions that
     start at 0 in every region.
@@ -83,16 +47,19 @@ class Series:
     def key(self) -> list[str]:
         return [self.region, self.time]
 
+    @property
+    def step(self) -> Step:
+        return parse_step(self.frequency)
+
     def irregular(self) -> Series:
         return replace(self, frequency=None)
 
     def time_chunk(self) -> Column:
         """Chunk number from the timestamp alone."""
-        if self.frequency:
-            span = step_seconds(self.frequency) * self.chunk_rows
-        else:
-            span = step_seconds(self.bucket)
-        return step_number(F.col(self.time), span)
+        if not self.frequency:
+            return parse_step(self.bucket).position(F.col(self.time))
+        step = self.step
+        return replace(step, size=step.size * self.chunk_rows).position(F.col(self.time))
 
     def chunk_window(self, order: str | None = None) -> WindowSpec:
         return Window.partitionBy(self.region, CHUNK).orderBy(order or self.time)
@@ -144,14 +111,13 @@ def on_steps(df: DataFrame, series: Series) -> Series:
     """
     if series.frequency is None or series.counted:
         return series
-    seconds = step_seconds(series.frequency)
-    step = step_number(F.col(series.time), seconds)
-    after = epoch_seconds(F.col(series.time)) - step * seconds
+    step = series.step.position(F.col(series.time))
+    after = series.step.remainder(F.col(series.time))
     runs = df.where(F.col(series.time).isNotNull()).groupBy(series.region).agg(
         F.count(F.lit(1)).alias("_rows"), F.count_distinct(step).alias("_steps"),
-        (F.max(step) - F.min(step) + 1).alias("_span"), (F.max(after) - F.min(after)).alias("_off"),
+        (F.max(step) - F.min(step) + 1).alias("_span"), (F.max(after) != F.min(after)).alias("_off"),
     )
-    broken = runs.where("_rows <> _steps or _steps <> _span or _off <> 0")
+    broken = runs.where("_rows <> _steps or _steps <> _span or _off")
     return series if broken.isEmpty() else replace(series, counted=True)
 
 
@@ -159,7 +125,7 @@ def with_position(df: DataFrame, series: Series) -> DataFrame:
     """Consecutive integers along each region; free of wide shuffles on a regular grid."""
     if series.frequency is None or series.counted:
         return with_row_index(df, series)
-    step = step_number(F.col(series.time), step_seconds(series.frequency))
+    step = series.step.position(F.col(series.time))
     if not series.from_first:
         return df.withColumn(POSITION, step)
     first = df.groupBy(series.region).agg(F.min(step).alias("_first_step"))

@@ -11,8 +11,9 @@ from panelgrid.operators import features
 from panelgrid.operators.grid import align_time_series, duplicate_keys, region_date_grid
 from panelgrid.operators.ranked import exact_percentile, with_running_totals
 from panelgrid.operators.series import (
-    CHUNK, Series, fill_gaps, step_seconds, with_halo, with_position, with_row_index,
+    CHUNK, Series, fill_gaps, with_halo, with_position, with_row_index,
 )
+from panelgrid.operators.steps import MICROS, parse_step
 from tests.helpers import SCHEMA, as_pandas, collected, random_rows
 
 # One region holds most of the rows.
@@ -139,11 +140,12 @@ def test_duplicate_keys_are_found(spark):
 
 
 def test_frequencies():
-    assert [step_seconds(f) for f in ("D", "6h", "15min", "30 s", "2 days", "1H")] == [
+    assert [parse_step(f).size // MICROS for f in ("D", "6h", "15min", "30 s", "2 days", "1H")] == [
         86400, 21600, 900, 30, 172800, 3600
     ]
-    with pytest.raises(ValueError):
-        step_seconds("W")
+    for bad in ("WOM", "MS-FEB", "W-XYZ", "B-MON", "0D", "D-MON", "", "5"):
+        with pytest.raises(ValueError):
+            parse_step(bad)
 
 
 def test_running_totals_over_many_buckets(spark):
