@@ -117,7 +117,7 @@ WITH doc_words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}
 windows AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS win
     FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM doc_words)),
 repeats AS (SELECT doc_id, s FROM windows
-    QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, s) > 1),
+    QUALIFY rank() OVER (PARTITION BY win ORDER BY doc_id, s) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM repeats),
 words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc_words),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),

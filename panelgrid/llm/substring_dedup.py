@@ -7,12 +7,14 @@ order, streams each through the suffix automaton of the earlier ones and cuts ou
 spans whose matching statistics reach the window length.
 
 An automaton of all text broadcast to all documents would cost text times text; filing sends a
-passage only to the one automaton that may hold its windows.
+passage only to the one automaton that may hold its windows. A run that too many passages share
+for one task is made longer to its left or right, so that its passages part; at last the run is the window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -27,8 +29,10 @@ from panelgrid.llm.words import hashes_of, run_hashes
 
 #: Words in a run whose hash may file a window.
 RUN = 8
-#: Passages of a mark beyond which they are told apart by hash and don't meet in one task.
+#: Passages of a shard; a mark that has more is replaced by longer ones.
 HOT = 2_000
+#: Words beside a run that a longer run takes in: eight words become 14, then 17, then the window.
+LONGER = (6, 3)
 #: Parts of a hot key.
 PARTS = 1024
 #: Spans that are handed on together.
@@ -145,17 +149,22 @@ def _marks(window: int) -> Callable:
     return mark
 
 
+_FILED = [("mark", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32())]
+#: Of a hot mark also where its run begins in the passage, and 64-bit hashes of the passage and its words.
+_HOT = [*_FILED, ("at", pa.int32()), ("passage", pa.int64()), ("words", pa.binary())]
+_HOT_KIND = "mark long, doc long, row long, start int, at int, passage long, words binary"
+
+
 def _passages(window: int, of_hot: bool) -> Callable:
-    """Passages filed under shared marks: word hashes of the others, window hashes of hot ones.
+    """Passages filed under shared marks, with the hashes of their words.
 
     A passage is the run of words that the consecutive windows filed under one place cover.
-    Words are 32-bit hashes; the windows share the 64-bit hash of the run they are filed under.
+    Words are 32-bit hashes, beside the 64-bit hash of the run they are filed under; those of hot marks have
+    64 bits, so that hashes of longer runs can be made of them.
     Places come as twice the place, plus one for a hot mark. Equal rows that follow one another
     give their passages once.
     """
-    schema = pa.schema(
-        [("mark", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32())]
-        + ([("passage", pa.int64()), ("windows", pa.list_(pa.int64()))] if of_hot else [("words", pa.binary())]))
+    schema = pa.schema(_HOT if of_hot else [*_FILED, ("words", pa.binary())])
 
     def passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -184,10 +193,8 @@ def _passages(window: int, of_hot: bool) -> Callable:
                         (firsts - filing.first[owner]).astype(np.int32)]
                 spans = list(zip(firsts.tolist(), ends.tolist()))
                 if of_hot:
-                    windows = run_hashes(filing.words, window)
-                    each = [windows[a : b - window + 1] for a, b in spans]
-                    rows.append(np.array([run_hashes(w, len(w))[0] for w in each], np.uint64).view(np.int64))
-                    rows.append([w.view(np.int64) for w in each])
+                    each = [filing.words[a:b] for a, b in spans]
+                    rows += [(places - firsts).astype(np.int32), [_hash_of(w) for w in each], [w.tobytes() for w in each]]
                 else:
                     short = filing.words.astype("<u4").tobytes()
                     rows.append([short[4 * a : 4 * b] for a, b in spans])
@@ -197,6 +204,46 @@ def _passages(window: int, of_hot: bool) -> Callable:
     return passages
 
 
+def _hash_of(words: np.ndarray) -> int:
+    """Of all the words as one run, as a signed number."""
+    return int(run_hashes(words, len(words)).view(np.int64)[0])
+
+
+def _longer(window: int, run: int, more: int) -> Callable:
+    """Copies as spans, other passages under runs of ``run + more`` words, two at most for each.
+
+    A window has at least ``2 * more`` words beside its run. Those with as many as ``more`` on the
+    left share the run lengthened to the left, the others the one lengthened to the right, and
+    equal windows share the same one. With ``more`` 0 each window is its own run.
+    """
+    schema = pa.schema([*_HOT, ("end", pa.int32())])
+
+    def refile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, row, start, at, data, copy in zip(*[batch.column(c).to_pylist() for c in ("doc", "row", "start", "at", "words", "copy")]):
+                words = np.frombuffer(data, "<u8")
+                if copy:
+                    out.append((None, doc, row, start, None, None, None, start + len(words)))
+                    continue
+                latest = len(words) - window
+                if more:
+                    # first and last window of either group, and where its longer run begins
+                    groups = ((0, min(latest, at - more), at - more), (max(0, at - more + 1), latest, at))
+                else:
+                    groups = tuple((k, k, k) for k in range(latest + 1))
+                size = run + more if more else window
+                for first, final, begin in groups:
+                    if first <= final:
+                        own = words[first : final + window]
+                        out.append((_hash_of(words[begin : begin + size]), doc, row, start + first, begin - first, _hash_of(own),
+                                    own.tobytes(), start + final + window))
+            columns = list(zip(*out)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return refile
+
+
 class Shard:
     """The passages of one mark, taken in order of document and place.
 
@@ -257,9 +304,11 @@ class Shard:
             self.count(words)
 
 
-def _matched(window: int) -> Callable:
+def _matched(window: int, bits: int = 32) -> Callable:
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        if bits == 64:
+            rows = ((*row[:-1], np.frombuffer(row[-1], "<u8").astype("<u4").tobytes()) for row in rows)
         shard, current, out = Shard(window), None, []
         for (mark, doc), group in groupby(rows, itemgetter(0, 1)):
             if mark != current:
@@ -319,14 +368,47 @@ def _with_later(rows: DataFrame, key: list[str], name: str) -> DataFrame:
         name, (F.col("here") > 1) | F.col("beaten")).drop("part", "here", "group", "among", "beaten")
 
 
+def _streamed(passages: DataFrame, window: int, bits: int = 32) -> DataFrame:
+    """Spans of passages (mark, doc, row, start, words), each streamed through its shard's automaton."""
+    return passages.repartition("mark").sortWithinPartitions("mark", "doc", "start").mapInArrow(
+        _matched(window, bits), _SPAN)
+
+
+_SPAN = "doc long, row long, start int, end int"
+
+
+def _hot_spans(hot: DataFrame, window: int) -> DataFrame:
+    """Spans of passages whose mark very many share, by longer and longer marks.
+
+    A passage met before goes whole, and only the earliest of equal ones goes on. Under a longer
+    mark there are fewer; marks that occur once are dropped, and those of few passages are
+    shards like any other. When the mark is the window itself, all but the earliest go.
+    """
+    found, run = [], RUN
+    for more in (*LONGER, 0):
+        kind = _HOT_KIND + ", end int"
+        refiled = materialize(
+            _with_later(hot, ["mark", "passage"], "copy").mapInArrow(_longer(window, run, more), kind), "longer")
+        found.append(refiled.where("mark is null").select("doc", "row", "start", "end"))
+        single = refiled.where("mark is not null")
+        run += more
+        if not more:
+            found.append(_with_later(single, ["mark"], "again").where("again").select("doc", "row", "start", "end"))
+            break
+        counted = materialize(single.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "longer-marks")
+        again = single.drop("end").join(counted, "mark")
+        found.append(_streamed(again.where(F.col("n") <= HOT).select("mark", "doc", "row", "start", "words"), window, 64))
+        hot = again.where(F.col("n") > HOT).drop("n")
+    return reduce(DataFrame.unionByName, found)
+
+
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     """(doc, row, start, end) of word spans whose windows start earlier, from (doc, text, row).
 
     ``doc`` orders documents and ``row`` is the id of a document's text, the same for equal rows.
 
     Marks are counted first, with one row per mark and task; only passages under marks that
-    occur again go on. Passages of a hot mark don't meet in one task: equal passages are told
-    apart by their hash, and what is left of them window by window.
+    occur again go on. Passages of a hot mark don't meet in one task; they are filed anew.
     """
     marks = texts.select("row", "text").mapInArrow(_marks(window), "mark long, row long, place int")
     counted = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -334,22 +416,9 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     places = marks.join(again, "mark").groupBy("row").agg(
         F.collect_set(F.col("place") * 2 + F.col("hot").cast("int")).alias("places"))
     placed = texts.join(places, "row", "left").select("doc", "text", "places", "row")
-    cold = (
-        placed.mapInArrow(_passages(window, False), "mark long, doc long, row long, start int, words binary")
-        .repartition("mark").sortWithinPartitions("mark", "doc", "start")
-        .mapInArrow(_matched(window), "doc long, row long, start int, end int")
-    )
-    hot = placed.where(F.exists("places", lambda p: p % 2 == 1)).mapInArrow(
-        _passages(window, True), "mark long, doc long, row long, start int, passage long, windows array<long>")
-    # a passage met before goes whole, of the others each window is looked at
-    passages = _with_later(hot, ["mark", "passage"], "copy")
-    windows = F.when(F.col("copy"), F.array(F.lit(None).cast("long"))).otherwise(F.col("windows"))
-    width = F.when(F.col("copy"), F.size("windows") - 1).otherwise(0) + window
-    single = passages.select(
-        "mark", "doc", "row", "copy", "start", width.alias("width"), F.posexplode(windows).alias("ahead", "window")
-    ).withColumn("start", F.col("start") + F.col("ahead"))
-    repeats = _with_later(single, ["mark", "window"], "again").where("copy or again")
-    return cold.unionByName(repeats.select("doc", "row", "start", (F.col("start") + F.col("width")).alias("end")))
+    cold = placed.mapInArrow(_passages(window, False), "mark long, doc long, row long, start int, words binary")
+    hot = placed.where(F.exists("places", lambda p: p % 2 == 1)).mapInArrow(_passages(window, True), _HOT_KIND)
+    return _streamed(cold, window).unionByName(_hot_spans(hot, window))
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,10 +431,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text
     the least. Rows that share a key, or have none, tie: a start is earlier in one of them than a
     greater one in another, equal starts are not earlier than one another, and each row loses
     only its own spans, so repeated rows have equal results. Rows are told apart by key and a
-    64-bit hash of key and text. Other columns are ignored.
+    64-bit hash of key and text. Other columns are ignored. No rows give no rows.
     """
-    if window < RUN:
-        raise ValueError(f"windows have at least {RUN} words")
+    if window < RUN + 2 * LONGER[0]:
+        raise ValueError(f"windows have at least {RUN + 2 * LONGER[0]} words")
     least = -(1 << 63)
     texts = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("doc"), F.col(text).cast("binary").alias("text")
