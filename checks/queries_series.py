@@ -223,9 +223,11 @@ STUMP = {
     "features": {"include": ["busy"], "lags": [1], "rolling_windows": [2],
                  "rolling_statistics": ["mean"], "base_weather_cols": ["busy"]},
     "training": {
-        "temporal": {"iterations": 1, "patience": 1, "max_depth": 1},
+        "temporal": {"kind": "trees", "iterations": 1, "patience": 1, "max_depth": 1,
+                     "learning_rate": 1.0, "reg_lambda": 0.0},
         "tabular": {"rf": {"n_estimators": 1, "max_depth": 1, "bootstrap": False},
-                    "gbt": {"n_estimators": 1, "max_depth": 1, "subsample": 1.0}},
+                    "gbt": {"n_estimators": 1, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0,
+                            "learning_rate": 1.0, "reg_lambda": 0.0}},
     },
 }
 st.CTE["stump"] = (

@@ -41,15 +41,24 @@ DEFAULTS: dict[str, Any] = {
     },
     "training": {
         "random_seed": 42,
-        "temporal": {"iterations": 25, "reg_param": 0.1, "patience": 5, "min_delta": 0.0005},
+        "temporal": {
+            "kind": "recurrent",
+            "iterations": 25,
+            "hidden": 64,
+            "reg_param": 0.1,
+            "patience": 5,
+            "min_delta": 0.0005,
+        },
         "tabular": {
             "rf": {"n_estimators": 400, "max_depth": 12, "min_samples_leaf": 2},
             "gbt": {
+                "method": "second_order",
                 "n_estimators": 500,
                 "learning_rate": 0.05,
                 "max_depth": 5,
                 "subsample": 0.9,
                 "colsample_bytree": 0.8,
+                "reg_lambda": 1.0,
             },
             "blend_alpha": 0.5,
         },

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelgrid.functions.numeric import at_least, clip_unit
+from panelgrid.operators.boosting import BoostedTrees, fit_second_order
 from panelgrid.operators.joins import combine_predictions
+from panelgrid.operators.recurrent import RecurrentModel, fit_recurrent
 from panelgrid.operators.series import Series
 from panelgrid.session import shared_folder
 
@@ -62,8 +64,15 @@ def fit_forest(
 
 def fit_boosted(
     train: DataFrame, target_type: str, params: Mapping[str, Any] | None = None, seed: int = 42
-) -> Model:
-    """Gradient boosted trees with row and feature sampling."""
+) -> Model | BoostedTrees:
+    """Gradient boosted trees with row and feature sampling.
+
+    ``method`` ``second_order`` penalises leaves and samples columns per tree; ``spark`` takes
+    Spark ML's trees, which do neither and sample columns per node.
+    """
+    p = {"method": "second_order", **(params or {})}
+    if p["method"] == "second_order":
+        return fit_second_order(train, target_type, {k: v for k, v in p.items() if k != "method"}, seed, VECTOR)[0]
     _checkpointing(train)
     p = {"n_estimators": 500, "learning_rate": 0.05, "max_depth": 5, "subsample": 0.9,
          "colsample_bytree": 0.8, **(params or {})}
@@ -76,8 +85,14 @@ def fit_boosted(
     return estimator.fit(train)
 
 
-def with_prediction(df: DataFrame, model: Model, name: str, target_type: str) -> DataFrame:
+def with_prediction(
+    df: DataFrame, model: Model | BoostedTrees | RecurrentModel, name: str, target_type: str
+) -> DataFrame:
     """Adds the predicted value, or the probability of class 1."""
+    if isinstance(model, BoostedTrees):
+        return df.withColumn(name, model.score(F.col(VECTOR)))
+    if isinstance(model, RecurrentModel):
+        return df.withColumn(name, model.score(F.col("features")))
     scored = model.transform(df)
     if target_type == "classification":
         value: Column = vector_to_array("probability").getItem(1)
@@ -86,6 +101,11 @@ def with_prediction(df: DataFrame, model: Model, name: str, target_type: str) ->
     return scored.withColumn(name, value).select(*df.columns, name)
 
 
+def waited_enough(losses: Sequence[float], patience: int, min_delta: float) -> bool:
+    """Whether as many epochs as ``patience`` went by since the last better one."""
+    return len(losses) - early_stop(losses, len(losses) + 1, min_delta).best >= patience
+
+
 @dataclass
 class EarlyStop:
     epochs: int
@@ -106,53 +126,42 @@ def early_stop(losses: Sequence[float], patience: int, min_delta: float) -> Earl
     return EarlyStop(len(losses), max(best_epoch, 1))
 
 
-def training_history(
-    model: Model, train: DataFrame, validation: DataFrame | None, target_type: str
-) -> list[tuple[int, float, float | None]]:
-    """(epoch, train_loss, val_loss) per boosting round; one figure per round leaves Spark."""
-    loss = ("squared",) if target_type != "classification" else ()
-    on_train = model.evaluateEachIteration(train, *loss)
-    on_val = (
-        model.evaluateEachIteration(validation, *loss) if validation is not None
-        else [None] * len(on_train)
-    )
-    return [(i, a, b) for i, (a, b) in enumerate(zip(on_train, on_val), start=1)]
-
-
 def history_table(spark, history: Sequence[tuple[int, float, float | None]]) -> DataFrame:
     return spark.createDataFrame(history, "epoch int, train_loss double, val_loss double")
 
 
 def fit_temporal(
     windows: DataFrame, target_type: str, params: Mapping[str, Any] | None = None, seed: int = 42
-) -> tuple[Model, list[tuple[int, float, float | None]]]:
-    """Boosted trees on flattened windows, stopped early on the validation windows.
+) -> tuple[BoostedTrees | RecurrentModel | Model, list[tuple[int, float, float | None]]]:
+    """A model of windows, stopped early on the validation windows, and its history.
 
-    The rounds kept are those up to the best epoch; rounds are reproducible for a
-    seed, so the shorter model is the longer one's beginning.
+    ``kind`` chooses it: ``recurrent`` (a fixed cell over the rows, a trained readout), ``trees``
+    (boosted, on flattened windows) or ``linear`` (on flattened windows, without history). Each is fitted once; the
+    epoch that is kept is a state the fit went through.
     """
-    p = {"iterations": 25, "patience": 5, "min_delta": 0.0005, "max_depth": 3,
-         "learning_rate": 0.1, **(params or {})}
-    _checkpointing(windows)
+    p = {"kind": "recurrent", "iterations": 25, "patience": 5, "min_delta": 0.0005, **(params or {})}
+    kind = p.pop("kind")
+
+    def stopped(losses: list[float]) -> tuple[int, int]:
+        found = early_stop(losses, p["patience"], p["min_delta"])
+        return found.epochs, found.best
+
+    if kind == "recurrent":
+        return fit_recurrent(windows, target_type, p, seed, stopped)
+    if kind == "linear":
+        return fit_temporal_linear(windows, target_type, p.get("reg_param", 0.1), p["iterations"]), []
+    if kind != "trees":
+        raise ValueError(f"no temporal model {kind!r}")
     vectors = window_vectors(windows)
-    train = vectors.where("split = 'train'")
     validation = vectors.where("split = 'val'")
-    kind = GBTRegressor if target_type != "classification" else GBTClassifier
-
-    def fit(rounds: int) -> Model:
-        return kind(featuresCol=VECTOR, labelCol="target", seed=seed, maxIter=rounds,
-                    maxDepth=p["max_depth"], stepSize=p["learning_rate"]).fit(train)
-
-    model = fit(p["iterations"])
-    has_validation = not validation.isEmpty()
-    history = training_history(
-        model, train, validation if has_validation else None, target_type
-    )
-    if has_validation:
-        stop = early_stop([h[2] for h in history], p["patience"], p["min_delta"])
-        history = history[: stop.epochs]
-        if stop.best < p["iterations"]:
-            model = fit(stop.best)
+    first = windows.select(F.size("features").alias("rows")).first()
+    model, history = fit_second_order(
+        vectors.where("split = 'train'"), target_type,
+        {"max_depth": 3, "learning_rate": 0.1, "subsample": 1.0, "colsample_bytree": 1.0, **p, "n_estimators": p["iterations"]},
+        seed, VECTOR, validation, lambda losses: waited_enough(losses, p["patience"], p["min_delta"]), first["rows"])
+    if history and history[0][2] is not None:
+        epochs, best = stopped([h[2] for h in history])
+        return model.first(best), history[:epochs]
     return model, history
 
 
@@ -167,10 +176,12 @@ def fit_temporal_linear(
     ).fit(train)
 
 
-def score_windows(windows: DataFrame, model: Model, target_type: str) -> DataFrame:
+def score_windows(
+    windows: DataFrame, model: Model | BoostedTrees | RecurrentModel, target_type: str, series: Series = Series()
+) -> DataFrame:
     """Temporal prediction per window key."""
-    scored = with_prediction(window_vectors(windows), model, "lstm_pred", target_type)
-    return scored.select("split", "region_id", "timestamp", "lstm_pred")
+    rows = windows if isinstance(model, RecurrentModel) else window_vectors(windows)
+    return with_prediction(rows, model, "lstm_pred", target_type).select("split", *series.key, "lstm_pred")
 
 
 def blend_tabular(df: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -186,7 +197,8 @@ def blend_hybrid(tabular: Column, temporal: Column, weight_tabular: float) -> Co
 
 
 def finish_predictions(
-    df: DataFrame, weight_tabular: float, target_type: str, probability_threshold: float = 0.5
+    df: DataFrame, weight_tabular: float, target_type: str, probability_threshold: float = 0.5,
+    series: Series = Series(),
 ) -> DataFrame:
     """Adds the weights used and the residual (or class) in the table's fixed order."""
     weight = clip_unit(F.lit(float(weight_tabular)))
@@ -195,7 +207,7 @@ def finish_predictions(
     else:
         last = (F.col("target") - F.col("hybrid_pred")).alias("residual")
     return df.select(
-        "region_id", "timestamp", *KEY_COLUMNS, "rf_pred", "xgb_pred", "tabular_ensemble",
+        *series.key, *KEY_COLUMNS, "rf_pred", "xgb_pred", "tabular_ensemble",
         "hybrid_pred", "lstm_pred", weight.alias("weight_tabular"),
         (1.0 - weight).alias("weight_lstm"), last,
     )
@@ -206,8 +218,8 @@ def score_all(
     windows: DataFrame | None,
     columns: Sequence[str],
     forest: Model,
-    boosted: Model,
-    temporal: Model | None,
+    boosted: Model | BoostedTrees,
+    temporal: Model | BoostedTrees | RecurrentModel | None,
     config: Mapping[str, Any],
     target: str,
     series: Series = Series(),
@@ -224,12 +236,12 @@ def score_all(
     scored = blend_tabular(scored, training["tabular"]["blend_alpha"])
     if temporal is not None and windows is not None:
         scored = combine_predictions(
-            scored, score_windows(windows, temporal, target_type), weight, series
+            scored, score_windows(windows, temporal, target_type, series), weight, series
         )
     else:
         scored = scored.withColumns({
             "lstm_pred": F.lit(None).cast("double"), "hybrid_pred": F.col("tabular_ensemble")
         })
     return finish_predictions(
-        scored, weight, target_type, config["target"]["probability_threshold"]
+        scored, weight, target_type, config["target"]["probability_threshold"], series
     )

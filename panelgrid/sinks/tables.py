@@ -69,9 +69,13 @@ def run_folder(base: str, name: str, now: datetime | None = None) -> str:
     return f"{base.rstrip('/')}/{name}_{now:%Y%m%d_%H%M%S}"
 
 
-def save_models(models: Mapping[str, Model], folder: str) -> None:
+def save_models(spark: SparkSession, models: Mapping[str, Any], folder: str) -> None:
+    """Spark ML's models by their own writer, the library's as small tables."""
     for name, model in models.items():
-        model.write().overwrite().save(f"{folder}/{name}")
+        if isinstance(model, Model):
+            model.write().overwrite().save(f"{folder}/{name}")
+        else:
+            model.save(spark, f"{folder}/{name}")
 
 
 def save_run(
@@ -81,7 +85,7 @@ def save_run(
     history: DataFrame,
     scaler: DataFrame,
     feature_columns: Mapping[str, list[str]],
-    models: Mapping[str, Model],
+    models: Mapping[str, Any],
     config: Mapping[str, Any],
     threshold: float | None,
 ) -> str:
@@ -95,7 +99,7 @@ def save_run(
     save_text(spark, to_json_text(dict(config)), f"{folder}/config_used.json")
     save_text(spark, to_json_text(dict(feature_columns)), f"{folder}/feature_columns.json")
     save_table(scaler, f"{folder}/scaler.parquet")
-    save_models(models, folder)
+    save_models(spark, models, folder)
     return folder
 
 
