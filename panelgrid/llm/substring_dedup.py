@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.llm.frames import materialize
-from panelgrid.llm.words import hashes_of, run_hashes
+from panelgrid.llm.words import PLACES, hashes_of, mix, run_hashes
 
 #: Words in a run whose hash may file a window.
 RUN = 8
@@ -193,8 +193,9 @@ def _passages(window: int, of_hot: bool) -> Callable:
                         (firsts - filing.first[owner]).astype(np.int32)]
                 spans = list(zip(firsts.tolist(), ends.tolist()))
                 if of_hot:
-                    each = [filing.words[a:b] for a, b in spans]
-                    rows += [(places - firsts).astype(np.int32), [_hash_of(w) for w in each], [w.tobytes() for w in each]]
+                    own = filing.words[_ranges(firsts, ends - firsts)]
+                    rows += [(places - firsts).astype(np.int32), _hashes(own, ends - firsts),
+                             [filing.words[a:b].tobytes() for a, b in spans]]
                 else:
                     short = filing.words.astype("<u4").tobytes()
                     rows.append([short[4 * a : 4 * b] for a, b in spans])
@@ -204,11 +205,6 @@ def _passages(window: int, of_hot: bool) -> Callable:
     return passages
 
 
-def _hash_of(words: np.ndarray) -> int:
-    """Of all the words as one run, as a signed number."""
-    return int(run_hashes(words, len(words)).view(np.int64)[0])
-
-
 def _longer(window: int, run: int, more: int) -> Callable:
     """Copies as spans, other passages under runs of ``run + more`` words, two at most for each.
 
@@ -220,30 +216,59 @@ def _longer(window: int, run: int, more: int) -> Callable:
 
     def refile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, row, start, at, data, copy in zip(*[batch.column(c).to_pylist() for c in ("doc", "row", "start", "at", "words", "copy")]):
-                words = np.frombuffer(data, "<u8")
-                if copy:
-                    out.append((None, doc, row, start, None, None, None, start + len(words)))
-                    continue
-                latest = len(words) - window
-                if more:
-                    # first and last window of either group, and where its longer run begins
-                    groups = ((0, min(latest, at - more), at - more), (max(0, at - more + 1), latest, at))
-                else:
-                    groups = tuple((k, k, k) for k in range(latest + 1))
-                size = run + more if more else window
-                for first, final, begin in groups:
-                    if first <= final:
-                        own = words[first : final + window]
-                        out.append((_hash_of(words[begin : begin + size]), doc, row, start + first, begin - first, _hash_of(own),
-                                    own.tobytes(), start + final + window))
-            columns = list(zip(*out)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+            doc, row, start, at, words, copy = (batch.column(c) for c in ("doc", "row", "start", "at", "words", "copy"))
+            offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] // 8 if len(words) else (
+                np.zeros(1, np.int32))
+            all_words = np.frombuffer(words.buffers()[2], "<u8") if len(words) and words.buffers()[2] else np.empty(0, np.uint64)
+            starts, counts = start.to_numpy(), np.diff(offsets)
+            gone = np.flatnonzero(copy.to_numpy(zero_copy_only=False))
+            none = [pa.nulls(len(gone), f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays(
+                [none[0], doc.take(pa.array(gone)), row.take(pa.array(gone)), pa.array(starts[gone]), *none[4:7],
+                 pa.array((starts + counts)[gone].astype(np.int32))], schema=schema)
+            stay = np.flatnonzero(~copy.to_numpy(zero_copy_only=False))
+            latest, place = (counts - window)[stay], at.to_numpy()[stay]
+            # owner, first and last window of each group, and where its longer run begins
+            if more:
+                groups = [(stay, np.zeros_like(latest), np.minimum(latest, place - more), place - more),
+                          (stay, np.maximum(0, place - more + 1), latest, place)]
+            else:
+                owner = np.repeat(stay, latest + 1)
+                each = np.arange(len(owner)) - np.repeat(np.cumsum(latest + 1) - (latest + 1), latest + 1)
+                groups = [(owner, each, each, each)]
+            owner, first, final, begin = (np.concatenate([g[k] for g in groups]) for k in range(4))
+            some = first <= final
+            owner, first, final, begin = owner[some], first[some], final[some], begin[some]
+            size = run + more if more else window
+            base = offsets[owner].astype(np.int64)
+            lengths = final - first + window
+            own = all_words[_ranges(base + first, lengths)]
+            ends = np.concatenate([[0], np.cumsum(lengths * 8)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_hashes(all_words[_ranges(base + begin, np.full(len(owner), size))], np.full(len(owner), size))),
+                 doc.take(pa.array(owner)), row.take(pa.array(owner)), pa.array((starts[owner] + first).astype(np.int32)),
+                 pa.array((begin - first).astype(np.int32)), pa.array(_hashes(own, lengths)),
+                 pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own.tobytes())]),
+                 pa.array((starts[owner] + final + window).astype(np.int32))], schema=schema)
 
     return refile
 
 
+def _ranges(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers ``first`` to ``first + length - 1`` of each, one after the other."""
+    total = int(lengths.sum())
+    return np.arange(total) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
+
+
+def _hashes(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The run hash of each of the sequences that lie side by side, as signed numbers."""
+    if not len(lengths):
+        return np.empty(0, np.int64)
+    starts = np.cumsum(lengths) - lengths
+    within = np.arange(len(words)) - np.repeat(starts, lengths)
+    return mix(np.add.reduceat(words * PLACES[within], starts) + lengths.astype(np.uint64)).view(np.int64)
+
+
 class Shard:
     """The passages of one mark, taken in order of document and place.
 
