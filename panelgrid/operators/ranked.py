@@ -18,6 +18,10 @@ from panelgrid.session import materialize
 
 BUCKET = "_bucket"
 ROWS_PER_TASK = 50_000
+#: Accuracy of the sketch that brackets a rank: an error of one in so many ranks.
+SKETCH = 10_000
+#: So many values may be told apart at once; a bracket with more is narrowed first.
+FEW = 20_000
 
 
 def with_running_totals(
@@ -57,20 +61,56 @@ def with_running_totals(
 
 
 def exact_percentile(df: DataFrame, column: str, fraction: float) -> DataFrame:
-    """One row ``value``: the percentile with linear interpolation between neighbours."""
+    """One row ``value``: the percentile with linear interpolation between neighbours.
+
+    A sketch brackets the two ranks; one pass counts the values below the bracket and at its ends,
+    and only what lies between them is looked at again, until that is little. Nothing is stored or sorted.
+    """
     fraction = min(max(fraction, 0.0), 1.0)
-    values = df.where(F.col(column).isNotNull()).groupBy(column)
-    counted = materialize(values.agg(F.count(F.lit(1)).alias("_n")), "value-counts")
-    ranked = with_running_totals(counted, column, ["_n"])
-    rank = (counted.agg(F.sum("_n")).first()[0] or 0) - 1
-    rank *= fraction
-    low, high = math.floor(rank), math.ceil(rank)
+    value = F.col(column).cast("double")
+    rows = df.where(F.col(column).isNotNull()).select(value.alias("_v"))
+    low_value = high_value = None
+    edge = 4.0 / SKETCH
 
-    def at(position: int) -> Column:
-        holds = (F.col("_n_before") <= position) & (F.col("_n_before") + F.col("_n") > position)
-        return F.max(F.when(holds, F.col(column).cast("double")))
+    def bracket(some: DataFrame, share: float) -> tuple:
+        shares = F.array(F.lit(max(share - edge, 0.0)), F.lit(min(share + edge, 1.0)))
+        return some.agg(F.count("_v").alias("n"), F.percentile_approx("_v", shares, F.lit(SKETCH)).alias("ends"),
+                        F.min("_v").alias("least"), F.max("_v").alias("most")).first()
 
-    picked = ranked.agg(at(low).alias("_low"), at(high).alias("_high"))
-    return picked.select(
-        (F.col("_low") + (F.col("_high") - F.col("_low")) * (rank - low)).alias("value")
-    )
+    first = bracket(rows, fraction)
+    if not first["n"]:
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("value"))
+    rank = fraction * (first["n"] - 1)
+    low, high = math.floor(rank), math.ceil(rank)
+    # Ranks count from the first row of ``rows``, of which ``size`` are left.
+    size, ends, limits, below = first["n"], first["ends"], (first["least"], first["most"]), 0
+    while low_value is None or high_value is None:
+        if size <= FEW:
+            counts = sorted((r["_v"], r["n"]) for r in rows.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect())
+            for v, n in counts:
+                low_value = v if low_value is None and below <= low < below + n else low_value
+                high_value = v if high_value is None and below <= high < below + n else high_value
+                below += n
+            break
+        a, b = ends
+        counted = rows.agg(*[F.count_if(c).alias(k) for k, c in (
+            ("under", F.col("_v") < a), ("at_a", F.col("_v") == a), ("at_b", F.col("_v") == b),
+            ("inside", (F.col("_v") > a) & (F.col("_v") < b)))]).first()
+        at_a = below + counted["under"]
+        inside = at_a + counted["at_a"]
+        at_b = inside + (counted["inside"] if b > a else 0)
+        after = at_b + (counted["at_b"] if b > a else 0)
+        wanted = [r for r, v in ((low, low_value), (high, high_value)) if v is None]
+        if not all(at_a <= r < after for r in wanted):
+            if (a, b) == limits:
+                raise RuntimeError("values changed between two reads")
+            ends = limits  # the sketch missed a rank
+            continue
+        low_value = a if low_value is None and low < inside else b if low_value is None and low >= at_b else low_value
+        high_value = a if high_value is None and high < inside else b if high_value is None and high >= at_b else high_value
+        if low_value is None or high_value is None:
+            rows, below, size = rows.where((F.col("_v") > a) & (F.col("_v") < b)), inside, counted["inside"]
+            if size > FEW:
+                first = bracket(rows, ((low if low_value is None else high) - below) / max(size - 1, 1))
+                ends, limits = first["ends"], (first["least"], first["most"])
+    return df.sparkSession.range(1).select(F.lit(low_value + (high_value - low_value) * (rank - low)).alias("value"))

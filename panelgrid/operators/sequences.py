@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from panelgrid.operators.features import over_chunks
-from panelgrid.operators.series import POSITION, Series
+from panelgrid.operators.series import CHUNK, OWN, POSITION, Series, on_steps, with_halo, with_position
 
 WINDOW_END = "is_window_end"
 
@@ -45,19 +45,32 @@ def sliding_windows(
 ) -> DataFrame:
     """One row per window: key and target of its last row, and its feature rows in order.
 
-    Only the key, the target and the array column are carried, so memory per row is
-    ``length`` arrays.
+    The rows of a (region, chunk) and the ``length - 1`` before them are gathered into one array, at most
+    ``chunk_rows + length`` of them, and each window is a slice of it.
     """
+    series = positions_for(series if dense else on_steps(df, series), stride)
     narrow = df.select(
         *series.key, "latitude", "longitude", "split", F.col(features).alias("_row"),
         F.col(target).cast("float").alias("target"),
     )
-
-    def build(w: WindowSpec) -> list[Column]:
-        rows = F.collect_list("_row").over(w.rowsBetween(1 - length, 0))
-        return [*window_end(length, stride)(w), rows.alias("features")]
-
-    windows = over_chunks(narrow, positions_for(series, stride), length - 1, build, dense)
-    return windows.where(WINDOW_END).select(
-        "split", *series.key, "latitude", "longitude", "features", "target"
-    )
+    chunks = with_halo(with_position(narrow, series), series, length - 1).groupBy(series.region, CHUNK).agg(
+        F.array_sort(F.collect_list(F.struct(
+            POSITION, OWN, series.time, "latitude", "longitude", "split", "target", "_row"))).alias("_rows"))
+    rows, last = F.col("_rows"), length - 1
+
+    def window(at: Column) -> Column:
+        end = F.get(rows, at)
+        return F.struct(
+            end["split"].alias("split"), end[series.time].alias(series.time), end["latitude"].alias("latitude"),
+            end["longitude"].alias("longitude"), F.slice(F.col("_features"), at - last + 1, length).alias("features"),
+            end["target"].alias("target"))
+
+    def ends(at: Column) -> Column:
+        end = F.get(rows, at)
+        one_split = F.forall(F.slice(F.col("_splits"), at - last + 1, length), lambda s: s == end["split"])
+        return end[OWN] & ((end[POSITION] - last) % stride == 0) & one_split
+
+    places = F.filter(F.sequence(F.lit(last), F.size(rows) - 1), ends)
+    made = chunks.where(F.size(rows) >= length).withColumns(
+        {"_features": rows["_row"], "_splits": rows["split"]}).select(series.region, F.inline(F.transform(places, window)))
+    return made.select("split", *series.key, "latitude", "longitude", "features", "target")

@@ -7,7 +7,7 @@ region into one task. A series is cut into chunks of consecutive rows:
   a chunk into the next one, compute per (region, chunk) and drop the copies;
 * unbounded fills make one small row per (region, chunk), carry values across those
   rows, and join them back on (region, chunk);
-* row numbers of irregular series come from range partitions of region and time.
+* chunks and row numbers of irregular series come from range partitions of region and time.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ class Series:
     time: str = "timestamp"
     frequency: str | None = "1D"
     chunk_rows: int = 2048
-    bucket: str = "30D"
     counted: bool = False
     from_first: bool = False
 
@@ -56,8 +55,6 @@ class Series:
 
     def time_chunk(self) -> Column:
         """Chunk number from the timestamp alone."""
-        if not self.frequency:
-            return parse_step(self.bucket).position(F.col(self.time))
         step = self.step
         return replace(step, size=step.size * self.chunk_rows).position(F.col(self.time))
 
@@ -74,6 +71,17 @@ def chunk_order(series: Series) -> WindowSpec:
     return Window.partitionBy(series.region).orderBy(CHUNK)
 
 
+def in_ranges(df: DataFrame, series: Series, *numbers: Column) -> DataFrame:
+    """Stored rows, dealt to partitions by ranges of (region, time), with ``numbers`` of each row in its partition.
+
+    Ranges follow the rows, not the time, so a region whose rows fall into one hour is spread
+    over many tasks like any other.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, series.region, series.time).sortWithinPartitions(series.region, series.time)
+    return materialize(ranged.select("*", *numbers), "ranges")
+
+
 def with_row_index(df: DataFrame, series: Series, name: str = POSITION) -> DataFrame:
     """0-based number of each row within its region in time order, exact for any gaps.
 
@@ -81,14 +89,8 @@ def with_row_index(df: DataFrame, series: Series, name: str = POSITION) -> DataF
     spread over many tasks. A row's number is its place in its partition, less the region's
     first place there, plus the region's rows in earlier partitions.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(tasks, series.region, series.time)
-        .sortWithinPartitions(series.region, series.time)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    )
-    rows = materialize(ranged, "numbered")
+    rows = in_ranges(df, series, F.spark_partition_id().alias("_part"),
+                     F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place"))
     counts = rows.groupBy(series.region, "_part").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first")
     )
@@ -155,20 +157,24 @@ def fill_gaps(
     """Last known value within the region, then (``backward``) the next known one.
 
     ``observed`` may name a smaller frame with the same known values (a grid adds
-    only nulls); it is read for the carry instead of ``df``.
+    only nulls); it is read for the carry instead of ``df``. Rows of an irregular series are
+    chunked by ranges of their own order and read from there.
     """
-    source = df if observed is None else observed
+    if series.frequency:
+        chunked = df.withColumn(CHUNK, series.time_chunk())
+        source = chunked if observed is None else observed.withColumn(CHUNK, series.time_chunk())
+    else:
+        source = chunked = in_ranges(df, series, F.spark_partition_id().alias(CHUNK))
+        observed = None
     time = F.col(series.time)
     known = {c: F.when(F.col(c).isNotNull(), time) for c in columns}
     edges = [F.max_by(F.col(c), known[c]).alias(f"_last_{c}") for c in columns]
     if backward:
         edges += [F.min_by(F.col(c), known[c]).alias(f"_first_{c}") for c in columns]
-    per_chunk = (
-        source.withColumn(CHUNK, series.time_chunk()).groupBy(series.region, CHUNK).agg(*edges)
-    )
+    per_chunk = source.groupBy(series.region, CHUNK).agg(*edges)
     if observed is not None:
         # Chunks without a single observation must still receive carried values.
-        spine = df.select(series.region, series.time_chunk().alias(CHUNK)).distinct()
+        spine = chunked.select(series.region, CHUNK).distinct()
         per_chunk = spine.join(per_chunk, [series.region, CHUNK], "left")
 
     earlier = chunk_order(series).rowsBetween(Window.unboundedPreceding, -1)
@@ -193,5 +199,5 @@ def fill_gaps(
         if backward:
             options += [F.last(c, True).over(onward), F.col(f"_next_{c}")]
         filled[c] = F.coalesce(*options)
-    chunked = df.withColumn(CHUNK, series.time_chunk()).join(carry, [series.region, CHUNK], "left")
-    return chunked.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    carried_in = chunked.join(carry, [series.region, CHUNK], "left")
+    return carried_in.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])

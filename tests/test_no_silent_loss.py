@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelgrid.operators import clean, features, joins, sequences
+from panelgrid.operators import clean, features, joins, ranked, sequences, split
 from panelgrid.operators.grid import align_time_series
-from panelgrid.operators.series import Series, on_steps
+from panelgrid.operators.series import Series, fill_gaps, in_ranges, on_steps
 from panelgrid.sinks import tables
 from panelgrid.sources import artifacts, events, weather
 from tests.helpers import SCHEMA, random_rows
@@ -121,3 +122,42 @@ def test_observations_must_be_numbers(spark):
 
 def test_series_keeps_its_other_fields():
     assert replace(Series(chunk_rows=7), counted=True).chunk_rows == 7
+
+
+def test_fills_of_a_dense_hour_spread_over_ranges(spark):
+    """One region with nearly all rows within an hour: no range holds more than its share."""
+    rows = [("hot", DAY + timedelta(milliseconds=k), float(k) if k % 211 == 0 else None, k) for k in range(3_000)]
+    rows += [("a", DAY + timedelta(days=k), None if k % 3 else float(k), k) for k in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    series = Series(frequency=None)
+    ranged = in_ranges(df, series, F.spark_partition_id().alias("part"))
+    assert ranged.groupBy("part").count().agg(F.max("count")).first()[0] < 0.5 * len(rows)
+    made = fill_gaps(df, ["v"], series, backward=True)
+    for r in made.collect():
+        step = 211 if r["region_id"] == "hot" else 3
+        assert r["v"] == r["n"] // step * step
+
+
+@pytest.mark.parametrize("few", [3, 50, 20_000])
+@pytest.mark.parametrize("values", [
+    [1.0] * 500, [5.0] * 300 + [7.0] * 2, list(range(1000)), [0.0] * 400 + list(range(300)), [2.0], [1.0, 2.0], []])
+def test_selection_narrows_its_bracket(spark, monkeypatch, values, few):
+    monkeypatch.setattr(ranked, "FEW", few)
+    monkeypatch.setattr(ranked, "SKETCH", 40)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+    for fraction in (0.0, 0.25, 0.8, 0.999, 1.0):
+        got = ranked.exact_percentile(df, "v", fraction).first()["value"]
+        assert got == (pytest.approx(np.percentile(values, 100 * fraction)) if values else None)
+
+
+def test_scaler_moments_leave_nulls_out(spark):
+    rng = np.random.default_rng(2)
+    x = np.column_stack([1e9 + rng.normal(size=200), rng.normal(size=200), np.full(200, 7.0), rng.normal(size=200)])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 3] = np.nan
+    df = spark.createDataFrame([("train", *(None if np.isnan(v) else float(v) for v in row)) for row in x],
+                               "split string, a double, b double, c double, d double").repartition(6)
+    rows = split.scaler_rows(split.fit_scaler(df, ["a", "b", "c"])).collect()
+    for k, r in enumerate(rows):
+        assert r["mean"] == pytest.approx(np.nanmean(x[:, k]), abs=1e-9)
+        assert r["scale"] == pytest.approx(np.nanstd(x[:, k]) if k < 2 else 1.0, rel=1e-6)

@@ -28,7 +28,7 @@ def _frame(spark, rows):
 @pytest.mark.parametrize("chunk_rows", [4, 1000])
 def test_features_match_brute_force(spark, gaps, frequency, chunk_rows):
     rows = random_rows(1, SKEWED, missing=0.2, gaps=gaps)
-    series = Series(frequency=frequency, chunk_rows=chunk_rows, bucket="10D")
+    series = Series(frequency=frequency, chunk_rows=chunk_rows)
     config = {"lags": [1, 5], "rolling_windows": [3, 6, 12, 5], "rolling_statistics": ["mean", "max", "std"]}
     df = _frame(spark, rows).withColumn("y", F.col("n").cast("double"))
     made = collected(features.engineer_features(df, series, "y", config))
@@ -101,7 +101,7 @@ def test_no_task_group_exceeds_a_chunk(spark):
 
 def test_row_numbers(spark):
     rows = random_rows(5, SKEWED, gaps=0.5)
-    made = collected(with_row_index(_frame(spark, rows), Series(frequency=None, bucket="7D"), "i"))
+    made = collected(with_row_index(_frame(spark, rows), Series(frequency=None), "i"))
     assert made["i"].tolist() == as_pandas(rows).groupby("region_id").cumcount().tolist()
 
 
