@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelgrid.llm.frames import fresh, sampled
+from panelgrid.llm.frames import fresh, materialize
 
 #: Lower, upper, digit, space, line feed, sentence mark, other mark, anything else.
 CLASSES = 8
 CONTENT, LANGS, SOURCES = CLASSES * CLASSES + 8, 16, 64
 METADATA = 3 + LANGS + SOURCES
+#: Newton steps of a round at most, and the largest move of a weight that ends them sooner.
+NEWTON_STEPS, NEWTON_MOVE = 12, 1e-4
+#: Cells of odds by which held rows are counted for calibration.
+ODDS_LIMIT, ODDS_STEP = 40.0, 0.02
 SCORES = "struct<content:double,metadata:double,score:double>"
 _SCORES = pa.struct([("content", pa.float64()), ("metadata", pa.float64()), ("score", pa.float64())])
 
@@ -78,18 +83,6 @@ def metadata_features(lang: str | None, source: str | None, n_chars: int | None)
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> np.ndarray:
-    """Weights of a ridge-penalised logistic model by Newton's method; ``y`` may be any share."""
-    w, penalty = np.zeros(x.shape[1]), ridge * len(x) * np.eye(x.shape[1])
-    for _ in range(rounds):
-        p = chance(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 def chance(odds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
@@ -111,81 +104,170 @@ class QualityModel:
         return chance(a), chance(b), chance(a + b - self.prior)
 
 
-def _calibrated(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's line, on targets drawn in a little so that separable views stay finite."""
-    good, bad = y.sum(), len(y) - y.sum()
-    target = np.where(y > 0.5, (good + 1) / (good + 2), 1 / (bad + 2))
-    slope, offset = logistic(np.column_stack([odds, np.ones(len(odds))]), target, 1e-6)
-    return float(max(slope, 0.0)), float(offset)
-
+def newton_step(weights: np.ndarray, hessian: np.ndarray, gradient: np.ndarray, rows: float, ridge: float) -> np.ndarray:
+    """The next weights of a ridge-penalised logistic model, from sums over its rows."""
+    penalty = ridge * rows
+    return weights + np.linalg.solve(hessian + penalty * np.eye(len(weights)), gradient - penalty * weights)
+
+
+def calibrated(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
+    """Platt's line through counts of good and bad rows by their odds, on targets drawn in a little
+    so that separable views stay finite."""
+    odds = (np.arange(len(good)) + 0.5) * ODDS_STEP - ODDS_LIMIT
+    x = np.column_stack([odds, np.ones(len(odds))])
+    up, down = (good.sum() + 1) / (good.sum() + 2), 1 / (bad.sum() + 2)
+    n, y = good + bad, good * up + bad * down
+    line = np.zeros(2)
+    for _ in range(50):
+        p = chance(x @ line)
+        following = newton_step(line, (x * (n * p * (1 - p))[:, None]).T @ x, x.T @ (y - n * p), n.sum(), 1e-6)
+        done = np.abs(following - line).max() < 1e-8
+        line = following
+        if done:
+            break
+    return float(max(line[0], 0.0)), float(line[1])
 
-def co_train(content: np.ndarray, metadata: np.ndarray, label: np.ndarray, held: np.ndarray,
-             rounds: int = 3, sure: float = 0.97) -> QualityModel | None:
-    """Both views' models from rows with label 0 or 1, or NaN where unlabelled.
 
-    In each round a view labels the unlabelled rows it is sure of, by its calibrated chance, for
-    the other view only. Held rows calibrate and are never trained on. None without both
-    classes among the rows to train on or those to calibrate on.
+@dataclass(frozen=True)
+class Round:
+    """What both views know when a round begins: weights and lines of the round before."""
+
+    weights: tuple[np.ndarray, np.ndarray] | None
+    lines: tuple[tuple[float, float], tuple[float, float]] | None
+    sure: float
+
+    def targets(self, views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+        """For either view the rows' targets, NaN where it does not learn from a row.
+
+        Labels of rows that are not held; for rows without one what the other view is sure of.
+        """
+        own = np.where(held, np.nan, label)
+        if self.weights is None:
+            return [own, own]
+        taught = []
+        for other in (1, 0):
+            p = chance(views[other] @ self.weights[other] * self.lines[other][0] + self.lines[other][1])
+            sure = np.where(p >= self.sure, 1.0, np.where(p <= 1 - self.sure, 0.0, np.nan))
+            taught.append(np.where(np.isnan(label), sure, own))
+        return taught
+
+
+def _summed(step: Callable) -> Callable:
+    """Sums of ``step`` over the batches of a task, as (place, value)."""
+    schema = pa.schema([("place", pa.int32()), ("value", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                views = tuple(batch.column(c).flatten().to_numpy().reshape(len(batch), -1).astype(np.float64)
+                              for c in ("content", "metadata"))
+                label, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "held"))
+                found = step(views, label, held)
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], schema=schema)
+
+    return run
+
+
+def _newton_sums(now: list[np.ndarray], known: Round) -> Callable:
+    """Hessian, gradient and number of rows of both views."""
+    def step(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.ndarray) -> np.ndarray:
+        parts = []
+        for x, target, weights in zip(views, known.targets(views, label, held), now):
+            use = ~np.isnan(target)
+            a, y = x[use], target[use]
+            p = chance(a @ weights)
+            parts += [((a * (p * (1 - p))[:, None]).T @ a).ravel(), a.T @ (y - p), [len(y)]]
+        return np.concatenate(parts)
+
+    return step
+
+
+def _held_counts(weights: list[np.ndarray]) -> Callable:
+    """Good and bad held rows by the odds of either view."""
+    cells = int(2 * ODDS_LIMIT / ODDS_STEP)
+
+    def step(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, held: np.ndarray) -> np.ndarray:
+        parts = []
+        for x, w in zip(views, weights):
+            at = np.clip((x @ w + ODDS_LIMIT) / ODDS_STEP, 0, cells - 1).astype(np.int64)
+            parts += [np.bincount(at[held & (label == y)], minlength=cells) for y in (1.0, 0.0)]
+        return np.concatenate(parts).astype(np.float64)
+
+    return step
+
+
+def co_train(rows: DataFrame, rounds: int = 3, sure: float = 0.97, ridge: float = 1e-3) -> QualityModel | None:
+    """Both views' models from stored rows (content, metadata, label, held); the label is NaN where there is none.
+
+    In each round a view labels all unlabelled rows that it is sure of, by its calibrated chance, for
+    the other view only. Held rows calibrate and are never trained on. Newton steps and
+    calibrations are made from sums over all rows: some ten thousand numbers, added up in each task
+    first. None without both classes among the rows to train on or those to calibrate on.
     """
-    known = ~np.isnan(label)
-    train, keep = known & ~held, known & held
-    if any(len(np.unique(label[rows])) < 2 for rows in (train, keep)):
+    seen = {(r["held"], r["label"]): r["n"] for r in rows.where("not isnan(label)").groupBy("held", "label").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    if len(seen) < 4:
         return None
-    views, free, taught = (content, metadata), np.flatnonzero(~known), [np.full(len(label), np.nan) for _ in range(2)]
-    for number in range(rounds + 1):
-        weights, lines = [], []
-        for view, own in zip(views, taught):
-            target = np.where(train, label, own)
-            rows = train | (~known & ~np.isnan(own))
-            weights.append(logistic(view[rows], target[rows]))
-            lines.append(_calibrated(view[keep] @ weights[-1], label[keep]))
-        if number == rounds:
-            break
-        for mine, other in ((0, 1), (1, 0)):
-            p = chance(views[mine][free] @ weights[mine] * lines[mine][0] + lines[mine][1])
-            taught[other][free] = np.where(p >= sure, 1.0, np.where(p <= 1 - sure, 0.0, np.nan))
-    share = label[train].mean()
-    return QualityModel(weights[0], weights[1], lines[0], lines[1], float(np.log(share / (1 - share))))
+    widths = rows.select(F.size("content"), F.size("metadata")).first()
+
+    def sums(step: Callable) -> np.ndarray:
+        found = rows.mapInArrow(_summed(step), "place int, value double").groupBy("place").agg(F.sum("value").alias("v")).collect()
+        return np.array([r["v"] for r in sorted(found, key=lambda r: r["place"])])
+
+    weights = [np.zeros(k) for k in widths]
+    known = Round(None, None, sure)
+    for _ in range(rounds + 1):
+        for _ in range(NEWTON_STEPS):
+            found, at, following = sums(_newton_sums(weights, known)), 0, []
+            for w in weights:
+                k = len(w)
+                following.append(newton_step(
+                    w, found[at : at + k * k].reshape(k, k), found[at + k * k : at + k * k + k], found[at + k * k + k], ridge))
+                at += k * k + k + 1
+            moved = max(float(np.abs(a - b).max()) for a, b in zip(following, weights))
+            weights = following
+            if moved < NEWTON_MOVE:
+                break
+        lines = tuple(calibrated(*view) for view in sums(_held_counts(weights)).reshape(2, 2, -1))
+        known = Round(tuple(weights), lines, sure)
+    share = seen[False, 1.0], seen[False, 0.0]
+    return QualityModel(weights[0], weights[1], lines[0], lines[1], float(np.log(share[0] / share[1])))
 
 
 def _features(text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
-    @F.arrow_udf("struct<content:array<double>,metadata:array<double>>")
+    @F.arrow_udf("struct<content:array<float>,metadata:array<float>>")
     def features(texts: pa.Array, langs: pa.Array, sources: pa.Array, lengths: pa.Array) -> pa.Array:
         rows = [{"content": content_features(t), "metadata": metadata_features(a, b, n)} for t, a, b, n in zip(
             texts.to_pylist(), langs.to_pylist(), sources.to_pylist(), lengths.to_pylist())]
-        kind = pa.list_(pa.float64())
+        kind = pa.list_(pa.float32())
         return pa.array(rows, pa.struct([("content", kind), ("metadata", kind)]))
 
     return features(text, lang.cast("string"), source.cast("string"), n_chars.cast("long"))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int = 8_000,
-          unlabelled: int = 8_000, seed: int = 3) -> QualityModel | None:
-    """A model from whole texts of about ``labelled`` labelled and ``unlabelled`` other documents.
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", seed: int = 3) -> DataFrame:
+    """Features of every document with a text and a key, its label (NaN without one), and whether it is held.
 
-    Both are chosen by a hash of the key, so what reaches the driver, some 160 numbers per
-    document, is bounded by these parameters. Others have no label, in the sample or out of it. A document with several labels counts as good
-    if at least half of them say so; labels that are null or of no document count nothing.
+    A document with several labels counts as good if at least half of them say so; labels that are
+    null or of no document count nothing. A quarter of the labelled documents is held, by a hash of the key.
     """
-    marks = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
-        (F.avg("quality") >= 0.5).cast("double").alias("label"))
-    all_known = marks.select(F.col(key).cast(docs.schema[key].dataType).alias(key))
-    marks = marks.where(sampled(F.col(key), labelled, labels.count(), seed))
+    marks = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(
+        F.col(key).cast(docs.schema[key].dataType).alias("key")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     pool = docs.where(F.col("text").isNotNull() & F.col(key).isNotNull())
-    features = _features(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("f")
-    known = pool.select(key, "text", "lang", "source", "n_chars").join(F.broadcast(marks), key)
-    chosen = sampled(F.col(key), unlabelled, docs.count(), seed + 1)
-    other = pool.where(chosen).select(
-        key, "text", "lang", "source", "n_chars").join(all_known.where(chosen), key, "left_anti").withColumn(
-        "label", F.lit(float("nan")))
-    held = F.pmod(F.xxhash64(F.lit(seed + 2), F.col(key)), F.lit(4)) == 0
-    rows = known.select(key, "label", held.alias("held"), features).unionByName(
-        other.select(key, "label", F.lit(False).alias("held"), features)).collect()
-    rows.sort(key=lambda r: str(r[key]))
-    if not rows:
-        return None
-    return co_train(np.array([r["f"]["content"] for r in rows]), np.array([r["f"]["metadata"] for r in rows]),
-                    np.array([r["label"] for r in rows]), np.array([r["held"] for r in rows]))
+    features = pool.select(F.col(key).alias("key"), _features(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("f"))
+    held = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(4)) == 0
+    return features.join(marks, "key", "left").select(
+        F.col("f.content").alias("content"), F.col("f.metadata").alias("metadata"),
+        F.coalesce("label", F.lit(float("nan"))).alias("label"), (held & F.col("label").isNotNull()).alias("held"))
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> QualityModel | None:
+    """A model from the whole texts of all documents: those with a label teach both views, and all others
+    take part in the exchange. What reaches the driver are sums whose number depends on the features alone."""
+    return co_train(materialize(training_rows(docs, labels, key), "quality-features"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", out: str = "quality") -> DataFrame:
@@ -194,7 +276,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", out:
     Chances that a document is good, from 0 to 1. Texts that are null or have no words score 0.
     Where labels don't show both classes there is no model, and all other documents score 1. A
     column called ``out`` is replaced; the columns ``text``, ``lang``, ``source`` and
-    ``n_chars`` may hold nulls.
+    ``n_chars`` may hold nulls. Rows that repeat count as often as they are there and score alike; ties of labels
+    are good; texts are read whole; no rows give no rows.
     """
     model = train(docs, labels, key)
 
