@@ -1,4 +1,4 @@
-"""Exact dedup by a 128-bit content hash, with sha256 to tell its collisions apart.
+"""Exact dedup by a 128-bit content hash; inside its groups the bytes themselves are compared.
 
 Built from DataFrame operations only.
 """
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelgrid.llm.frames import fresh, materialize
+
 WHITE_SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -16,26 +18,22 @@ def without_white_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def content_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per group of equal normalised texts: hashes, size, the row that stays.
+def content_groups(candidates: DataFrame) -> DataFrame:
+    """One stored row per different content of (content_hash, content, points, doc_key): the row that stays
+    and the group's size.
 
-    Copies of equal bytes are combined first, but groups are those of equal md5 and sha256, so
-    sha256 decides where md5 collides; a collision of both is not told apart. Copies are combined before the shuffle, so
-    a group of any size sends one row per task and original length.
+    Rows are grouped by hash and by the bytes, so contents that collide are groups of their own. Copies are combined
+    before the shuffle: a group of any size sends one row per task. ``contents`` is the number of
+    different contents under the hash, one unless it collides.
     """
-    rows = docs.select(
-        F.col(key).alias("doc_key"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("points"),
-        without_white_space(F.col(text)).alias("content"),
-    ).withColumn("content_hash", F.md5("content"))
-    same_bytes = rows.groupBy("content_hash", "content", "points").agg(
-        F.min("doc_key").alias("doc_key"), F.count(F.lit(1)).alias("copies"))
-    hashed = same_bytes.select(
-        "content_hash", F.sha2("content", 256).alias("text_sha256"), "points", "doc_key", "copies")
-    return hashed.groupBy("content_hash", "text_sha256").agg(
+    groups = candidates.groupBy("content_hash", "content").agg(
         F.min(F.struct((-F.col("points")).alias("points"), F.isnull("doc_key").alias("no_key"), "doc_key"))
         .getField("doc_key").alias("keep_id"),
-        F.sum("copies").alias("group_size"),
+        F.count(F.lit(1)).alias("group_size"),
     )
+    groups = materialize(groups, "content-groups")
+    contents = groups.groupBy("content_hash").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+    return groups.join(contents, "content_hash", "left").withColumn("contents", F.coalesce("contents", F.lit(1)))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,11 +43,33 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     one group. The row with the most code points in its original text stays, the smallest key
     among ties. Rows that repeat a key and a text are copies like others; those that carry the
     key that stays all say ``kept``. A null key loses ties against any other.
-    Other columns are ignored; no rows give no rows.
+    Other columns are ignored, whatever their names; texts are read whole; no rows give no rows.
+
+    Only texts whose hash occurs again are shuffled, to be compared. Documents then find
+    their group by the hash, where it has one content, else by the content. Groups are stored first, so that
+    the joins are plain ones, which Spark splits where a group is large.
     """
-    content = without_white_space(F.col(text))
-    rows = docs.select(
-        F.col(key), F.md5(content).alias("content_hash"), F.sha2(content, 256).alias("text_sha256"))
-    groups = content_groups(docs, key, text)
-    return rows.join(groups, ["content_hash", "text_sha256"]).select(
-        key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    hashed, content = fresh(docs, "content_hash"), fresh(docs, "content")
+    texts = docs.withColumn(content, without_white_space(F.col(text))).withColumn(hashed, F.md5(content))
+    marks = materialize(texts.select(
+        F.col(key).alias("doc_key"), F.col(hashed).alias("content_hash"), F.sha2(F.col(content), 256).alias("text_sha256")), "hashes")
+    counted = marks.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(counted.where("n > 1").select("content_hash"), "repeated")
+    candidates = materialize(texts.select(
+        F.col(hashed).alias("content_hash"), F.col(content).alias("content"), F.col(key).alias("doc_key"),
+        F.length(F.coalesce(F.col(text), F.lit(""))).alias("points"),
+    ).join(repeated, "content_hash", "left_semi"), "candidates")
+    groups = materialize(content_groups(candidates), "groups")
+    found = ["doc_key", "keep_id", "group_size", "text_sha256"]
+
+    whole = groups.where("contents = 1").select("content_hash", "keep_id", "group_size")
+    collided = groups.where("contents > 1")
+    by_hash = marks.join(collided.select("content_hash").distinct(), "content_hash", "left_anti").join(
+        whole, "content_hash", "left").select(
+        "doc_key", F.when(F.col("group_size").isNull(), F.col("doc_key")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
+    by_content = candidates.join(collided, ["content_hash", "content"]).withColumn(
+        "text_sha256", F.sha2("content", 256)).select(*found)
+    return by_hash.unionByName(by_content).select(
+        F.col("doc_key").alias(key), "keep_id", F.col("group_size").cast("long").alias("group_size"),
+        F.col("doc_key").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

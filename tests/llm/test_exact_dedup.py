@@ -39,3 +39,20 @@ def test_equal_hashes_of_different_bytes_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(F, "md5", lambda column: F.lit("same"))
     rows = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs).collect()}
     assert rows == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
+
+
+def test_bytes_decide_where_all_hashes_collide(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a "), (None, "b"), (4, None), (5, " ")], "doc_id long, text string")
+    monkeypatch.setattr(F, "md5", lambda column: F.lit("same"))
+    monkeypatch.setattr(F, "sha2", lambda column, bits: F.lit("same"))
+    rows = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert rows == {(1, 3, 2), (3, 3, 2), (2, 2, 2), (None, 2, 2), (4, 5, 2), (5, 5, 2)}
+
+
+def test_single_texts_are_not_stored(spark, monkeypatch):
+    stored = []
+    plain = exact_dedup.materialize
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, label: stored.append((label, plain(df, label))) or stored[-1][1])
+    docs = spark.createDataFrame([(k, f"text {k // 2 if k < 6 else k}") for k in range(20)], "doc_id long, text string")
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == 17
+    assert dict(stored)["candidates"].count() == 6
