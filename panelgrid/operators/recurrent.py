@@ -206,8 +206,8 @@ def fit_recurrent(
             weights = weights - np.linalg.solve(hessian, gradient)
             found = _sums(states, weights)
             tried.append(weights)
-            history.append((epoch, found["train"][-2] / found["train"][-1],
-                            found["val"][-2] / found["val"][-1] if "val" in found else None))
+            history.append((epoch, float(found["train"][-2] / found["train"][-1]),
+                            float(found["val"][-2] / found["val"][-1]) if "val" in found else None))
             if best and "val" in found and best([h[2] for h in history])[0] < epoch:
                 break
     kept = len(tried)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 from datetime import date, datetime, timezone
 from pathlib import PurePath
@@ -103,11 +104,15 @@ def save_run(
     return folder
 
 
-def update_latest(spark: SparkSession, base: str, folder: str) -> str:
+def update_latest(spark: SparkSession, base: str, folder: str, now: datetime | None = None) -> str:
     """Lets ``base/latest`` stand for the run folder: a small document that names it.
 
-    Nothing is copied; readers of ``base/latest`` follow the name. Returns that path.
+    Every call writes a pointer of its own, numbered by time, and replaces none. A pointer appears when
+    Spark commits it; the highest one that is complete counts, so a reader always finds one once there was one, an
+    interrupted write changes nothing, and of two writers the later wins. Nothing is copied; returns that path.
     """
     name = PurePath(folder.rstrip("/")).name
-    save_text(spark, to_json_text({"run": name}), f"{base.rstrip('/')}/latest.json")
-    return f"{base.rstrip('/')}/latest"
+    number = f"{now or datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    pointers = f"{base.rstrip('/')}/latest"
+    save_text(spark, json.dumps({"number": number, "run": name}), f"{pointers}/{number}")
+    return pointers

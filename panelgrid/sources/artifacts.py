@@ -38,12 +38,13 @@ def run_of(spark: SparkSession, path: str) -> str:
     if name != "latest":
         return folder
     try:
-        named = spark.read.schema("run string").option("multiLine", True).json(f"{base}/latest.json").first()
+        pointers = spark.read.schema("number string, run string").option("recursiveFileLookup", True).json(folder)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return folder
-    return f"{base}/{named['run']}"
+    newest = pointers.where("number is not null and run is not null").agg(F.max_by("run", "number").alias("run")).first()
+    return f"{base}/{newest['run']}" if newest["run"] else folder
 
 
 def _file_in(spark: SparkSession, path: str, name: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -100,11 +101,26 @@ def test_event_files_with_other_column_orders_and_line_breaks(spark, tmp_path):
 def test_latest_names_a_run_and_copies_nothing(spark, tmp_path):
     base = str(tmp_path / "runs")
     for name in ("one", "two"):
-        rows = spark.createDataFrame([(name,)], "region_id string")
-        tables.save_table(rows, f"{base}/{name}/predictions.parquet")
+        spark.createDataFrame([(name, DAY)], "region_id string, timestamp timestamp_ntz").write.parquet(
+            f"{base}/{name}/predictions.parquet")
         tables.update_latest(spark, base, f"{base}/{name}")
     assert artifacts.read_predictions(spark, f"{base}/latest").first()["region_id"] == "two"
-    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["latest.json", "one", "two"]
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["latest", "one", "two"]
+
+
+def test_latest_survives_interrupted_writes_and_two_writers(spark, tmp_path):
+    base = str(tmp_path)
+    tables.update_latest(spark, base, f"{base}/first")
+    # what a writer leaves that was stopped before its commit, or in the middle of a line
+    for number, text in (("99990101000000000000-a/_temporary/0", '{"number": "9999", "run": "never"}'), ("99980101000000000000-b", '{"number": "99')):
+        (tmp_path / "latest" / number).mkdir(parents=True)
+        (tmp_path / "latest" / number / "part-00000.txt").write_text(text)
+    assert artifacts.run_of(spark, f"{base}/latest") == f"{base}/first"
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: tables.update_latest(spark, base, f"{base}/run{k}", DAY + timedelta(days=40_000, seconds=k)), range(4)))
+    assert artifacts.run_of(spark, f"{base}/latest") == f"{base}/run3"
+    assert artifacts.run_of(spark, f"{base}/other/latest") == f"{base}/other/latest"
+
 
 
 def test_safe_columns_do_not_tell_the_target(spark):
