@@ -68,6 +68,22 @@ def _(spark, sf_dir):
     ))
 
 
+@query("s01_landed_events_by_year", sql(
+    f"""select event_id, kind, {r('lat', 'begin_lat')}, case when year(t) = 1997 then 9 else deaths end as deaths
+    from storm where year(t) between 1996 and 1998 and not (year(t) = 1997 and event_id % 2 = 0)""", "storm"))
+def _(spark, sf_dir):
+    """All years are landed, one is replaced by other rows, and a range of years is read."""
+    folder = scratch_path(spark, "landed-events")
+    rows = st.storm_rows(spark, sf_dir)
+    tables.land_events(rows, folder)
+    again = events.with_year(rows).where("year = 1997 and EVENT_ID % 2 <> 0").drop("year")
+    tables.land_events(again.withColumn("DEATHS_DIRECT", F.lit(9).cast("long")), folder)
+    kinds = F.array(*[F.lit(t) for t in st.EVENT_TYPES])
+    return rounded(events.read_landed_events(spark, folder, 1996, 1998).select(
+        F.col("EVENT_ID").alias("event_id"), F.coalesce(F.array_position(kinds, F.col("EVENT_TYPE")) - 1, F.lit(8)).alias("kind"),
+        F.col("BEGIN_LAT").alias("begin_lat"), F.col("DEATHS_DIRECT").alias("deaths")))
+
+
 @query("s02_latest_file_per_year", sql(
     """select year, concat('StormEvents_details-ftp_v1.0_d', year, '_c', max(stamp), '.csv.gz') as file
     from (select strftime(o_orderdate, '%Y') as year, strftime(o_orderdate, '%Y%m%d') as stamp,

@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 
+from panelgrid.sources.events import YEAR, with_year
+
 
 def save_table(df: DataFrame, path: str) -> str:
     """Writes by suffix: ``.csv`` (with header) or ``.parquet``; a folder of part files."""
@@ -26,6 +28,21 @@ def save_table(df: DataFrame, path: str) -> str:
     return path
 
 
+def land_partitioned(df: DataFrame, path: str, by: str) -> str:
+    """Parquet folders by the values of a column; values that ``df`` has replace those there, others stay.
+
+    Rows are brought together by the column first, so that a task writes few files; where one value has many
+    rows, Spark splits them over several tasks.
+    """
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    return path
+
+
+def land_events(events: DataFrame, folder: str) -> str:
+    """Raw events as parquet by year; the years that ``events`` has are replaced."""
+    return land_partitioned(with_year(events), folder, YEAR)
+
+
 def _plain(value: Any) -> Any:
     if hasattr(value, "item"):
         return value.item()
@@ -92,8 +109,9 @@ def save_run(
 ) -> str:
     """Everything a report or a later scoring job needs, below one folder."""
     spark = predictions.sparkSession
-    save_table(predictions, f"{folder}/predictions.parquet")
-    save_table(predictions, f"{folder}/predictions.csv")
+    land_partitioned(predictions, f"{folder}/predictions.parquet", "split")
+    stored = spark.read.parquet(f"{folder}/predictions.parquet")
+    save_table(stored.select(*predictions.columns), f"{folder}/predictions.csv")
     save_metrics_json(metrics, f"{folder}/metrics.json", config, threshold)
     epochs = [row.asDict() for row in history.orderBy("epoch").toLocalIterator()]
     save_text(spark, to_json_text({"history": epochs}), f"{folder}/history.json")

@@ -55,11 +55,17 @@ def read_predictions(spark: SparkSession, path: str, missing_ok: bool = False) -
     """The predictions table; when absent an error, or an empty frame if ``missing_ok``.
 
     Classification runs store ``hybrid_class`` in place of ``residual``. The parquet copy is
-    read where a run has one.
+    read where a run has one; it has a folder per split, so that a filter on the split reads only those.
     """
     folder = run_of(spark, path)
     try:
-        return spark.read.parquet(f"{folder}/predictions.parquet")
+        stored = spark.read.parquet(f"{folder}/predictions.parquet")
+        if stored.columns[-1:] != ["split"] or "target" not in stored.columns:
+            return stored
+        # A partitioning column comes last; it is put where the table has it.
+        names = [c for c in stored.columns if c != "split"]
+        at = names.index("target")
+        return stored.select(*names[:at], "split", *names[at:])
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelgrid.fixed_values import EVENT_FILE_NAME, EVENT_FILE_PATTERN
+from panelgrid.functions.text import parse_event_time
 
 log = logging.getLogger(__name__)
 
@@ -62,6 +63,29 @@ def scan_storm_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     return reduce(DataFrame.unionByName, scans)
 
 
+YEAR = "year"
+
+
+def with_year(events: DataFrame) -> DataFrame:
+    """Raw events with the year of their time, null where it is unreadable."""
+    return events.withColumn(YEAR, F.year(parse_event_time(F.col("BEGIN_DATE_TIME"))))
+
+
+def read_landed_events(
+    spark: SparkSession, folder: str, first_year: int | None = None, last_year: int | None = None
+) -> DataFrame:
+    """Landed events of a range of years, both included; folders of other years are not read.
+
+    Without a range events of unreadable time are there too.
+    """
+    landed = spark.read.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField(YEAR, T.IntegerType())])).parquet(folder)
+    if first_year is not None:
+        landed = landed.where(F.col(YEAR) >= first_year)
+    if last_year is not None:
+        landed = landed.where(F.col(YEAR) <= last_year)
+    return landed.drop(YEAR)
+
+
 def latest_file_per_year(listing: DataFrame, name: str = "name") -> DataFrame:
     """(year, file) with the largest stamp of each year; other names are ignored."""
     year = F.regexp_extract(name, EVENT_FILE_PATTERN, 1)
