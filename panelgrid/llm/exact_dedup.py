@@ -13,11 +13,35 @@ from panelgrid.llm.frames import fresh, materialize
 WHITE_SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Bits of the map of repeated hashes, 16 MB at most; a bit that stands for several hashes only lets more texts through.
+SLOTS, BITS_OF_A_MAP = 1 << 27, 1 << 15
+
+
 def without_white_space(text: Column) -> Column:
     """The text less ASCII white space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
+def _slot(content_hash: str) -> Column:
+    return F.pmod(F.xxhash64(content_hash), F.lit(SLOTS))
+
+
+def maybe_repeated(texts: DataFrame, repeated: DataFrame, content_hash: str) -> DataFrame:
+    """The rows of ``texts`` whose hash is marked in a map of the ``repeated`` hashes.
+
+    The map's size is fixed, so it may be broadcast however many hashes there are, and the plan is
+    the same at any size.
+    """
+    maps = repeated.select(_slot("content_hash").alias("slot")).groupBy(F.expr(f"slot div {BITS_OF_A_MAP}").alias("map_number")).agg(
+        F.expr(f"bitmap_construct_agg(slot % {BITS_OF_A_MAP})").alias("map_bits"))
+    number, bits, slot = (fresh(texts, n) for n in ("map_number", "map_bits", "slot"))
+    maps = maps.select(F.col("map_number").alias(number), F.col("map_bits").alias(bits))
+    marked = texts.withColumn(slot, _slot(content_hash)).withColumn(number, F.expr(f"{slot} div {BITS_OF_A_MAP}"))
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({slot} % {BITS_OF_A_MAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    is_set = F.expr(f"shiftleft(1, cast({slot} % 8 as int))")
+    return marked.join(F.broadcast(maps), number).where(byte.bitwiseAND(is_set) != 0).select(*texts.columns)
+
+
 def content_groups(candidates: DataFrame) -> DataFrame:
     """One stored row per different content of (content_hash, content, points, doc_key): the row that stays
     and the group's size.
@@ -45,7 +69,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     key that stays all say ``kept``. A null key loses ties against any other.
     Other columns are ignored, whatever their names; texts are read whole; no rows give no rows.
 
-    Only texts whose hash occurs again are shuffled, to be compared. Documents then find
+    Only texts whose hash occurs again, by a map of bits, are shuffled to be compared. Documents then find
     their group by the hash, where it has one content, else by the content. Groups are stored first, so that
     the joins are plain ones, which Spark splits where a group is large.
     """
@@ -55,10 +79,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.col(key).alias("doc_key"), F.col(hashed).alias("content_hash"), F.sha2(F.col(content), 256).alias("text_sha256")), "hashes")
     counted = marks.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
     repeated = materialize(counted.where("n > 1").select("content_hash"), "repeated")
-    candidates = materialize(texts.select(
+    candidates = materialize(maybe_repeated(texts.select(
         F.col(hashed).alias("content_hash"), F.col(content).alias("content"), F.col(key).alias("doc_key"),
         F.length(F.coalesce(F.col(text), F.lit(""))).alias("points"),
-    ).join(repeated, "content_hash", "left_semi"), "candidates")
+    ), repeated, "content_hash"), "candidates")
     groups = materialize(content_groups(candidates), "groups")
     found = ["doc_key", "keep_id", "group_size", "text_sha256"]
 

@@ -56,3 +56,10 @@ def test_single_texts_are_not_stored(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"text {k // 2 if k < 6 else k}") for k in range(20)], "doc_id long, text string")
     assert exact_dedup.exact_dedup(docs).where("kept").count() == 17
     assert dict(stored)["candidates"].count() == 6
+
+
+def test_a_full_map_only_lets_more_texts_through(spark, monkeypatch, documents):
+    docs = spark.createDataFrame([(d, t) for d, t, _ in documents], "doc_id long, text string")
+    want = sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()), key=str)
+    monkeypatch.setattr(exact_dedup, "SLOTS", 8)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()), key=str) == want
