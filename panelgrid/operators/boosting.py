@@ -26,6 +26,8 @@ DEFAULTS = {"n_estimators": 500, "learning_rate": 0.05, "max_depth": 5, "subsamp
 MISSING = 255
 #: Columns whose sums travel together.
 BLOCK = 32
+#: Values that a task goes over at a time; fewer make one task, whose start would cost more than its work.
+CELLS_PER_TASK = 16_000_000
 #: Rounds after which the scores so far are stored with the rows.
 STORED_EVERY = 20
 #: Columns whose quantiles are taken in one aggregate.
@@ -310,10 +312,12 @@ def fit_second_order(
         own = frame.select(vector_to_array(vector).alias("x"), F.col("target").cast("double").alias("y"), "held")
         rows = own if rows is None else rows.unionByName(own)
     rows = materialize(rows, "boosting")
-    start = rows.where("not held").agg(F.avg("y").alias("mean"), F.max(F.size("x")).alias("width")).first()
+    start = rows.where("not held").agg(
+        F.avg("y").alias("mean"), F.max(F.size("x")).alias("width"), F.count(F.lit(1)).alias("rows")).first()
     if start["mean"] is None:
         raise ValueError("no rows to learn from")
     width = start["width"]
+    tasks = -(-start["rows"] * width // CELLS_PER_TASK)
     base = float(start["mean"])
     if target_type == "classification":
         share = min(max(base, 1e-6), 1 - 1e-6)
@@ -323,12 +327,14 @@ def fit_second_order(
     cuts = quantile_cuts(last, "x", each, p["max_bins"]) * groups
     kind = "bins binary, y double, held boolean, draw long, margin double"
     state = materialize(rows.select("x", "y", "held", F.xxhash64("x", "y").alias("draw"), F.lit(base).alias("margin")).mapInArrow(
-        _binned(cuts), kind), "binned")
+        _binned(cuts), kind).coalesce(tasks), "binned")
+
+    wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def summed(growing: _Growing) -> list:
         return (
             state.mapInArrow(growing.sums, "node int, block int, sums binary")
-            .repartition("node", "block").sortWithinPartitions("node", "block")
+            .repartition(min(tasks, wide), "node", "block").sortWithinPartitions("node", "block")
             .mapInArrow(_best(penalty, p["min_child_weight"]), _SPLIT).collect()
         )
 
