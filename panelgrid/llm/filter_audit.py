@@ -126,7 +126,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame, filters: dict[str, Column]
     good_lost, toxic_lost, shapley (removed by this filter, summed over all orders).
 
     Null texts count as empty, a condition that is null as passed, a null part as the part "".
-    A null key is neither smaller nor greater than another, so its row is nobody's copy. Rows that
+    A null key is neither smaller nor greater than another, so its row is nobody's copy, and it has no labels. Rows that
     repeat a key and a text are as many documents, none the copy of the other; rows that share
     a key but not the text are documents of their own, with the labels of the key. A document
     is good or toxic if any label of its key says so. Other columns are ignored, whatever their
