@@ -8,8 +8,10 @@ confirms each occurrence.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from array import array
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ from panelgrid.llm.frames import fresh, materialize
 
 #: Words of lower-cased UTF-8: ASCII letters and digits and all bytes of other characters.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: The same words before lowering, as Spark's expressions write them.
+JAVA_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Places of words in a window's hash.
+_FACTOR = 6364136223846793005
 HITS = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 _HITS = pa.struct([
     ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
@@ -30,70 +36,97 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordSearch:
-    """Windows of one length."""
-
-    def __init__(self, length: int) -> None:
-        self.length = length
-        self.shift: dict[int, int] = {}
-        self.buckets: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(dict)
-
-    def add(self, window: tuple[int, ...], item: str, radix: int) -> None:
-        last = self.length - 1
-        for end in range(1, self.length):
-            block = window[end - 1] * radix + window[end]
-            self.shift[block] = min(self.shift.get(block, last), last - end)
-        suffix = window[-1] if last == 0 else window[-2] * radix + window[-1]
-        self.buckets[suffix].setdefault(window, set()).add(item)
-
-    def find(self, words: list[int], radix: int):
-        """(start, items) of each occurrence, by start."""
-        last = self.length - 1
-        if last == 0:
-            for start, word in enumerate(words):
-                if word in self.buckets:
-                    yield start, self.buckets[word][(word,)]
-            return
-        end, n, jump, known = last, len(words), last, self.shift.get
+    """Windows of one length, all in arrays: about 30 bytes a window.
+
+    Slots are remainders of two-word blocks. A slot's shift is the least of its blocks', and its
+    bucket holds the windows whose last two words fall there, by their hash.
+    """
+
+    def __init__(self, length: int, radix: int, tokens: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> None:
+        self.length, self.radix, self.tokens = length, radix, tokens
+        self.size = 4 * len(starts) | 1
+        last = length - 1
+        shift = np.full(self.size, min(last, 255), np.uint8)
+        # later ends have lesser shifts, so the last value set is the least
+        for end in range(1, length):
+            shift[self._slots(starts, end)] = min(last - end, 255)
+        self.shift = shift.tobytes()
+        hashes = np.zeros(len(starts), np.uint64)
+        for k in range(length):
+            hashes = hashes * np.uint64(_FACTOR) + tokens[starts + k].astype(np.uint64)
+        slots = self._slots(starts, last)
+        order = np.lexsort((hashes, slots))
+        self.slots, self.hashes = slots[order], hashes[order]
+        self.starts, self.owners = starts[order], owners[order]
+
+    def _slots(self, starts: np.ndarray, end: int) -> np.ndarray:
+        block = self.tokens[starts + end].astype(np.int64)
+        if self.length > 1:
+            block += self.tokens[starts + end - 1].astype(np.int64) * self.radix
+        return (block % self.size).astype(np.int32)
+
+    def find(self, words: list[int]):
+        """(start, owners) of each occurrence, by start."""
+        last, size, radix, shift = self.length - 1, self.size, self.radix, self.shift
+        end, n = last, len(words)
         while end < n:
-            block = words[end - 1] * radix + words[end]
-            ahead = known(block, jump)
-            if ahead:
+            slot = (words[end - 1] * radix + words[end] if last else words[end]) % size
+            if ahead := shift[slot]:
                 end += ahead
                 continue
-            bucket = self.buckets.get(block)
-            if bucket and (items := bucket.get(tuple(words[end - last : end + 1]))):
-                yield end - last, items
+            if len(owners := self._confirmed(words[end - last : end + 1], slot)):
+                yield end - last, owners
             end += 1
 
+    def _confirmed(self, window: list[int], slot: int) -> np.ndarray:
+        """Owners of the windows of a bucket that are this one, word for word."""
+        slot = np.int32(slot)
+        a, b = np.searchsorted(self.slots, slot), np.searchsorted(self.slots, slot, "right")
+        if a == b or 0 in window:
+            return self.owners[:0]
+        value = 0
+        for word in window:
+            value = (value * _FACTOR + word) & (2**64 - 1)
+        value = np.uint64(value)
+        low = a + np.searchsorted(self.hashes[a:b], value)
+        high = a + np.searchsorted(self.hashes[a:b], value, "right")
+        held = self.tokens[self.starts[low:high, None] + np.arange(self.length)]
+        return np.unique(self.owners[low:high][(held == np.array(window)).all(axis=1)])
+
 
 class Matcher:
-    """All windows of a block of items."""
+    """All windows of a block of items. Word 0 is every word that no item has."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         self.ids: dict[bytes, int] = {}
-        found = []
-        for item, text in items:
-            words = words_of(text)
-            if words:
-                found.append((item, [self.ids.setdefault(w, len(self.ids) + 1) for w in words]))
-        self.radix = len(self.ids) + 1
-        self.searches: dict[int, WordSearch] = {}
-        for item, words in found:
-            length = min(window, len(words))
-            search = self.searches.setdefault(length, WordSearch(length))
-            for start in range(len(words) - length + 1):
-                search.add(tuple(words[start : start + length]), item, self.radix)
+        self.items = [item for item, _ in items]
+        tokens = array("i")
+        ends = [0]
+        for _, text in items:
+            tokens.extend(self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text))
+            ends.append(len(tokens))
+        held, ends = np.array(tokens, np.int32), np.array(ends, np.int64)
+        counts = np.diff(ends)
+        lengths = np.minimum(counts, window)
+        self.searches = []
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == length)
+            windows = counts[own] - length + 1
+            owners = np.repeat(own, windows)
+            within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            starts = (ends[owners] + within).astype(np.int32)
+            self.searches.append(WordSearch(length, len(self.ids) + 1, held, starts, owners.astype(np.int32)))
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, word spans covered by windows, items of these windows."""
         known = self.ids.get
         words = [known(w, 0) for w in words_of(text)]
-        found, items = [], set()
-        for length, search in self.searches.items():
-            for start, owners in search.find(words, self.radix):
-                found.append((start, start + length))
-                items |= owners
-        return len(words), merged(found), items - {None}
+        found, owners = [], set()
+        for search in self.searches:
+            for start, own in search.find(words):
+                found.append((start, start + search.length))
+                owners.update(own.tolist())
+        return len(words), merged(found), {self.items[k] for k in owners} - {None}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -118,19 +151,19 @@ def _searched(text: Column, matcher: Matcher) -> Column:
     return search(text)
 
 
-def _joined(left: Column, right: Column) -> Column:
-    """The hits of two blocks of items in the same text."""
+def _joined(parts: Column) -> Column:
+    """The hits of all blocks of items in the same text."""
 
     @F.arrow_udf(HITS)
-    def join(first: pa.Array, second: pa.Array) -> pa.Array:
+    def join(lists: pa.Array) -> pa.Array:
         rows = []
-        for a, b in zip(first.to_pylist(), second.to_pylist()):
-            spans = merged([(s["start"], s["end"]) for s in a["spans"] + b["spans"]])
-            rows.append({"n_words": a["n_words"], "spans": [{"start": s, "end": e} for s, e in spans],
-                         "items": sorted({*a["items"], *b["items"]})})
+        for found in lists.to_pylist():
+            spans = merged([(s["start"], s["end"]) for part in found for s in part["spans"]])
+            rows.append({"n_words": found[0]["n_words"], "spans": [{"start": s, "end": e} for s, e in spans],
+                         "items": sorted({i for part in found for i in part["items"]})})
         return pa.array(rows, _HITS)
 
-    return join(left, right)
+    return join(parts)
 
 
 def find_contamination(
@@ -143,26 +176,39 @@ def find_contamination(
     one window. Null texts have no words and no hits; null and empty items have no windows. A
     null item id takes part in the hits and is not listed. Repeated documents are searched each;
     repeated items count once. Columns of ``docs`` stay; one called ``out`` is replaced. Without
-    items nothing is hit.
+    items nothing is hit; without documents there are no rows. Texts of any length are searched whole.
 
     Items reach the tasks in blocks of about ``block_bytes`` of text, so what a task holds does
-    not grow with the benchmark: one pass over the documents for each block, stored between.
+    not grow with the benchmark. One block is one pass that stores nothing. Of more, each is a
+    pass over the texts that stores the hits of the texts it hits, by the texts' sha256, and the
+    documents meet the hits of all blocks at the end.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(
         F.col(item).cast("string").alias("id"), F.col(item_text).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     own = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
-    found, more = docs.drop(out), fresh(docs, "more")
-    for block in range(blocks):
+
+    def matcher(block: int) -> Matcher:
         rows = items.where(own == block).orderBy("id", "text").collect()
-        searched = _searched(F.col(text), Matcher([(r["id"], r["text"]) for r in rows], window))
-        if block == 0:
-            found = found.withColumn(out, searched)
-        else:
-            found = materialize(found.withColumn(more, searched), "searched")
-            found = found.withColumn(out, _joined(F.col(out), F.col(more))).drop(more)
-    return found
+        return Matcher([(r["id"], r["text"]) for r in rows], window)
+
+    if blocks == 1:
+        return docs.withColumn(out, _searched(F.col(text), matcher(0)))
+    texts = docs.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text"))
+    parts = []
+    for block in range(blocks):
+        found = texts.select("digest", _searched(F.col("text"), matcher(block)).alias("found"))
+        hit = found.where(F.size("found.spans") > 0).groupBy("digest").agg(F.any_value("found").alias("found"))
+        parts.append(materialize(hit, "hits"))
+    digest, more = fresh(docs, "digest"), fresh(docs, "more")
+    hits = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.collect_list("found").alias("found")).select(
+        F.col("digest").alias(digest), _joined(F.col("found")).alias(more))
+    none = F.struct(F.coalesce(F.regexp_count(F.col(text), F.lit(JAVA_WORD)), F.lit(0)).cast("long").alias("n_words"),
+                    F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
+                    F.array().cast("array<string>").alias("items"))
+    met = docs.withColumn(digest, F.sha2(F.col(text), 256)).join(hits, digest, "left")
+    return met.withColumn(out, F.coalesce(more, none)).drop(digest, more)
 
 
 def hit_words(contamination: Column) -> Column:

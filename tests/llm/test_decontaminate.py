@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 from panelgrid.llm import decontaminate as dc
@@ -69,6 +71,22 @@ def test_blocks_of_items_give_the_same_hits(spark, odd):
     assert [(s["start"], s["end"]) for s in one[0]["spans"]] == [(0, 5)]
 
 
+def test_a_block_of_items_is_small():
+    rng = random.Random(6)
+    vocabulary = [f"w{k:x}" for k in range(100_000)]
+    items = [(str(k), " ".join(rng.choices(vocabulary, k=500))) for k in range(600)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    matcher = dc.Matcher(items, 10)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # a block of 16 MB stays below 400 MB while it is built, and its windows cost below 100 bytes
+    assert most / size < 400 / 16
+    assert len(pickle.dumps(matcher.searches)) / sum(len(s.starts) for s in matcher.searches) < 100
+    n, spans, found = matcher.hits("x " + items[7][1] + " y")
+    assert (n, spans, found) == (502, [(1, 501)], {"7"})
+
+
 def test_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "größe 中文")], "item_id long, text string")
     left = dc.decontaminate(odd, benchmark, 10)
