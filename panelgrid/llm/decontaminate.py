@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left, bisect_right
 from functools import reduce
 
 import numpy as np
@@ -36,33 +37,34 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordSearch:
-    """Windows of one length, all in arrays: about 30 bytes a window.
+    """Windows of one length, in arrays of about 30 bytes a window; those of all lengths share their words.
 
     Slots are remainders of two-word blocks. A slot's shift is the least of its blocks', and its
     bucket holds the windows whose last two words fall there, by their hash.
     """
 
-    def __init__(self, length: int, radix: int, tokens: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> None:
+    def __init__(self, length: int, radix: int, tokens: array, starts: np.ndarray, owners: np.ndarray) -> None:
         self.length, self.radix, self.tokens = length, radix, tokens
+        words = np.frombuffer(tokens, np.int32)
         self.size = 4 * len(starts) | 1
         last = length - 1
         shift = np.full(self.size, min(last, 255), np.uint8)
         # later ends have lesser shifts, so the last value set is the least
         for end in range(1, length):
-            shift[self._slots(starts, end)] = min(last - end, 255)
+            shift[self._slots(words, starts, end)] = min(last - end, 255)
         self.shift = shift.tobytes()
         hashes = np.zeros(len(starts), np.uint64)
         for k in range(length):
-            hashes = hashes * np.uint64(_FACTOR) + tokens[starts + k].astype(np.uint64)
-        slots = self._slots(starts, last)
+            hashes = hashes * np.uint64(_FACTOR) + words[starts + k].astype(np.uint64)
+        slots = self._slots(words, starts, last)
         order = np.lexsort((hashes, slots))
-        self.slots, self.hashes = slots[order], hashes[order]
-        self.starts, self.owners = starts[order], owners[order]
+        self.slots, self.hashes = array("i", slots[order].tobytes()), array("Q", hashes[order].tobytes())
+        self.starts, self.owners = array("i", starts[order].tobytes()), array("i", owners[order].tobytes())
 
-    def _slots(self, starts: np.ndarray, end: int) -> np.ndarray:
-        block = self.tokens[starts + end].astype(np.int64)
+    def _slots(self, words: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+        block = words[starts + end].astype(np.int64)
         if self.length > 1:
-            block += self.tokens[starts + end - 1].astype(np.int64) * self.radix
+            block += words[starts + end - 1].astype(np.int64) * self.radix
         return (block % self.size).astype(np.int32)
 
     def find(self, words: list[int]):
@@ -70,28 +72,32 @@ class WordSearch:
         last, size, radix, shift = self.length - 1, self.size, self.radix, self.shift
         end, n = last, len(words)
         while end < n:
-            slot = (words[end - 1] * radix + words[end] if last else words[end]) % size
+            word = words[end]
+            if not word:
+                end += last + 1
+                continue
+            slot = (words[end - 1] * radix + word if last else word) % size
             if ahead := shift[slot]:
                 end += ahead
                 continue
-            if len(owners := self._confirmed(words[end - last : end + 1], slot)):
+            if owners := self._confirmed(words[end - last : end + 1], slot):
                 yield end - last, owners
             end += 1
 
-    def _confirmed(self, window: list[int], slot: int) -> np.ndarray:
+    def _confirmed(self, window: list[int], slot: int) -> set[int]:
         """Owners of the windows of a bucket that are this one, word for word."""
-        slot = np.int32(slot)
-        a, b = np.searchsorted(self.slots, slot), np.searchsorted(self.slots, slot, "right")
-        if a == b or 0 in window:
-            return self.owners[:0]
+        a = bisect_left(self.slots, slot)
+        if a == len(self.slots) or self.slots[a] != slot or 0 in window:
+            return set()
         value = 0
         for word in window:
             value = (value * _FACTOR + word) & (2**64 - 1)
-        value = np.uint64(value)
-        low = a + np.searchsorted(self.hashes[a:b], value)
-        high = a + np.searchsorted(self.hashes[a:b], value, "right")
-        held = self.tokens[self.starts[low:high, None] + np.arange(self.length)]
-        return np.unique(self.owners[low:high][(held == np.array(window)).all(axis=1)])
+        b = bisect_right(self.slots, slot, a)
+        low = bisect_left(self.hashes, value, a, b)
+        high = bisect_right(self.hashes, value, low, b)
+        same, length = array("i", window), self.length
+        return {self.owners[k] for k in range(low, high)
+                if self.tokens[self.starts[k] : self.starts[k] + length] == same}
 
 
 class Matcher:
@@ -105,7 +111,7 @@ class Matcher:
         for _, text in items:
             tokens.extend(self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text))
             ends.append(len(tokens))
-        held, ends = np.array(tokens, np.int32), np.array(ends, np.int64)
+        ends = np.array(ends, np.int64)
         counts = np.diff(ends)
         lengths = np.minimum(counts, window)
         self.searches = []
@@ -115,7 +121,7 @@ class Matcher:
             owners = np.repeat(own, windows)
             within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
             starts = (ends[owners] + within).astype(np.int32)
-            self.searches.append(WordSearch(length, len(self.ids) + 1, held, starts, owners.astype(np.int32)))
+            self.searches.append(WordSearch(length, len(self.ids) + 1, tokens, starts, owners.astype(np.int32)))
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, word spans covered by windows, items of these windows."""
@@ -125,7 +131,7 @@ class Matcher:
         for search in self.searches:
             for start, own in search.find(words):
                 found.append((start, start + search.length))
-                owners.update(own.tolist())
+                owners |= own
         return len(words), merged(found), {self.items[k] for k in owners} - {None}
 
 
