@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from panelgrid.llm.frames import materialize
 
 
-def _toward_least(links: DataFrame, both_ways: bool) -> DataFrame:
+#: A node with more than this share of all link ends is a hub; there are fewer than twice its inverse.
+HUB_SHARE = 1 / 500
+
+
+def _toward_least(links: DataFrame, both_ways: bool, total: int) -> DataFrame:
     """Links of each node's neighbours to the least node around it.
 
     Large star (both ways): neighbours greater than the node link to the least of all.
     Small star: the node and its lesser neighbours link to the least of these.
+    Links of hubs meet their least node by a broadcast of at most ``2 / HUB_SHARE`` rows, so
+    no task holds a hub.
     """
     around = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both_ways else links
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = around.join(least, "a")
+    counted = around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = counted.select("a", F.least("a", "m").alias("m"), "n")
+    hubs = F.broadcast(least.where(F.col("n") > total * HUB_SHARE).select("a", "m"))
+    others = around.join(hubs.select("a"), "a", "left_anti").join(least.select("a", "m"), "a")
+    moved = around.join(hubs, "a").unionByName(others)
     if both_ways:
         return moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     own = least.where("a <> m").select("a", F.col("m").alias("b"))
@@ -26,8 +35,8 @@ def _toward_least(links: DataFrame, both_ways: bool) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of links (a, b); the component is its least node.
 
-    Every round sends one least node per node and task to the shuffle, and joins that Spark may
-    split where a node has many links; nothing is collected. The links of a round are stored in
+    Every round sends one least node per node and task to the shuffle; links of hubs stay where
+    they are. Nothing is collected. The links of a round are stored in
     the shared folder. Rounds end when links no longer change, after about the logarithm of
     the longest path. Loops are left out, so a node linked only with itself is not listed.
     """
@@ -41,5 +50,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         before = now
-        links = materialize(_toward_least(_toward_least(links, True), False), "links")
+        links = materialize(_toward_least(_toward_least(links, True, now["n"]), False, now["n"]), "links")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelgrid.llm.components import components
-from panelgrid.llm.frames import materialize, with_block_pairs
+from panelgrid.llm.frames import fresh, materialize, with_block_pairs
 from panelgrid.llm.words import mix, shingles, word_hashes
 
 HASHES = 128
@@ -276,7 +276,19 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, key: str = "doc_id",
                          text: str = "text") -> DataFrame:
-    """The documents that stay, one of each component, columns unchanged; null keys stay."""
-    found = near_duplicates(docs, length, percent, key, text)
-    gone = found.where("not kept").select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """The documents that stay, one row of each component, columns unchanged.
+
+    Every row is searched as a document of its own, whether its key is null, repeated or no
+    number; of a component the row with the least key stays, null keys last, one of equal ones.
+    Rows without words are linked with nothing and stay. No rows give no rows.
+    """
+    row = fresh(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, length, percent, row, text).where("not kept")
+    moved = materialize(found.select(F.col(row).alias("row"), F.col("component_id").alias("component")), "moved")
+    members = moved.unionByName(moved.select(F.col("component").alias("row"), "component").distinct())
+    keys = numbered.select(F.col(row).alias("row"), F.col(key).alias("key"))
+    ranked = members.join(keys, "row").withColumn("rank", F.struct(F.col("key").isNull(), "key", "row"))
+    stays = ranked.groupBy("component").agg(F.min("rank")["row"].alias("row")).select("row")
+    gone = members.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -134,7 +134,18 @@ def test_odd_rows(odd, none):
     assert sorted(by[None]) == [(0, None, True), (3, None, True)]
     assert nd.near_duplicates(none).collect() == []
     left = nd.drop_near_duplicates(odd)
-    assert sorted(left.columns) == sorted(odd.columns) and left.count() == 10
+    assert sorted(left.columns) == sorted(odd.columns) and left.count() == 9
+    assert nd.drop_near_duplicates(none).collect() == []
+
+
+def test_one_row_stays_of_repeated_and_keyless_copies(spark):
+    text = "one passage of some eight words or more"
+    rows = [(5, text), (5, text), (4, text.upper()), (None, text), (None, text), (5, "other words under the same key here"),
+            (None, "no key and no copy of these words"), (None, None), (None, "")]
+    left = nd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(4, text.upper()), *rows[5:]], key=str)
+    keyless = nd.drop_near_duplicates(spark.createDataFrame(rows[3:5], "doc_id string, text string")).collect()
+    assert [tuple(r) for r in keyless] == [(None, text)]
 
 
 def test_components_of_a_long_path_and_loops(spark):
@@ -142,3 +153,11 @@ def test_components_of_a_long_path_and_loops(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_hubs_and_small_groups(spark):
+    # 852 links: a hub is a node of more than one
+    links = [(5000, k) for k in range(1000, 1400)] + [(k, k + 1) for k in range(2000, 2900, 2)] + [(1399, 3000)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {k: 1000 for k in (*range(1000, 1400), 3000, 5000)} | {k: k - k % 2 for k in range(2000, 2900)}
+    assert got == want
