@@ -156,7 +156,7 @@ def test_components_of_a_long_path_and_loops(spark):
 
 
 def test_components_of_hubs_and_small_groups(spark):
-    # 852 links: a hub is a node of more than one
+    # one node with many links beside many with one
     links = [(5000, k) for k in range(1000, 1400)] + [(k, k + 1) for k in range(2000, 2900, 2)] + [(1399, 3000)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {k: 1000 for k in (*range(1000, 1400), 3000, 5000)} | {k: k - k % 2 for k in range(2000, 2900)}
