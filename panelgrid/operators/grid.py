@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelgrid.operators.series import Series, fill_gaps
+from panelgrid.operators.series import CHUNK, Series, fill_chunks
 from panelgrid.operators.steps import (
     MICROS, MONTH_MARKS, is_marked, micros_of_day, number_of, time_of,
 )
@@ -38,6 +38,23 @@ def day_bounds(start: str | date, end: str | date) -> tuple[str, str]:
     return days[0], days[1]
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _time_at(kinds: Sequence[str]) -> Column:
+    """The time of ``_number``, by ``_kind`` and ``_after``."""
+    return reduce(lambda other, kind: F.when(
+        F.col("_kind") == kind, time_of(kind, F.col("_number"), F.col("_after"))).otherwise(other),
+        kinds, F.lit(None).cast("timestamp_ntz"))
+
+
+def _number_at(kinds: Sequence[str], time: Column) -> Column:
+    """The number of a time, by ``_kind``."""
+    return reduce(lambda other, kind: F.when(F.col("_kind") == kind, number_of(kind, time)).otherwise(other),
+                  kinds, F.lit(None).cast("long"))
+
+
 def _ticks(bounds: DataFrame, series: Series, name: str, kinds: Sequence[str]) -> DataFrame:
     """Rows with ``_kind``, ``_first``, ``_last`` and ``_step`` (numbers of that kind of step) to
     one row per step, its time of day ``_after``.
@@ -47,20 +64,14 @@ def _ticks(bounds: DataFrame, series: Series, name: str, kinds: Sequence[str]) -
     generates its own blocks. An explicit number keeps the spread from being
     coalesced on account of the blocks' small size.
     """
-    spark = bounds.sparkSession
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
+    tasks = _tasks(bounds.sparkSession)
     span = F.col("_step") * series.chunk_rows
     starts = F.explode(F.sequence(F.col("_first"), F.col("_last"), span))
     some = bounds.where("_first <= _last")
     blocks = some.withColumn("_start", starts).repartition(tasks, series.region, "_start")
     end = F.least(F.col("_last"), F.col("_start") + span - F.col("_step"))
     ticks = blocks.withColumn("_number", F.explode(F.sequence(F.col("_start"), end, F.col("_step"))))
-    time = reduce(lambda other, kind: F.when(
-        F.col("_kind") == kind, time_of(kind, F.col("_number"), F.col("_after"))).otherwise(other),
-        kinds, F.lit(None).cast("timestamp_ntz"))
-    return ticks.withColumn(name, time).drop(
+    return ticks.withColumn(name, _time_at(kinds)).drop(
         "_kind", "_first", "_last", "_step", "_after", "_start", "_number"
     )
 
@@ -134,12 +145,8 @@ def region_steps(df: DataFrame, series: Series) -> DataFrame:
         kind = F.when(regular, F.lit(name)).otherwise(kind)
     chosen = fitted.withColumns({"_kind": kind, "_step": step})
 
-    def number(edge: str) -> Column:
-        return reduce(lambda other, name: F.when(F.col("_kind") == name, number_of(name, F.col(edge))).otherwise(other),
-                      kinds, F.lit(None).cast("long"))
-
     return chosen.withColumns(
-        {"_first": number("_from"), "_last": number("_to"), "_after": micros_of_day(F.col("_from"))}).select(*lattice)
+        {"_first": _number_at(kinds, F.col("_from")), "_last": _number_at(kinds, F.col("_to")), "_after": micros_of_day(F.col("_from"))}).select(*lattice)
 
 
 def align_reindex(df: DataFrame, series: Series) -> DataFrame:
@@ -153,9 +160,33 @@ def align_reindex(df: DataFrame, series: Series) -> DataFrame:
 
 
 def align_time_series(df: DataFrame, series: Series) -> DataFrame:
-    """Regular grid per region, every column filled forward, what is left set to zero."""
+    """Regular grid per region, every column filled forward, what is left set to zero.
+
+    The rows of :func:`align_reindex`, filled. Between two known rows all columns stay the same, so
+    only the known rows and one row for each block of ``chunk_rows`` steps are shuffled and filled;
+    each is then repeated on the steps up to the next one of its block.
+    """
     columns = [c for c in df.columns if c not in series.key]
-    return fill_gaps(align_reindex(df, series), columns, series).fillna(0)
+    kinds = [series.step.kind] if series.frequency else ["time", *INFERRED]
+    time, number, span = F.col(series.time), F.col("_number"), F.col("_step") * series.chunk_rows
+    grids = region_steps(df, series).where("_first <= _last")
+    blocks = grids.withColumn("_number", F.explode(F.sequence(F.col("_first"), F.col("_last"), span)))
+    known = with_unique_keys(df.where(F.col(series.region).isNotNull() & time.isNotNull()), series).join(
+        grids, series.region).withColumn("_number", _number_at(kinds, time)).where(
+        number.between(F.col("_first"), F.col("_last")) & ((number - F.col("_first")) % F.col("_step") == 0)
+        & (_time_at(kinds) == time)).drop(series.time)
+    rows = known.withColumn("_known", F.lit(True)).unionByName(
+        blocks.withColumn("_known", F.lit(False)), allowMissingColumns=True)
+    chunk = F.col("_first") + F.floor((number - F.col("_first")) / span) * span
+    # An explicit number keeps the blocks spread, however small they are before their steps are made.
+    chunked = rows.withColumns({CHUNK: chunk, series.time: _time_at(kinds)}).repartition(
+        _tasks(df.sparkSession), series.region, CHUNK)
+    filled = fill_chunks(chunked, columns, series)
+    end = F.least(F.col("_last") + F.col("_step"), F.col(CHUNK) + span)
+    after = F.lead("_number", 1).over(Window.partitionBy(series.region, CHUNK).orderBy("_number", "_known"))
+    steps = filled.withColumn("_next", F.coalesce(after, end)).where("_next > _number").withColumn(
+        "_number", F.explode(F.sequence(number, F.col("_next") - F.col("_step"), F.col("_step"))))
+    return steps.withColumn(series.time, _time_at(kinds)).select(*df.columns).fillna(0)
 
 
 def with_unique_keys(df: DataFrame, series: Series) -> DataFrame:

@@ -13,6 +13,8 @@ region into one task. A series is cut into chunks of consecutive rows:
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -109,15 +111,23 @@ def on_steps(df: DataFrame, series: Series) -> Series:
 
     Lags count rows, so on a series with gaps, repeats or rows between steps a position
     computed from the time would make results depend on where chunks begin. One aggregate
-    of the two key columns tells.
+    of the two key columns tells: the steps of a region are bits of 64-bit words, so a word and
+    not a row for each step is shuffled.
     """
     if series.frequency is None or series.counted:
         return series
     step = series.step.position(F.col(series.time))
-    after = series.step.remainder(F.col(series.time))
-    runs = df.where(F.col(series.time).isNotNull()).groupBy(series.region).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count_distinct(step).alias("_steps"),
-        (F.max(step) - F.min(step) + 1).alias("_span"), (F.max(after) != F.min(after)).alias("_off"),
+    after = {f"_after_{k}": part for k, part in enumerate(series.step.remainder(F.col(series.time)))}
+    seen = df.where(F.col(series.time).isNotNull()).select(
+        series.region, step.alias("_step"), *[part.alias(name) for name, part in after.items()])
+    words = seen.groupBy(series.region, F.shiftright("_step", 6).alias("_word")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.bit_or(F.expr("shiftleft(1L, cast(pmod(_step, 64) as int))")).alias("_bits"),
+        *[edge(c).alias(f"{name}{c}") for name, edge in (("_min", F.min), ("_max", F.max)) for c in ("_step", *after)],
+    )
+    off = reduce(or_, [F.max(f"_max{c}") != F.min(f"_min{c}") for c in after])
+    runs = words.groupBy(series.region).agg(
+        F.sum("_rows").alias("_rows"), F.sum(F.bit_count("_bits")).alias("_steps"),
+        (F.max("_max_step") - F.min("_min_step") + 1).alias("_span"), off.alias("_off"),
     )
     broken = runs.where("_rows <> _steps or _steps <> _span or _off")
     return series if broken.isEmpty() else replace(series, counted=True)
@@ -135,9 +145,13 @@ def with_position(df: DataFrame, series: Series) -> DataFrame:
 
 
 def with_halo(df: DataFrame, series: Series, before: int) -> DataFrame:
-    """Chunks of rows, each led by copies of the ``before`` rows preceding it."""
-    first = F.floor(F.col(POSITION) / series.chunk_rows)
-    last = F.floor((F.col(POSITION) + before) / series.chunk_rows)
+    """Chunks of rows, each led by copies of the ``before`` rows preceding it.
+
+    A chunk has at least eight times as many rows as are copied, so copies are few.
+    """
+    size = max(series.chunk_rows, 8 * before)
+    first = F.floor(F.col(POSITION) / size)
+    last = F.floor((F.col(POSITION) + before) / size)
     return df.withColumn(CHUNK, F.explode(F.sequence(first, last))).withColumn(
         OWN, F.col(CHUNK) == first
     )
@@ -162,10 +176,21 @@ def fill_gaps(
     """
     if series.frequency:
         chunked = df.withColumn(CHUNK, series.time_chunk())
-        source = chunked if observed is None else observed.withColumn(CHUNK, series.time_chunk())
+        source = None if observed is None else observed.withColumn(CHUNK, series.time_chunk())
     else:
-        source = chunked = in_ranges(df, series, F.spark_partition_id().alias(CHUNK))
-        observed = None
+        chunked, source = in_ranges(df, series, F.spark_partition_id().alias(CHUNK)), None
+    return fill_chunks(chunked, columns, series, backward, source).select(*df.columns)
+
+
+def fill_chunks(
+    chunked: DataFrame,
+    columns: list[str],
+    series: Series,
+    backward: bool = False,
+    observed: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`fill_gaps` of rows whose chunk is in ``CHUNK``, which ascends with the time of a region."""
+    source = chunked if observed is None else observed
     time = F.col(series.time)
     known = {c: F.when(F.col(c).isNotNull(), time) for c in columns}
     edges = [F.max_by(F.col(c), known[c]).alias(f"_last_{c}") for c in columns]
@@ -200,4 +225,4 @@ def fill_gaps(
             options += [F.last(c, True).over(onward), F.col(f"_next_{c}")]
         filled[c] = F.coalesce(*options)
     carried_in = chunked.join(carry, [series.region, CHUNK], "left")
-    return carried_in.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    return carried_in.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in chunked.columns])

@@ -134,12 +134,12 @@ class Step:
             return F.floor(epoch_seconds(ts) / (self.size // MICROS))
         return F.floor((number_of(self.kind, ts) - self.phase) / self.size)
 
-    def remainder(self, ts: Column) -> Column:
+    def remainder(self, ts: Column) -> list[Column]:
         """What all rows of a series on this step have in common: where they lie within a step."""
         number = number_of(self.kind, ts)
         within = F.pmod(number - self.phase, F.lit(self.size))
-        return within if self.kind == "time" else F.struct(
-            within, F.date_diff(F.to_date(ts), mark(self.kind, number)), micros_of_day(ts))
+        return [within] if self.kind == "time" else [
+            within, F.date_diff(F.to_date(ts), mark(self.kind, number)), micros_of_day(ts)]
 
     def first_number(self, first: Column) -> Column:
         """Of the first mark that is not before a time's day."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.operators import features
 from panelgrid.operators.grid import align_reindex, align_time_series, region_date_grid
-from panelgrid.operators.series import Series, fill_gaps, on_steps, with_position
+from panelgrid.operators.series import Series, fill_gaps, on_steps, with_halo, with_position
 from tests.helpers import SCHEMA, collected
 
 warnings.filterwarnings("ignore", category=FutureWarning)
@@ -113,3 +113,15 @@ def test_positions_are_consecutive_and_chunks_change_nothing(spark, frequency):
     plain = made[0][made[0]["region_id"] == "a"]
     assert plain["n_lag_7"].tolist() == plain["n"].shift(7).fillna(0).astype(int).tolist()
     assert plain["v_rollmax_4"].tolist() == plain["v"].rolling(4, min_periods=1).max().tolist()
+
+
+def test_steps_of_an_aligned_panel_are_made_after_the_last_exchange(spark):
+    rows = spark.sql("select 1 as region_id, timestamp_ntz'2020-01-01' as timestamp, 5L as n union all "
+                     "select 1, timestamp_ntz'2020-03-01', 7L")
+    plan = align_time_series(rows, Series(chunk_rows=16))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate explode(sequence(_number") < plan.index("Exchange")
+
+
+def test_copies_of_rows_are_few_even_where_chunks_are_short(spark):
+    rows = spark.range(960).selectExpr("1 as region_id", "id as _pos")
+    assert with_halo(rows, Series(chunk_rows=16), 12).count() <= 960 * 9 / 8
