@@ -68,9 +68,11 @@ def sliding_windows(
     def ends(at: Column) -> Column:
         end = F.get(rows, at)
         one_split = F.forall(F.slice(F.col("_splits"), at - last + 1, length), lambda s: s == end["split"])
-        return end[OWN] & ((end[POSITION] - last) % stride == 0) & one_split
+        return end[OWN] & ((end[POSITION] - last) % stride == 0) & (F.col("_one_split") | one_split)
 
     places = F.filter(F.sequence(F.lit(last), F.size(rows) - 1), ends)
+    # Most chunks lie in one split, whose windows need no look at their rows.
+    whole = (F.size(F.array_distinct("_splits")) == 1) & F.get("_splits", F.lit(0)).isNotNull()
     made = chunks.where(F.size(rows) >= length).withColumns(
-        {"_features": rows["_row"], "_splits": rows["split"]}).select(series.region, F.inline(F.transform(places, window)))
+        {"_features": rows["_row"], "_splits": rows["split"]}).withColumn("_one_split", whole).select(series.region, F.inline(F.transform(places, window)))
     return made.select("split", *series.key, "latitude", "longitude", "features", "target")
