@@ -290,5 +290,19 @@ def drop_near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, ke
     keys = numbered.select(F.col(row).alias("row"), F.col(key).alias("key"))
     ranked = members.join(keys, "row").withColumn("rank", F.struct(F.col("key").isNull(), "key", "row"))
     stays = ranked.groupBy("component").agg(F.min("rank")["row"].alias("row")).select("row")
-    gone = members.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    gone = members.select("row").join(stays, "row", "left_anti")
+    return without_rows(numbered, gone, row).select(*docs.columns)
+
+
+def without_rows(numbered: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """``numbered`` without the rows whose number is in the ``row`` of ``gone``; texts are not shuffled.
+
+    Row numbers are dense within a partition, so those of ``gone`` are broadcast as bits, one
+    64-bit word for each 64 numbers that hold one of them.
+    """
+    word, bits, at = fresh(numbered, "word"), fresh(numbered, "bits"), F.col(row)
+    words = gone.groupBy(F.shiftright("row", 6).alias(word)).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(row & 63 as int))")).alias(bits))
+    marked = numbered.withColumn(word, F.shiftright(at, 6)).join(F.broadcast(words), word, "left")
+    bit = F.getbit(F.coalesce(bits, F.lit(0).cast("long")), at.bitwiseAND(63).cast("int"))
+    return marked.where(bit == 0).drop(word, bits)

@@ -161,3 +161,12 @@ def test_components_of_hubs_and_small_groups(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {k: 1000 for k in (*range(1000, 1400), 3000, 5000)} | {k: k - k % 2 for k in range(2000, 2900)}
     assert got == want
+
+
+def test_rows_are_dropped_without_a_shuffle_of_texts(spark):
+    rows = spark.range(200, numPartitions=3).selectExpr("monotonically_increasing_id() as row", "id", "'t' as text")
+    gone = rows.where("id % 7 = 0").select("row")
+    left = nd.without_rows(rows, gone, "row")
+    assert sorted(r["id"] for r in left.collect()) == [k for k in range(200) if k % 7]
+    plan = left._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
