@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
-from itertools import groupby
+from itertools import compress, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -357,14 +357,21 @@ def _span_batch(spans: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, removed, kept = [], [], []
-        for doc, text, spans in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+        docs, texts, spans = batch.columns
+        found = spans.flatten()
+        owner = np.repeat(np.arange(len(docs)), pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy())
+        of, start, end = (column.to_numpy() for column in found.flatten())
+        own = of == docs.to_numpy()[owner]
+        start, end = start[own], end[own]
+        last = np.concatenate([[0], np.cumsum(np.bincount(owner[own], minlength=len(docs)))]).tolist()
+        for k, text in enumerate(texts.to_pylist()):
             words = text.split() if text else []
-            if spans:
-                gone = np.zeros(len(words), bool)
-                for span in spans:
-                    if span["doc"] == doc:
-                        gone[span["start"] : span["end"]] = True
-                left = [w for w, g in zip(words, gone.tolist()) if not g]
+            a, b = last[k], last[k + 1]
+            if a < b:
+                # a word is gone where more spans have begun than ended
+                n = len(words)
+                begun, ended = (np.bincount(np.minimum(x[a:b], n), minlength=n + 1) for x in (start, end))
+                left = list(compress(words, (np.cumsum(begun - ended)[:n] == 0).tolist()))
             else:
                 left = words
             counts.append(len(words))

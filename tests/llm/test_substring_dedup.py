@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from panelgrid.llm import substring_dedup as sd
@@ -115,3 +116,15 @@ def test_rows_that_share_a_key_are_cut_apart(spark, passages, monkeypatch, hot):
     rows += rows[:20]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(sd.substring_dedup(docs)) == strict_brute_force(rows)
+
+
+def test_spans_of_a_batch_are_cut_together():
+    kind = pa.list_(pa.struct([("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    spans = [[(1, 0, 2), (1, 1, 3), (9, 3, 5)], None, [(3, 4, 9)], []]
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([8, 1, 2, 3, 4]), pa.array([b"x", b"a b c d e", None, b"f g h i j k", b" l "]),
+        pa.array([None, *[s and [dict(zip(("doc", "start", "end"), x)) for x in s] for s in spans]], kind)],
+        names=["doc", "text", "spans"]).slice(1)
+    made, = sd._cut([batch])
+    assert made.column(2).to_pylist() == [3, 0, 2, 0]
+    assert made.column(3).to_pylist() == [b"d e", b"", b"f g h i", b"l"]
