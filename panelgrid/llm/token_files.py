@@ -9,12 +9,15 @@ lost executors and any store Spark writes to; the chunk index is a second table.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 #: Ids after which a chunk is closed.
 CHUNK_IDS = 1 << 18
-#: Words whose ids a Python worker remembers.
+#: Words and pieces whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
+#: Bytes of text after which a worker encodes the texts it has read.
+TEXT_BYTES = 1 << 22
 CHUNK = ("part int, chunk int, n_ids long, kind string, doc_ids array<long>, lengths array<long>, "
          "planes array<binary>")
 
@@ -66,16 +71,32 @@ class WordEncoder:
     """Ids of a text through a tokenizer that cuts texts at white space before it merges.
 
     The ids of a text are then those of the pieces between its spaces and line feeds, one after
-    the other; other white space stays inside its piece, for the tokenizer to treat. Each piece
-    is encoded once and remembered, as many as ``REMEMBERED``, which costs time beyond, not ids.
-
-    New pieces of Latin letters are encoded many at a time, joined by spaces. The model marks
-    the last token of each of its words, so the ids can be cut again: a piece has as many words
-    as ``WORDS`` finds. Where the counts differ, and for all other pieces, each is encoded alone.
+    the other; other white space stays inside its piece, for the tokenizer to treat. Arrow cuts
+    many texts at a time and numbers their distinct pieces, so that Python looks up each piece
+    once, not each time it occurs; Arrow then puts the ids in their places.
+
+    Where the tokenizer takes the steps of ``STEPS``, a new piece of ``PLAIN`` characters is cut
+    on into the lower-case words that these make of it, so that pieces which differ in case and
+    marks share the ids of their words. New words are encoded many at a time, joined by spaces:
+    the model marks the last token of each word, so the ids can be cut again. Where the counts
+    differ, and for all other pieces and tokenizers, each is encoded alone. Words and pieces are
+    remembered, as many as ``REMEMBERED``, which costs time beyond, not ids.
     """
 
     #: The words that the word-level BPE file cuts a lower-cased piece into.
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
+    #: Pieces that ``WORDS`` cuts as the file does: ASCII and composed Latin letters, without the
+    #: letters, numbers and soft hyphen among the Latin-1 signs, and without the dotted capital I.
+    PLAIN = re.compile("[!-~\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\u012f\u0131-\u024f]*")
+    #: What the word-level BPE file does before it merges.
+    STEPS = (
+        {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+                "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    )
     TOGETHER = 200
 
     def __init__(self, path: str) -> None:
@@ -87,36 +108,66 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        made = json.loads(self.tokenizer.to_str())
+        self.cuts = (made["normalizer"], made["pre_tokenizer"]) == self.STEPS and all(
+            "<|" in t["content"] for t in made["added_tokens"])
         self.known: dict[str, bytes] = {}
 
     def _alone(self, pieces: list[str]) -> dict[str, bytes]:
         return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(
             pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))}
 
-    def _together(self, pieces: list[str]) -> dict[str, bytes]:
-        counts = np.array([1 if p.isalpha() else len(self.WORDS.findall(p.lower())) for p in pieces])
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if not counts.all() or len(ends) != counts.sum() or len(ids) != ends[-1]:
-            return self._alone(pieces)
-        cuts = [0, *(4 * ends[np.cumsum(counts) - 1]).tolist()]
+        if len(ends) != len(words) or len(ids) != ends[-1]:
+            return self._alone(words)
+        cuts = [0, *(4 * ends).tolist()]
         data = ids.tobytes()
-        return {p: data[a:b] for p, a, b in zip(pieces, cuts, cuts[1:])}
-
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
+
+    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not remembered, and of their new words."""
+        known, words, cut, odd = self.known, set(), {}, []
+        for p in pieces:
+            if not self.cuts or not self.PLAIN.fullmatch(p) or "<|" in p:
+                odd.append(p)
+            elif p.isalpha() and p.islower():
+                words.add(p)
+            else:
+                cut[p] = some = self.WORDS.findall(p.lower())
+                words.update([w for w in some if w not in known])
+        fresh, new = self._alone(odd), list(words)
+        for at in range(0, len(new), self.TOGETHER):
+            fresh |= self._together(new[at : at + self.TOGETHER])
+        for p, some in cut.items():
+            fresh[p] = b"".join([fresh[w] if w in fresh else known[w] for w in some])
+        return fresh
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(self.known.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        fresh = self._fresh([pieces[i] for i in new])
+        for i in new:
+            found[i] = fresh[pieces[i]]
+        self.known.update(islice(fresh.items(), max(0, REMEMBERED - len(self.known))))
+        return found
+
+    def encode(self, texts: pa.Array | list[str | None], end: int) -> list[bytes]:
         """Ids of each text with ``end`` after it, little-endian; null counts as empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {p for pieces in split for p in pieces if p not in known}
-        plain = [p for p in new if p and max(p) < "\u0250" and "<|" not in p and "\u0130" not in p]
-        fresh = self._alone(list(new.difference(plain)))
-        for at in range(0, len(plain), self.TOGETHER):
-            fresh |= self._together(plain[at : at + self.TOGETHER])
-        last = np.array([end], "<u4").tobytes()
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-            return [b"".join([known[p] for p in pieces]) + last for pieces in split]
-        return [b"".join([known[p] if p in known else fresh[p] for p in pieces]) + last for pieces in split]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        pieces = split.flatten().dictionary_encode()
+        found = [*self._ids(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), np.array([end], "<u4").tobytes()]
+        starts = np.zeros(len(found) + 1, np.int32)
+        np.cumsum([len(ids) // 4 for ids in found], out=starts[1:])
+        each = pa.ListArray.from_arrays(starts, np.frombuffer(b"".join(found), "<u4"))
+        stops = split.offsets.to_numpy()[1:]
+        placed = each.take(pa.array(np.insert(pieces.indices.to_numpy(), stops, len(found) - 1)))
+        cuts = [0, *(4 * placed.offsets.to_numpy()[stops + np.arange(1, len(texts) + 1)].astype(np.int64)).tolist()]
+        data = placed.values.to_numpy().tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -129,6 +180,16 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in order, so many at a time that their texts begin within ``TEXT_BYTES``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    turns = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // TEXT_BYTES)) + 1
+    cuts = [0, *turns.tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _writer(path: str, end: int, kind: str):
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, docs, parts, held, number = None, [], [], 0, 0
@@ -143,10 +204,9 @@ def _writer(path: str, end: int, kind: str):
                 names=["part", "chunk", "n_ids", "kind", "doc_ids", "lengths", "planes"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in _slices(batch):
                 part = some.column(2)[0].as_py() if part is None else part
-                for doc, ids in zip(some.column(0).to_pylist(), encoder(path).encode(some.column(1).to_pylist(), end)):
+                for doc, ids in zip(some.column(0).to_pylist(), encoder(path).encode(some.column(1), end)):
                     docs.append(doc)
                     parts.append(ids)
                     held += len(ids) // 4
